@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ("indicators",)
+PARTS = ("indicators", "cleaning", "sessions", "macro")
 
 
 def load():

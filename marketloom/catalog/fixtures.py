@@ -130,7 +130,8 @@ feed AS (
          CAST(CASE WHEN l_orderkey % 11 = 4 THEN -l_quantity ELSE l_quantity END AS BIGINT) AS volume,
          CASE WHEN l_orderkey % 11 = 5 THEN -1e0 ELSE 0e0 END AS dividend_amount,
          CASE WHEN l_orderkey % 11 = 6 THEN 0e0 ELSE 1e0 END AS split_ratio,
-         (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq
+         (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq,
+         l_orderkey * 8 + l_linenumber AS feed_row
   FROM (SELECT *, upper(replace(p_brand, '#', '')) AS b, CAST(l_shipdate AS DATE) AS trade_date,
                floor(l_extendedprice * 64e0 / l_quantity) / 64e0 AS price
         FROM lineitem JOIN part ON l_partkey = p_partkey))"""
