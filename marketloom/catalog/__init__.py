@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ("indicators", "cleaning", "sessions", "macro")
+PARTS = ("sources", "cleaning", "indicators", "sessions", "text", "macro")
 
 
 def load():

@@ -55,16 +55,27 @@ def _alias_regex(symbol: str, names: list[str]) -> str:
     return f"(?<!{WORD})(?:{'|'.join(options)})(?!{WORD})"
 
 
-def match_entities(text: Column, aliases: dict[str, list[str]] | None = None) -> Column:
+def _mentions(lowered: Column, words) -> Column:
+    """Plain byte search for any of the words: the cheap test before a regex."""
+    hit = F.lit(False)
+    for word in sorted(set(words)):
+        hit = hit | lowered.contains(word)
+    return hit
+
+
+def match_entities(text: Column, lowered: Column, aliases: dict[str, list[str]] | None = None) -> Column:
     """Sorted array of the symbols named in the text.
 
-    One alternation per symbol; a single alternation over all of them is tried first,
-    so text that names nobody is scanned once.
+    One alternation per symbol, run only where the longest word of one of its names
+    occurs at all. ``lowered`` is the lower-cased text as a column of its own, so that
+    it is computed once per row.
     """
-    rules = {s: _alias_regex(s, n) for s, n in sorted((aliases or alias_table()).items())}
-    anyone = "(?i)" + "|".join(rules.values())
-    hits = F.array_compact(F.array(*[F.when(text.rlike("(?i)" + rx), F.lit(s)) for s, rx in rules.items()]))
-    return F.when(text.rlike(anyone), hits).otherwise(F.array().cast("array<string>"))
+    rules = []
+    for symbol, names in sorted((aliases or alias_table()).items()):
+        needed = [max(re.findall(r"\w+", n), key=len).lower() for n in names]
+        regex = "(?i)" + _alias_regex(symbol, names)
+        rules.append(F.when(F.when(_mentions(lowered, needed), text.rlike(regex)), F.lit(symbol)))
+    return F.coalesce(F.array_compact(F.array(*rules)), F.array().cast("array<string>"))
 
 
 def first_entity(matched: Column) -> Column:
@@ -74,14 +85,24 @@ def first_entity(matched: Column) -> Column:
 # -- event class ------------------------------------------------------------------
 
 
-def classify_event(text: Column) -> Column:
+def _required_word(pattern: str) -> str:
+    """A literal every match of the pattern contains: its first word, or the one after a leading group."""
+    body = pattern.removeprefix(r"\b")
+    if body.startswith("(?:"):
+        body = body[body.index(")") + 1 :].removeprefix(r"\s+")
+    word = re.match(r"[a-z]+", body).group()
+    return word[:-1] if body[len(word) :].startswith("?") else word
+
+
+def classify_event(text: Column, lowered: Column) -> Column:
     """struct(category, confidence): most pattern hits, ties by list order, OTHER when none.
 
-    All patterns start at a word boundary, so one alternation with that boundary
-    hoisted decides whether the single patterns need to run at all.
+    A pattern runs only where its literal word occurs in the text; ``lowered`` as above.
     """
-    patterns = [p for ps in lx.EVENT_PATTERNS.values() for p in ps]
-    guard = r"(?iU)\b(?:" + "|".join(p.removeprefix(r"\b") for p in patterns) + ")"
+
+    def hit(pattern: str) -> Column:
+        found = F.when(lowered.contains(_required_word(pattern)), lowered.rlike("(?U)" + pattern))
+        return F.coalesce(found, F.lit(False)).cast("int")
 
     def outcome(category: Column, confidence: Column) -> Column:
         return F.struct(category.alias("category"), confidence.cast("double").alias("confidence"))
@@ -89,7 +110,7 @@ def classify_event(text: Column) -> Column:
     ranked = F.array(
         *[
             F.struct(
-                sum((text.rlike("(?iU)" + p).cast("int") for p in ps), F.lit(0)).alias("hits"),
+                sum((hit(p) for p in ps), F.lit(0)).alias("hits"),
                 F.lit(-i).alias("rank"),
                 F.lit(name).alias("category"),
             )
@@ -99,13 +120,12 @@ def classify_event(text: Column) -> Column:
     # one pass over a one-element array binds the winner once
     scored = F.transform(
         F.array(F.array_max(ranked)),
-        lambda b: outcome(b["category"], F.bround(F.least(b["hits"] * 0.15 + 0.6, F.lit(0.95)), 2)),
+        lambda b: F.when(b["hits"] == 0, outcome(F.lit("OTHER"), F.lit(0.5))).otherwise(
+            outcome(b["category"], F.bround(F.least(b["hits"] * 0.15 + 0.6, F.lit(0.95)), 2))
+        ),
     )[0]
-    return (
-        F.when(text.isNull() | (strip(text) == ""), outcome(F.lit("OTHER"), F.lit(0.0)))
-        .when(text.rlike(guard), scored)
-        .otherwise(outcome(F.lit("OTHER"), F.lit(0.5)))
-    )
+    blank = text.isNull() | (strip(text) == "")
+    return F.when(blank, outcome(F.lit("OTHER"), F.lit(0.0))).otherwise(scored)
 
 
 # -- sentiment --------------------------------------------------------------------

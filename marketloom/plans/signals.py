@@ -12,7 +12,7 @@ from marketloom.schemas import SIGNALS
 
 def _scored(df: DataFrame) -> DataFrame:
     """Expects raw_id, source, published_at, headline, body, matched_symbols, primary_symbol."""
-    out = with_sentiment(df.withColumn("_event", classify_event(F.col("body"))), "body")
+    out = with_sentiment(df.withColumn("_event", classify_event(F.col("body"), F.col("_low"))), "body")
     return (
         out.withColumn("event_category", F.col("_event.category"))
         .withColumn("confidence", F.bround((F.col("_event.confidence") + F.col("sentiment_confidence")) / 2.0, 2))
@@ -29,7 +29,8 @@ def article_signals(articles: DataFrame, aliases: dict[str, list[str]] | None =
     body = F.when(summary != "", F.concat("headline", F.lit(". "), summary)).otherwise(F.col("headline"))
     df = articles.select(
         F.col("article_id").alias("raw_id"), "source", "published_at", "headline", body.alias("body")
-    ).withColumn("matched_symbols", match_entities(F.col("body"), aliases or alias_table()))
+    ).withColumn("_low", F.lower("body"))
+    df = df.withColumn("matched_symbols", match_entities(F.col("body"), F.col("_low"), aliases or alias_table()))
     return _scored(df.withColumn("primary_symbol", F.get("matched_symbols", F.lit(0))))
 
 
@@ -44,9 +45,9 @@ def announcement_signals(notices: DataFrame, aliases: dict[str, list[str]] | Non
         F.col("title").alias("body"),
         F.when(symbol != "", symbol).alias("primary_symbol"),
         own.alias("_own"),
-    ).withColumn(
-        "matched_symbols", F.array_distinct(F.concat("_own", match_entities(F.col("body"), aliases or alias_table())))
-    )
+    ).withColumn("_low", F.lower("body"))
+    named = match_entities(F.col("body"), F.col("_low"), aliases or alias_table())
+    df = df.withColumn("matched_symbols", F.array_distinct(F.concat("_own", named)))
     return _scored(df.drop("_own"))
 
 

@@ -35,3 +35,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return df.checkpoint()
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores for CPU-bound work on a scan of few files; a no-op on large inputs.
+
+    Only for plain scans: counting partitions behind a shuffle would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
