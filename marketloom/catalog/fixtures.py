@@ -138,13 +138,13 @@ feed AS (
 
 
 def universe(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per brand: sector = most common first word of the part type, some disabled."""
+    """One row per brand: sector = type of its first part, some disabled."""
     return (
         table(spark, sf, "part")
         .groupBy(F.upper(F.regexp_replace("p_brand", "#", "")).alias("symbol"))
         .agg(
             F.min("p_name").alias("name"),
-            F.min("p_type").alias("sector"),
+            F.min_by("p_type", "p_partkey").alias("sector"),
             (F.sum("p_size") % 4 != 0).alias("enabled"),
         )
     )
@@ -152,7 +152,7 @@ def universe(spark: SparkSession, sf: str) -> DataFrame:
 
 UNIVERSE = """
 universe AS (
-  SELECT upper(replace(p_brand, '#', '')) AS symbol, min(p_name) AS name, min(p_type) AS sector,
+  SELECT upper(replace(p_brand, '#', '')) AS symbol, min(p_name) AS name, arg_min(p_type, p_partkey) AS sector,
          sum(p_size) % 4 <> 0 AS enabled
   FROM part GROUP BY 1)"""
 

@@ -8,7 +8,7 @@ from marketloom.catalog import fixtures as fx
 from marketloom.catalog.registry import query, r, sr
 from marketloom.functions import indicators as ind
 from marketloom.functions import targets as tg
-from marketloom.operators.windows import per_symbol
+from marketloom.operators.windows import per_symbol, with_rolling_sums
 
 W = "(PARTITION BY symbol ORDER BY trade_date)"
 
@@ -125,15 +125,19 @@ def c1(spark, sf):
     return _pick(df, *[f"return_{k}d" for k in ind.RETURN_LAGS])
 
 
+def _averages(spark, sf):
+    df = with_rolling_sums(fx.bars(spark, sf), "close")
+    return df.withColumns({f"sma_{n}": F.col(f"close_sum{n}") / n for n in ind.SMA_SPANS})
+
+
 @query("c2_simple_moving_averages", _windowed(*[f"sma_{n}" for n in ind.SMA_SPANS]))
 def c2(spark, sf):
-    df = fx.bars(spark, sf).withColumns({f"sma_{n}": ind.sma(P, n) for n in ind.SMA_SPANS})
-    return _pick(df, *[f"sma_{n}" for n in ind.SMA_SPANS])
+    return _pick(_averages(spark, sf), *[f"sma_{n}" for n in ind.SMA_SPANS])
 
 
 @query("c3_distance_to_sma", _windowed(*[f"dist_sma_{n}" for n in ind.SMA_SPANS]))
 def c3(spark, sf):
-    df = fx.bars(spark, sf).withColumns({f"sma_{n}": ind.sma(P, n) for n in ind.SMA_SPANS})
+    df = _averages(spark, sf)
     df = df.withColumns({f"dist_sma_{n}": ind.ratio(P - F.col(f"sma_{n}"), F.col(f"sma_{n}")) for n in ind.SMA_SPANS})
     return _pick(df, *[f"dist_sma_{n}" for n in ind.SMA_SPANS])
 

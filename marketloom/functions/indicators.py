@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.operators.windows import Ewm, full_window, per_symbol, running, with_ewm
+from marketloom.operators.windows import Ewm, full_window, per_symbol, running, with_ewm, with_rolling_sums
 from marketloom.schemas import price_column
 
 RETURN_LAGS = (1, 3, 5, 10, 20)
@@ -59,8 +59,7 @@ def true_range(high: Column, low: Column, close: Column) -> Column:
     return F.greatest(high - low, F.abs(high - prev), F.abs(low - prev))
 
 
-def bollinger(p: Column, n: int = 20, width: float = 2.0) -> dict[str, Column]:
-    mid, sd = sma(p, n), full_window(F.stddev_samp(p), p, n)
+def bands(p: Column, mid: Column, sd: Column, width: float = 2.0) -> dict[str, Column]:
     upper, lower = mid + width * sd, mid - width * sd
     return {
         "bb_middle": mid,
@@ -71,6 +70,10 @@ def bollinger(p: Column, n: int = 20, width: float = 2.0) -> dict[str, Column]:
     }
 
 
+def bollinger(p: Column, n: int = 20, width: float = 2.0) -> dict[str, Column]:
+    return bands(p, sma(p, n), full_window(F.stddev_samp(p), p, n), width)
+
+
 def on_balance_volume(p: Column, volume: Column) -> Column:
     """Running signed volume; takes a precomputed previous price column to stay one level deep."""
     return F.sum(F.coalesce(F.signum(p), F.lit(0.0)) * volume).over(running())
@@ -132,27 +135,34 @@ def with_recursive(df: DataFrame) -> DataFrame:
 
 def with_windowed(df: DataFrame) -> DataFrame:
     """Returns, SMA, ROC, volatility, Bollinger and volume columns: one spec, one sort."""
-    p, v = F.col("_p"), F.col("_v")
+    p, v, w = F.col("_p"), F.col("_v"), per_symbol()
     out = df.withColumns(
         {"_p": price_column(df).cast("double"), "_v": F.col("volume").cast("double")}
     )
-    out = out.withColumns({f"return_{k}d": log_return(p, k) for k in RETURN_LAGS})
-    out = out.withColumns({f"sma_{n}": sma(p, n) for n in SMA_SPANS})
-    out = out.withColumns(
-        {f"dist_sma_{n}": ratio(p - F.col(f"sma_{n}"), F.col(f"sma_{n}")) for n in SMA_SPANS}
-    )
     out = out.withColumns(
         {
-            "_step": p - F.lag(p, 1).over(per_symbol()),
+            **{f"_r{k}": ratio(p, F.lag(p, k).over(w)) for k in RETURN_LAGS},
+            "_step": p - F.lag(p, 1).over(w),
             "roc_10": percent_change(p, 10),
-            "volatility_20d": volatility(F.col("return_1d")),
-            **bollinger(p),
+            "_sd": full_window(F.stddev_samp(p), p, 20),
             "volume_relative_20": ratio(v, sma(v, 20)),
             "volume_roc_5": percent_change(v, 5),
         }
     )
-    out = out.withColumn("obv", on_balance_volume(F.col("_step"), v))
-    return out.drop("_p", "_v", "_step")
+    out = out.withColumns({f"return_{k}d": F.when(F.col(f"_r{k}") > 0, F.ln(f"_r{k}")) for k in RETURN_LAGS})
+    out = out.withColumns(
+        {"volatility_20d": volatility(F.col("return_1d")), "obv": on_balance_volume(F.col("_step"), v)}
+    )
+    out = with_rolling_sums(out, "_p")
+    out = out.withColumns({f"sma_{n}": F.col(f"_p_sum{n}") / n for n in SMA_SPANS})
+    mid, sd = F.col("sma_20"), F.col("_sd")
+    out = out.withColumns(
+        {
+            **{f"dist_sma_{n}": ratio(p - F.col(f"sma_{n}"), F.col(f"sma_{n}")) for n in SMA_SPANS},
+            **bands(p, mid, sd),
+        }
+    )
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
 def technical_features(df: DataFrame) -> DataFrame:

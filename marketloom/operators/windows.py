@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BLOCK = 64
+MAX_BLOCK = 512
 
 
 def per_symbol(order: str = "trade_date", keys: tuple[str, ...] = ("symbol",)) -> WindowSpec:
@@ -47,12 +47,40 @@ class Ewm:
     min_rows: int = 1
 
 
+def block_length(series: list[Ewm]) -> int:
+    """Rows per block such that the rescaling powers stay below 1e200."""
+    fastest = max(-math.log(1.0 - s.alpha) for s in series)
+    return max(2, min(MAX_BLOCK, int(460.0 / fastest)))
+
+
+def with_rolling_sums(df: DataFrame, x: str, spec: WindowSpec | None = None) -> DataFrame:
+    """Sums of the last 5, 10, 20, 50 and 200 values as ``{x}_sum{n}``, null until n values exist.
+
+    Only the 5-row frame is summed directly. Longer sums add shifted shorter ones
+    (200 = four times 50 = twenty times 10), so a row costs a few offsets instead of
+    200 additions, and no running total drifts.
+    """
+    w = spec or per_symbol()
+
+    def shifted(col: str, step: int, times: int) -> Column:
+        total = F.col(col)
+        for k in range(1, times):
+            total = total + F.lag(col, k * step).over(w)
+        return total
+
+    s = {n: f"{x}_sum{n}" for n in (5, 10, 20, 50, 200)}
+    out = df.withColumn(s[5], full_window(F.sum(x), F.col(x), 5, w))
+    out = out.withColumn(s[10], shifted(s[5], 5, 2))
+    out = out.withColumns({s[20]: shifted(s[10], 10, 2), s[50]: shifted(s[10], 10, 5)})
+    return out.withColumn(s[200], shifted(s[50], 50, 4))
+
+
 def with_ewm(
     df: DataFrame,
     series: list[Ewm],
     order: str = "trade_date",
     keys: tuple[str, ...] = ("symbol",),
-    block: int = BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """Recursive means as plain windows, all series in one pass.
 
@@ -62,15 +90,18 @@ def with_ewm(
     ``lag`` among block-end rows only, and handed forward with ``last``. All specs
     contain ``keys``, so the one exchange on ``keys`` serves every sort. No UDF.
     """
+    block = block or block_length(series)
     w = Window.partitionBy(*keys).orderBy(order)
     rn, blk, pos, end = "_ewm_rn", "_ewm_blk", "_ewm_pos", "_ewm_end"
-    out = df.withColumn(rn, F.row_number().over(w) - 1)
-    for s in series:
-        out = out.withColumn(f"_ewm_x_{s.name}", s.x.cast("double"))
-    out = (
-        out.withColumn(blk, F.floor(F.col(rn) / block))
-        .withColumn(pos, F.col(rn) % block)
-        .withColumn(end, F.col(pos) == block - 1)
+    out = df.withColumns(
+        {rn: F.row_number().over(w) - 1, **{f"_ewm_x_{s.name}": s.x.cast("double") for s in series}}
+    )
+    out = out.withColumns(
+        {
+            blk: F.floor(F.col(rn) / block),
+            pos: F.col(rn) % block,
+            end: F.col(rn) % block == block - 1,
+        }
     )
     in_block = (
         Window.partitionBy(*keys, blk).orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)

@@ -145,9 +145,11 @@ def trades(signals: DataFrame, cash: float = 1_000_000.0, costs: Costs = Costs()
     return folded.select(*KEYS, F.explode("_log").alias("t")).select(*KEYS, "t.*")
 
 
-def equity_curve(signals: DataFrame, cash: float = 1_000_000.0, costs: Costs = Costs()) -> DataFrame:
-    """Daily cash, holdings, equity, returns and drawdown, carried forward from the trades."""
-    done = trades(signals, cash, costs).select(*KEYS, "trade_date", "cash_after", "shares_after")
+def account(signals: DataFrame, cash: float = 1_000_000.0, costs: Costs = Costs()) -> DataFrame:
+    """Every signal row with its trade (if any) and the account state carried forward."""
+    done = trades(signals, cash, costs).select(
+        *KEYS, "trade_date", "side", "cost", "net_value", "cash_after", "shares_after"
+    )
     w, run = days(), days().rowsBetween(Window.unboundedPreceding, 0)
     out = signals.join(done, [*KEYS, "trade_date"], "left").withColumns(
         {
@@ -163,14 +165,21 @@ def equity_curve(signals: DataFrame, cash: float = 1_000_000.0, costs: Costs = C
             "daily_return": F.coalesce(F.try_divide("total_equity", F.lag("total_equity").over(w)) - 1.0, F.lit(0.0)),
             "cum_return": F.col("total_equity") / cash - 1.0,
             "peak_equity": F.max("total_equity").over(run),
+            "held_before": F.lag("shares", 1, 0).over(w) > 0,
         }
     )
-    return out.withColumn(
-        "drawdown", (F.col("total_equity") - F.col("peak_equity")) / F.col("peak_equity")
-    ).select(
-        *KEYS, "trade_date", "close", "signal", "shares", "cash", "holdings_value", "total_equity",
-        "daily_return", "cum_return", "peak_equity", "drawdown",
-    )
+    return out.withColumn("drawdown", (F.col("total_equity") - F.col("peak_equity")) / F.col("peak_equity"))
+
+
+CURVE = [
+    *KEYS, "trade_date", "close", "signal", "shares", "cash", "holdings_value", "total_equity",
+    "daily_return", "cum_return", "peak_equity", "drawdown",
+]
+
+
+def equity_curve(signals: DataFrame, cash: float = 1_000_000.0, costs: Costs = Costs()) -> DataFrame:
+    """Daily cash, holdings, equity, returns and drawdown."""
+    return account(signals, cash, costs).select(*CURVE)
 
 
 def drawdown_duration(curve: DataFrame) -> DataFrame:
@@ -185,55 +194,72 @@ def round_trips(executed: DataFrame) -> DataFrame:
     )
 
 
+def _trade_figures(pnl: Column) -> list[Column]:
+    won = F.coalesce(F.sum(F.when(pnl > 0, pnl)), F.lit(0.0))
+    lost = F.abs(F.coalesce(F.sum(F.when(pnl <= 0, pnl)), F.lit(0.0)))
+    return [
+        F.count(pnl).alias("total_trades"),
+        F.count_if(pnl > 0).alias("winning_trades"),
+        F.count_if(pnl <= 0).alias("losing_trades"),
+        F.coalesce(F.try_divide(F.count_if(pnl > 0), F.count(pnl)), F.lit(0.0)).alias("win_rate"),
+        F.when(lost > 0, F.try_divide(won, lost)).when(won > 0, 99.0).otherwise(0.0).alias("profit_factor"),
+    ]
+
+
 def trade_stats(executed: DataFrame) -> DataFrame:
-    win, loss = F.col("pnl") > 0, F.col("pnl") <= 0
-    agg = round_trips(executed).groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("total_trades"), F.count_if(win).alias("winning_trades"),
-        F.count_if(loss).alias("losing_trades"),
-        F.coalesce(F.sum(F.when(win, F.col("pnl"))), F.lit(0.0)).alias("_won"),
-        F.abs(F.coalesce(F.sum(F.when(loss, F.col("pnl"))), F.lit(0.0))).alias("_lost"),
-    )
-    factor = F.when(F.col("_lost") > 0, F.col("_won") / F.nullif(F.col("_lost"), F.lit(0.0))).when(F.col("_won") > 0, 99.0).otherwise(0.0)
-    return agg.withColumn("win_rate", F.col("winning_trades") / F.col("total_trades")).withColumn(
-        "profit_factor", factor
-    ).drop("_won", "_lost")
+    return round_trips(executed).groupBy(*KEYS).agg(*_trade_figures(F.col("pnl")))
 
 
 def metrics(
     signals: DataFrame, cash: float = 1_000_000.0, costs: Costs = Costs(), risk_free: float = RISK_FREE
 ) -> DataFrame:
-    """One row per (symbol, strategy): return, risk, drawdown, trade and rejection figures."""
-    curve = equity_curve(signals, cash, costs)
-    executed = trades(signals, cash, costs)
+    """One row per (symbol, strategy): return, risk, drawdown, trade and rejection figures.
+
+    Everything is read off one account table, so the trade fold runs once.
+    """
+    run = days().rowsBetween(Window.unboundedPreceding, 0)
+    under = F.col("drawdown") < 0
+    go, held = F.col("signal") > 0.5, F.col("held_before")
+    book = account(signals, cash, costs).withColumns(
+        {
+            "_isl": F.sum(F.when(under, 0).otherwise(1)).over(run),
+            "_paid": F.last(F.when(F.col("side") == "BUY", F.col("net_value")), ignorenulls=True).over(run),
+            "_refused": (go & ~held & F.col("is_upper_lock")) | (~go & held & F.col("is_lower_lock")),
+        }
+    )
+    inside = days([*KEYS, "_isl"]).rowsBetween(Window.unboundedPreceding, 0)
+    book = book.withColumns(
+        {
+            "_under_days": F.sum(F.when(under, 1).otherwise(0)).over(inside),
+            "_pnl": F.when(F.col("side") == "SELL", F.col("net_value") - F.col("_paid")),
+        }
+    )
     daily_rf = (1.0 + risk_free) ** (1.0 / SESSIONS_PER_YEAR) - 1.0
     root = math.sqrt(SESSIONS_PER_YEAR)
     excess = F.col("daily_return") - daily_rf
-    base = curve.groupBy(*KEYS).agg(
+    agg = book.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("sessions"),
         F.max_by("total_equity", "trade_date").alias("final_equity"),
         F.stddev_pop("daily_return").alias("_sd"),
         F.avg(excess).alias("_ex"),
         F.sqrt(F.avg(F.pow(F.least(excess, F.lit(0.0)), 2))).alias("_down"),
         F.min("drawdown").alias("max_drawdown"),
+        F.max("_under_days").alias("max_drawdown_days"),
+        *_trade_figures(F.col("_pnl")),
+        F.coalesce(F.sum("cost"), F.lit(0.0)).alias("total_friction"),
+        F.count_if("_refused").alias("rejections"),
     )
     sd, ex, down = F.col("_sd"), F.col("_ex"), F.col("_down")
-    base = base.select(
-        *KEYS, "sessions", "final_equity", (F.col("final_equity") / cash - 1.0).alias("total_return"),
-        F.when(
-            F.col("final_equity") > 0, F.pow(F.col("final_equity") / cash, SESSIONS_PER_YEAR / F.col("sessions")) - 1.0
-        ).otherwise(0.0).alias("cagr"),
-        (sd * root).alias("annualized_volatility"),
-        F.when(sd > 1e-9, F.try_divide(ex, sd) * root).otherwise(0.0).alias("sharpe_ratio"),
-        F.when(down > 1e-9, F.try_divide(ex, down) * root).otherwise(0.0).alias("sortino_ratio"),
-        "max_drawdown",
-    )
-    friction = executed.groupBy(*KEYS).agg(F.sum("cost").alias("total_friction"))
-    refused = rejections(signals).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("rejections"))
-    out = base.join(drawdown_duration(curve), KEYS)
-    for part in (trade_stats(executed), friction, refused):
-        out = out.join(part, KEYS, "left")
-    counts = ["total_trades", "winning_trades", "losing_trades", "rejections"]
-    return out.fillna(0, counts).fillna(0.0, ["win_rate", "profit_factor", "total_friction"])
+    grown = F.col("final_equity") / cash
+    return agg.withColumns(
+        {
+            "total_return": grown - 1.0,
+            "cagr": F.when(grown > 0, F.pow(grown, SESSIONS_PER_YEAR / F.col("sessions")) - 1.0).otherwise(0.0),
+            "annualized_volatility": sd * root,
+            "sharpe_ratio": F.when(sd > 1e-9, F.try_divide(ex, sd) * root).otherwise(0.0),
+            "sortino_ratio": F.when(down > 1e-9, F.try_divide(ex, down) * root).otherwise(0.0),
+        }
+    ).drop("_sd", "_ex", "_down")
 
 
 def against_benchmark(curve: DataFrame, benchmark: str = "buy_and_hold") -> DataFrame:

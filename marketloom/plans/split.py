@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.operators.windows import per_symbol
+from marketloom.session import cut_lineage
 
 MIN_ROWS = 20
 
@@ -35,9 +36,10 @@ def chronological_split(
 def split_by_date(df: DataFrame, features: list[str], target: str, ratio: float = 0.8) -> DataFrame:
     """Panel split on one global date, so that no symbol trains on days another is tested on.
 
-    The cut date is the one below which the given share of distinct sessions lies.
+    The cut date is the one below which the given share of distinct sessions lies. The
+    clean rows are written once, since the cut and both roles read them.
     """
-    clean = df.na.drop(subset=[*features, target])
+    clean = cut_lineage(df.na.drop(subset=[*features, target]))
     days = clean.select("trade_date").distinct()
     ranked = days.withColumn("_r", F.row_number().over(Window.orderBy("trade_date")))  # one row per day
     cut = ranked.filter(F.col("_r") > F.floor(days.agg(F.count(F.lit(1))).scalar() * ratio)).agg(F.min("trade_date"))
