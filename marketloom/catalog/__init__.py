@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ("sources", "cleaning", "indicators", "sessions", "text", "macro", "backtests", "monitoring", "models")
+PARTS = ("sources", "cleaning", "indicators", "sessions", "text", "macro", "backtests", "monitoring", "models", "streaming")
 
 
 def load():

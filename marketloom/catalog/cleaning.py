@@ -97,8 +97,8 @@ factors AS (
   FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS p FROM acted)),
 adjusted AS (
   SELECT symbol, trade_date, open, high, low, close, volume, dividend_amount, split_ratio,
-         CAST(round_even(close * coalesce(exp(sum(ln(f)) OVER (PARTITION BY symbol ORDER BY trade_date
-              ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)), 1e0), 4) AS DOUBLE) AS adjusted_close
+         CAST(round_even(close * coalesce(product(f) OVER (PARTITION BY symbol ORDER BY trade_date
+              ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1e0), 4) AS DOUBLE) AS adjusted_close
   FROM factors)"""
 
 

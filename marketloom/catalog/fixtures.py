@@ -158,12 +158,15 @@ universe AS (
 
 
 def macro_raw(spark: SparkSession, sf: str) -> DataFrame:
+    return monthly_macro(table(spark, sf, "orders"))
+
+
+def monthly_macro(orders: DataFrame) -> DataFrame:
     """Monthly mean order value per priority as a slow series, public three days after month end."""
     names = F.create_map(*[F.lit(x) for kv in MACRO_NAMES.items() for x in kv])
     month = F.last_day(F.to_date("o_orderdate"))
     return (
-        table(spark, sf, "orders")
-        .groupBy(names[F.col("o_orderpriority")].alias("indicator"), month.alias("observation_date"))
+        orders.groupBy(names[F.col("o_orderpriority")].alias("indicator"), month.alias("observation_date"))
         .agg(
             F.sum(F.round(F.col("o_totalprice") * 100.0).cast("bigint")).alias("_cents"),
             F.count(F.lit(1)).alias("_n"),

@@ -177,7 +177,7 @@ def enabled_instruments(universe: DataFrame) -> DataFrame:
     return universe.filter("enabled")
 
 
-RUNS = T.StructType.fromDDL(
+RUNS = (
     "run_id string, started_at timestamp, finished_at timestamp, "
     "tasks array<struct<name:string,status:string,rows:bigint,message:string>>"
 )
