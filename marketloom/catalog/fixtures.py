@@ -40,8 +40,12 @@ SEQ = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_
 
 
 def daily_bars(trades: DataFrame, price: str, volume: str, seq: tuple[str, ...]) -> DataFrame:
-    """Trades to one bar per (symbol, day); partial aggregation runs before the shuffle."""
-    order = F.struct(*seq)
+    """Trades to one bar per (symbol, day); partial aggregation runs before the shuffle.
+
+    A feed with a single numeric sequence column is aggregated by hash; several columns
+    need a struct, which Spark aggregates by sorting.
+    """
+    order = F.struct(*seq) if len(seq) > 1 else F.col(seq[0])
     return trades.groupBy("symbol", "trade_date").agg(
         F.min_by(price, order).alias("open"),
         F.max(price).alias("high"),

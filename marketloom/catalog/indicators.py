@@ -116,12 +116,13 @@ def _recursive(*names: str) -> str:
     return fx.sql(EWM, _body({c: RECURSIVE[c] for c in names}, "rec"), recursive=True)
 
 
-P = F.col("close")
+def close():
+    return F.col("close")
 
 
 @query("c1_log_returns", _windowed(*[f"return_{k}d" for k in ind.RETURN_LAGS]))
 def c1(spark, sf):
-    df = fx.bars(spark, sf).withColumns({f"return_{k}d": ind.log_return(P, k) for k in ind.RETURN_LAGS})
+    df = fx.bars(spark, sf).withColumns({f"return_{k}d": ind.log_return(close(), k) for k in ind.RETURN_LAGS})
     return _pick(df, *[f"return_{k}d" for k in ind.RETURN_LAGS])
 
 
@@ -138,7 +139,7 @@ def c2(spark, sf):
 @query("c3_distance_to_sma", _windowed(*[f"dist_sma_{n}" for n in ind.SMA_SPANS]))
 def c3(spark, sf):
     df = _averages(spark, sf)
-    df = df.withColumns({f"dist_sma_{n}": ind.ratio(P - F.col(f"sma_{n}"), F.col(f"sma_{n}")) for n in ind.SMA_SPANS})
+    df = df.withColumns({f"dist_sma_{n}": ind.ratio(close() - F.col(f"sma_{n}"), F.col(f"sma_{n}")) for n in ind.SMA_SPANS})
     return _pick(df, *[f"dist_sma_{n}" for n in ind.SMA_SPANS])
 
 
@@ -159,12 +160,12 @@ def c6(spark, sf):
 
 @query("c7_rate_of_change", _windowed("roc_10"))
 def c7(spark, sf):
-    return _pick(fx.bars(spark, sf).withColumn("roc_10", ind.percent_change(P, 10)), "roc_10")
+    return _pick(fx.bars(spark, sf).withColumn("roc_10", ind.percent_change(close(), 10)), "roc_10")
 
 
 @query("c8_volatility", fx.sql(fx.BARS + R1, _body(VOLATILITY, "r")))
 def c8(spark, sf):
-    df = fx.bars(spark, sf).withColumn("r1", ind.log_return(P, 1))
+    df = fx.bars(spark, sf).withColumn("r1", ind.log_return(close(), 1))
     return _pick(df.withColumn("volatility_20d", ind.volatility(F.col("r1"))), "volatility_20d")
 
 
@@ -183,7 +184,7 @@ BB = ("bb_middle", "bb_upper", "bb_lower", "bb_bandwidth", "bb_percent_b")
 
 @query("c11_bollinger_bands", _windowed(*BB))
 def c11(spark, sf):
-    return _pick(fx.bars(spark, sf).withColumns(ind.bollinger(P)), *BB)
+    return _pick(fx.bars(spark, sf).withColumns(ind.bollinger(close())), *BB)
 
 
 @query("c12_relative_volume", _windowed("volume_relative_20"))
@@ -194,7 +195,7 @@ def c12(spark, sf):
 
 @query("c13_on_balance_volume", fx.sql(fx.BARS + R1, _body(OBV, "r")))
 def c13(spark, sf):
-    df = fx.bars(spark, sf).withColumn("step", P - F.lag(P, 1).over(per_symbol()))
+    df = fx.bars(spark, sf).withColumn("step", close() - F.lag(close(), 1).over(per_symbol()))
     return _pick(df.withColumn("obv", ind.on_balance_volume(F.col("step"), F.col("volume"))), "obv")
 
 
@@ -235,17 +236,17 @@ def c17(spark, sf):
 
 @query("d1_next_day_direction", _sql(target_next_day_dir=TARGETS["target_next_day_dir"]))
 def d1(spark, sf):
-    return _pick(fx.bars(spark, sf).withColumn("target_next_day_dir", tg.next_day_direction(P)), "target_next_day_dir")
+    return _pick(fx.bars(spark, sf).withColumn("target_next_day_dir", tg.next_day_direction(close())), "target_next_day_dir")
 
 
 @query("d2_three_class", _sql(target_next_day_3class=TARGETS["target_next_day_3class"]))
 def d2(spark, sf):
-    return _pick(fx.bars(spark, sf).withColumn("target_next_day_3class", tg.next_day_3class(P)), "target_next_day_3class")
+    return _pick(fx.bars(spark, sf).withColumn("target_next_day_3class", tg.next_day_3class(close())), "target_next_day_3class")
 
 
 @query("d3_forward_return", _sql(target_return_5d=TARGETS["target_return_5d"]))
 def d3(spark, sf):
-    return _pick(fx.bars(spark, sf).withColumn("target_return_5d", tg.forward_return(P)), "target_return_5d")
+    return _pick(fx.bars(spark, sf).withColumn("target_return_5d", tg.forward_return(close())), "target_return_5d")
 
 
 @query("d4_target_bundle", _sql(**TARGETS))

@@ -154,13 +154,16 @@ def a13(spark, sf):
 
 
 @query("a14_recent_runs", """
-SELECT user_id::VARCHAR AS run_id, min(ts) AS started_at, count(*)::INT AS total_tasks, count(*) FILTER (event_type <> 'error')::INT AS succeeded
-FROM events GROUP BY user_id ORDER BY started_at DESC, run_id DESC LIMIT 5""")
+SELECT event_id::VARCHAR AS run_id, ts AS started_at, (event_id % 6 + 1)::INT AS total_tasks,
+       len(list_filter(range(1, event_id % 6 + 2), lambda i: (event_id + i) % 4 <> 0))::INT AS succeeded
+FROM events ORDER BY started_at DESC, run_id DESC LIMIT 5""")
 def a14(spark, sf):
-    ev = fx.table(spark, sf, "events")
-    task = F.struct(F.when(F.col("event_type") == "error", "FAILED").otherwise("SUCCESS").alias("status"))
-    runs = ev.groupBy(F.col("user_id").cast("string").alias("run_id")).agg(F.min("ts").alias("started_at"), F.collect_list(task).alias("tasks"))
-    return tb.recent_runs(runs)
+    """One run per event with one to six tasks."""
+    k = F.col("event_id")
+    tasks = F.transform(
+        F.sequence(F.lit(1), (k % 6 + 1).cast("int")),
+        lambda i: F.struct(F.when((k + i) % 4 == 0, "FAILED").otherwise("SUCCESS").alias("status")))
+    return tb.recent_runs(fx.table(spark, sf, "events").select(k.cast("string").alias("run_id"), F.col("ts").alias("started_at"), tasks.alias("tasks")))
 
 
 @query("a15_run_manifest", fx.sql(VALID, """

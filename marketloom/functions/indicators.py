@@ -166,9 +166,13 @@ def with_windowed(df: DataFrame) -> DataFrame:
 
 
 def technical_features(df: DataFrame) -> DataFrame:
-    """All 33 indicators appended to the input columns; one exchange on symbol."""
+    """All 33 indicators appended to the input columns; one exchange on symbol.
+
+    The recursive pass needs other sort orders, so it runs first, on narrow rows, and ends
+    in the (symbol, trade_date) order that all the remaining windows share.
+    """
     base = df.columns
-    out = with_recursive(with_windowed(df))
+    out = with_windowed(with_recursive(df))
     return out.select(*base, *TECHNICAL)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.indicators import sma
 from marketloom.operators.windows import longest_run, per_symbol
 from marketloom.schemas import col_or
+from marketloom.session import spread_groups
 
 KEYS = ["symbol", "strategy"]
 SESSIONS_PER_YEAR = 250
@@ -137,9 +138,9 @@ def trades(signals: DataFrame, cash: float = 1_000_000.0, costs: Costs = Costs()
     )
     day = F.struct("trade_date", F.col("close").cast("double").alias("close"), action().alias("act"))
     folded = (
-        signals.filter(action().isNotNull())
+        spread_groups(signals.filter(action().isNotNull()), *KEYS)
         .groupBy(*KEYS)
-        .agg(F.array_sort(F.collect_list(day)).alias("_days"))
+        .agg(F.sort_array(F.collect_list(day)).alias("_days"))
         .withColumn("_log", F.aggregate("_days", start, step)["log"])
     )
     return folded.select(*KEYS, F.explode("_log").alias("t")).select(*KEYS, "t.*")

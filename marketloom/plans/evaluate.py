@@ -82,27 +82,39 @@ def class_metrics(scored: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def auc(scored: DataFrame, *by: str, buckets: int = 4096) -> DataFrame:
-    """Exact rank-sum ROC-AUC of ``p`` for ``y = 1`` per group; null with one class only.
-
-    Scores are first counted per distinct value. A running total over them is taken in
-    two levels, over score buckets and inside each bucket, so that even one group with
-    very many distinct scores is not ordered by a single task.
+def auc(scored: DataFrame, *by: str, fanout: int = 4096) -> DataFrame:
+    """Exact rank-sum ROC-AUC of ``p`` in [0, 1] for ``y = 1`` per group; null with one class only.
+
+    Scores are first counted per distinct value (map-side). The running total of
+    negatives below a score is then taken in three levels: over coarse score cells, over
+    the fine cells of a coarse one (each at most ``fanout`` rows) and inside a fine cell.
+    So one group with very many distinct scores, even crowded ones, is not ordered by a
+    single task.
     """
     keys = list(by)
+    coarse, fine = F.floor(F.col("p") * fanout), F.floor(F.col("p") * float(fanout * fanout))
     per_score = scored.groupBy(*keys, "p").agg(
         F.count_if(F.col("y") == 1).alias("_pos"), F.count_if(F.col("y") != 1).alias("_neg")
-    ).withColumn("_b", F.floor(F.col("p") * buckets))
-    per_bucket = per_score.groupBy(*keys, "_b").agg(F.sum("_pos").alias("_bp"), F.sum("_neg").alias("_bn"))
-    below = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ).withColumns({"_c": coarse, "_f": fine})
+
+    def below(*cells: str, order: str):
+        before = Window.partitionBy(*keys, *cells).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_neg").over(before), F.lit(0))
+
+    totals = [F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg")]
     whole = Window.partitionBy(*keys)
-    per_bucket = per_bucket.select(
-        *keys, "_b", F.coalesce(F.sum("_bn").over(below), F.lit(0)).alias("_under"),
-        F.sum("_bp").over(whole).alias("_P"), F.sum("_bn").over(whole).alias("_N"),
+    by_fine = per_score.groupBy(*keys, "_c", "_f").agg(*totals)
+    by_coarse = by_fine.groupBy(*keys, "_c").agg(*totals).select(
+        *keys, "_c", below(order="_c").alias("_u1"),
+        F.sum("_pos").over(whole).alias("_P"), F.sum("_neg").over(whole).alias("_N"),
+    )
+    by_fine = by_fine.select(*keys, "_c", "_f", below("_c", order="_f").alias("_u2"))
+    ranked = (
+        per_score.withColumn("_u3", below("_f", order="p"))
+        .join(by_fine, [*keys, "_c", "_f"])
+        .join(by_coarse, [*keys, "_c"])
     )
-    inside = Window.partitionBy(*keys, "_b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per_score.withColumn("_in", F.coalesce(F.sum("_neg").over(inside), F.lit(0))).join(per_bucket, [*keys, "_b"])
-    wins = F.col("_pos") * (F.col("_under") + F.col("_in") + F.col("_neg") / 2.0)
+    wins = F.col("_pos") * (F.col("_u1") + F.col("_u2") + F.col("_u3") + F.col("_neg") / 2.0)
     return ranked.groupBy(*keys).agg(
         F.try_divide(F.sum(wins), F.max("_P").cast("double") * F.max("_N")).alias("roc_auc")
     )

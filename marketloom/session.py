@@ -52,3 +52,12 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def spread_groups(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by key for CPU-bound work per group.
+
+    The count is that of any other shuffle, but stated, so AQE does not merge
+    partitions that are small in bytes yet long in compute.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

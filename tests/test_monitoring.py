@@ -70,8 +70,8 @@ def test_auc_matches_pair_count(spark):
     rng = random.Random(3)
     pairs = [(round(rng.random(), 2), int(rng.random() < 0.4)) for _ in range(300)]
     df = spark.createDataFrame([("m", p, float(y)) for p, y in pairs], "model string, p double, y double")
-    for buckets in (1, 7, 4096):
-        assert ev.auc(df, "model", buckets=buckets).first().roc_auc == pytest.approx(_auc(pairs), rel=1e-12)
+    for fanout in (1, 7, 4096):
+        assert ev.auc(df, "model", fanout=fanout).first().roc_auc == pytest.approx(_auc(pairs), rel=1e-12)
 
 
 def test_macro_metrics_with_empty_class(spark):
