@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marketloom.catalog import fixtures as fx
 from marketloom.catalog import sessions as ss
+from marketloom.catalog import indicators as ci
 from marketloom.catalog.indicators import PLACES, RAW
 from marketloom.catalog.registry import query, r, sr
 from marketloom.plans import features as ft
@@ -186,10 +187,37 @@ def h5(spark, sf):
     return ft.merge_report(fx.universe(spark, sf), merged(spark, sf))
 
 
-@query("h6_combined_features")
+def _combined_sql() -> str:
+    """The feature matrix of C15 joined with the news, macro and interaction columns."""
+    shown = ", ".join(f"{e} AS {c}" for c, e in {**ci.WINDOWED, **ci.VOLATILITY, **ci.OBV, **ci.TARGETS}.items())
+    rec = ", ".join(f"{e} AS {c}" for c, e in ci.RECURSIVE.items())
+    ctes = (
+        ci.EWM + ci.R1 + SESS.removeprefix(fx.BARS) + "," + _daily(False) + "," + NEWS_CTES + H_NEWS + f""",
+tech AS (SELECT * FROM (SELECT symbol, trade_date, open, high, low, close, volume, r1, {shown} FROM r)
+         JOIN (SELECT symbol, trade_date, {rec} FROM rec) USING (symbol, trade_date)),
+mac AS (SELECT b.symbol, b.trade_date, {MACRO_COLS} FROM {ASOF_MACRO})"""
+    )
+    news = ", ".join(f"coalesce(n.{c}, 0)::DOUBLE AS {c}" for c in ft.NEWS_FEATURES)
+    return fx.sql(ctes, f"""
+SELECT t.* EXCLUDE (r1), t.trade_date AS session_date, {news}, mac.* EXCLUDE (symbol, trade_date),
+       {sr('coalesce(t.r1 - mac.kse100_return_1d, 0)')} AS rel_kse100_ret_1d,
+       {sr('mac.kibor_6m - mac.sbp_policy_rate')} AS policy_rate_spread, {sr('mac.sbp_policy_rate - mac.cpi_yoy')} AS real_interest_rate
+FROM tech t LEFT JOIN hnews n ON n.symbol = t.symbol AND n.session_date = t.trade_date
+JOIN mac ON mac.symbol = t.symbol AND mac.trade_date = t.trade_date""", recursive=True)
+
+
+@query("h6_combined_features", _combined_sql())
 def h6(spark, sf):
     df = merged(spark, sf)
-    return df.select(*[(r(c, PLACES.get(c, 6)).alias(c) if c in ft.TECHNICAL and c not in RAW else F.col(c)) for c in df.columns])
+
+    def shown(c: str):
+        if c in ft.INTERACTIONS or c == "target_return_5d":
+            return r(c).alias(c)
+        if c in ft.MACRO_FEATURES:
+            return (F.col(c) + 0.0).alias(c)
+        return r(c, PLACES.get(c, 6)).alias(c) if c in ft.TECHNICAL and c not in RAW else F.col(c)
+
+    return df.select(*[shown(c) for c in df.columns])
 
 
 @query("c16_feature_manifest", fx.sql(fx.BARS, """
