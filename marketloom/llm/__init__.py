@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ("packing", "quality", "sharding", "simhash", "token_files")
+PARTS = ("decontamination", "packing", "quality", "sharding", "simhash", "token_files")
 
 
 def load():
