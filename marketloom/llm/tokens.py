@@ -15,13 +15,14 @@ END_ID = 1
 END = END_ID.to_bytes(4, "little")
 #: Chunks one Python worker remembers; further ones are encoded each time they occur.
 CACHE_ENTRIES = 1_000_000
-TAILS = ",.!?;:"
 
 #: Control characters, rare kinds of space and letters beyond Latin Extended-A.
 _UNUSUAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u0130\u0149\u017f-\U0010ffff]")
 _SPACE = re.compile("[ \t\n\r]+")
 #: Lower-case letters of which each is its own normal form and its own lower-case form.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: Such letters and then ASCII marks, which the pre-tokeniser takes as one piece.
+_TAILED = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:;=-@[-`{-~]+)")
 #: Byte-level alphabets write the bytes of these letters' UTF-8 forms as these characters.
 _BYTE_CHARS = {b: chr(b) for b in range(0xA1, 0x100) if b != 0xAD}
 _BYTE_CHARS |= {b: chr(256 + i) for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
@@ -38,7 +39,6 @@ class ChunkIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.entries = entries
-        self.tails = {c: self._encode(c) for c in TAILS}
 
     def _encode(self, chunk: str) -> bytes:
         if _PLAIN.fullmatch(chunk):
@@ -47,10 +47,8 @@ class ChunkIds(dict):
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        tail = self.tails.get(chunk[-1:])
-        if tail is not None and _PLAIN.fullmatch(chunk, 0, len(chunk) - 1):
-            return self[chunk[:-1]] + tail
-        ids = self._encode(chunk)
+        parts = _TAILED.fullmatch(chunk)
+        ids = self[parts[1]] + self[parts[2]] if parts else self._encode(chunk)
         if len(self) < self.entries:
             self[chunk] = ids
         return ids
