@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ("decontamination", "packing", "quality", "sharding", "simhash", "token_files")
+PARTS = ("decontamination", "neighbours", "packing", "quality", "sharding", "simhash", "token_files", "url_filter")
 
 
 def load():
