@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ("decontamination", "neighbours", "packing", "quality", "sharding", "simhash", "token_files", "url_filter")
+PARTS = ("decontamination", "neighbours", "packing", "quality", "sharding", "simhash", "token_counts", "token_files", "url_filter")
 
 
 def load():
