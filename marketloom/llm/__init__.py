@@ -7,7 +7,18 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ("decontamination", "neighbours", "packing", "quality", "sharding", "simhash", "token_counts", "token_files", "url_filter")
+PARTS = (
+    "decontamination",
+    "language_model",
+    "neighbours",
+    "packing",
+    "quality",
+    "sharding",
+    "simhash",
+    "token_counts",
+    "token_files",
+    "url_filter",
+)
 
 
 def load():
