@@ -133,8 +133,10 @@ def matches(text: str | None, sketches: Sketches) -> list[tuple[int, float]]:
     return sorted(found, key=lambda m: (m[0] is None, m[0], m[1]))
 
 
-def find_items(docs: DataFrame, items: DataFrame, keep: tuple[str, ...], similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The columns ``keep`` and ``matches``, an array of (item_id, containment), of each row.
+def find_items(
+    docs: DataFrame, items: DataFrame, keep: tuple[str, ...], similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS, name: str = "matches"
+) -> DataFrame:
+    """The columns ``keep`` and, as ``name``, the matches: an array of (item_id, containment), of each row.
 
     Words are runs of letters, digits and underscores, lower-cased. Items of the same text
     are searched once and all reported. The items (``item_id``, ``text``) are read in blocks
@@ -142,10 +144,12 @@ def find_items(docs: DataFrame, items: DataFrame, keep: tuple[str, ...], similar
     documents, and items without words, match nothing. Repeated rows stay; an item's null id
     is reported as null; other columns are not read. Empty in, empty out.
     """
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
 
-    kind = StructType.fromDDL("matches array<struct<item_id: bigint, containment: double>>")[0]
-    out = StructType([*(docs.schema[c] for c in keep), docs.schema["text"], kind])
+    read = [*keep] if "text" in keep else [*keep, "text"]
+    at = read.index("text")
+    kind = StructType.fromDDL("m array<struct<item_id: bigint, containment: double>>")[0].dataType
+    out = StructType([*(docs.schema[c] for c in read), StructField(name, kind)])
     schema = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64())]))
 
     spark = docs.sparkSession
@@ -163,18 +167,17 @@ def find_items(docs: DataFrame, items: DataFrame, keep: tuple[str, ...], similar
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketches = block.value
             for batch in batches:
-                found = [[{"item_id": i, "containment": c} for i, c in matches(t.as_py(), sketches)] for t in batch.column(len(keep))]
-                carried = batch.columns[: len(keep) + 1]
+                found = [[{"item_id": i, "containment": c} for i, c in matches(t.as_py(), sketches)] for t in batch.column(at)]
                 if before:
-                    found = [a + b for a, b in zip(batch.column(len(keep) + 1).to_pylist(), found)]
-                yield pa.RecordBatch.from_arrays([*carried, pa.array(found, schema)], names=[*keep, "text", "matches"])
+                    found = [a + b for a, b in zip(batch.column(len(read)).to_pylist(), found)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(read)], pa.array(found, schema)], names=[*read, name])
 
         return search
 
-    rows = docs.select(*keep, "text")
+    rows = docs.select(*read)
     for before, one in enumerate(blocks):
         rows = rows.mapInArrow(pass_over(one, before), out)
-    return rows.select(*keep, "matches")
+    return rows.select(*keep, name)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,21 +133,24 @@ def fit_quality(
     return model
 
 
-def score_quality(docs: DataFrame, model: QualityModel, keep: tuple[str, ...]) -> DataFrame:
-    """The columns ``keep`` and the score of each row's whole ``text``.
+def score_quality(docs: DataFrame, model: QualityModel, keep: tuple[str, ...], name: str = "score") -> DataFrame:
+    """The columns ``keep`` and, as ``name``, the score of each row's whole ``text``.
 
     Null and empty texts score as the usual calibration text. Repeated rows stay; other
     columns are not read. Empty in, empty out.
     """
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    read = [*keep] if "text" in keep else [*keep, "text"]
+    at = read.index("text")
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = model.score(batch.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score, pa.float64())], names=[*keep, "score"])
+            score = model.score(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score, pa.float64())], names=[*keep, name])
 
-    out = StructType([*(docs.schema[c] for c in keep), StructField("score", DoubleType())])
-    return docs.select(*keep, F.col("text").alias("text")).mapInArrow(scored, out)
+    out = StructType([*(docs.schema[c] for c in keep), StructField(name, DoubleType())])
+    return docs.select(*read).mapInArrow(scored, out)
 
 
 def held_out(doc_id: str, folds: int, fold: int):

@@ -20,6 +20,7 @@ of sampled bits, as many as the wanted recall takes.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,9 +75,11 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, keep: tuple[str, ...] = ("doc_id",), distinct: bool = False) -> DataFrame:
     """The columns ``keep`` and ``f0`` .. of ``words`` 64-bit fingerprints for each row.
 
+    ``distinct``: a shingle counts once however often it is repeated.
+
     Null and empty texts, and texts without words, have fingerprint zero. Repeated rows stay.
     """
     columns = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"f{k} long" for k in range(words))])
@@ -93,6 +96,7 @@ def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, keep: tuple[st
 
             for text in batch.column(len(keep)):
                 found = shingle_hashes(text.as_py(), width)
+                found = set(found) if distinct else found
                 hashes += found
                 sizes.append(len(found))
                 if len(hashes) > 200_000 or len(sizes) >= 512:
@@ -213,27 +217,41 @@ def bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.
     return np.concatenate(found_a or [starts[:0]]), np.concatenate(found_b or [starts[:0]])
 
 
-def _links_of_buckets(rows: DataFrame, words: int, radius: int, batch_rows: int = 200_000) -> DataFrame:
-    """Links (a, b) between ``node``s of rows (bucket, node, f0 ..), which are dealt by bucket here."""
+def _links_of_buckets(rows: DataFrame, words: int, radius: int, batch_rows: int = 200_000, fold: int | None = None, carry: int = 64) -> DataFrame:
+    """Links (a, b) between ``node``s of rows (bucket, node, f0 ..), which are dealt by bucket here.
+
+    ``fold``: a bucket that reaches so many rows is linked as it stands, and of each component
+    found only ``carry`` members meet the rows that follow, so that a group of near copies of
+    any size takes bounded memory.
+    """
     names = ["bucket", "node", *(f"f{k}" for k in range(words))]
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 2 + words), np.int64)
+    def as_links(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-        def links(table: np.ndarray) -> pa.RecordBatch:
-            a, b = bucket_links(table[:, 0], table[:, 2:].view(np.uint64), radius)
-            node = table[:, 1]
-            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+    def prints_of(table: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(table[:, 2:]).view(np.uint64)
 
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, most = np.zeros((0, 2 + words), np.int64), fold or 0
         for batch in batches:
             held = np.concatenate((held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)))
-            if len(held) >= batch_rows:  # all but the last bucket, which may go on
-                last = np.searchsorted(held[:, 0], held[-1, 0])
-                if last:
-                    yield links(np.ascontiguousarray(held[:last]))
-                    held = held[last:]
+            if len(held) < batch_rows:
+                continue
+            last = np.flatnonzero(held[:, 0] == held[-1, 0])[0]  # all but the last bucket, which may go on
+            if last:
+                yield as_links(held[:last, 1], *bucket_links(held[:last, 0], prints_of(held[:last]), radius))
+                held, most = held[last:], fold or 0
+            if fold and len(held) >= most:
+                label = forest(prints_of(held), radius)
+                moved = np.flatnonzero(label != np.arange(len(held)))
+                yield as_links(held[:, 1], moved, label[moved])
+                order = np.argsort(label, kind="stable")
+                starts = np.searchsorted(label[order], label[order])
+                held = held[np.sort(order[np.arange(len(held)) - starts < carry])]
+                most = max(fold, 2 * len(held))
         if len(held):
-            yield links(np.ascontiguousarray(held))
+            yield as_links(held[:, 1], *bucket_links(held[:, 0], prints_of(held), radius))
 
     dealt = rows.select(*names).repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(compared, "a long, b long")
@@ -298,6 +316,57 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = RADIUS) ->
     )
 
 
+def flip_share(similarity: float) -> float:
+    """Expected share of differing bits for two sets of this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def linked_wide(prints: DataFrame, words: int, similarity: float, recall: float = 0.95, slack: float = 0.02, seed: int = 9, fold: int = 32_768) -> DataFrame:
+    """(a, b): links between ``node``s whose fingerprints f0 .. tell of this similarity or more.
+
+    Fingerprints meet in tables of sampled bits: about the logarithm of the rows less two,
+    and 16 at least; as many tables as give ``recall`` for a pair at the threshold itself.
+    They are linked at up to the share of differing bits expected there, plus ``slack``.
+    """
+    n = prints.count()
+    apart = flip_share(similarity)
+    bits = max(16, n.bit_length() - 2)
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - apart) ** bits))
+    rng = np.random.default_rng(seed)
+    keys = []
+    for t in range(tables):
+        masks = [0] * words
+        for bit in rng.choice(64 * words, bits, replace=False).tolist():
+            masks[bit // 64] |= 1 << (bit % 64)
+        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+        keys.append(F.xxhash64(F.lit(t), *(F.col(f"f{k}").bitwiseAND(F.lit(m)) for k, m in enumerate(signed) if m)))
+    rows = prints.select("node", *(f"f{k}" for k in range(words)), F.explode(F.array(*keys)).alias("bucket"))
+    return _links_of_buckets(rows, words, math.floor((apart + slack) * 64 * words), batch_rows=min(200_000, fold), fold=fold)
+
+
+def near_copy_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, words: int = 4) -> DataFrame:
+    """doc_id, text_hash, copies and ``keeper`` for each distinct (doc_id, text) of ``docs``.
+
+    Groups are what links of near copies reach: distinct five-word shingles, 64 x ``words``
+    bits. The keeper of a group is the row with the least ``doc_id`` (nulls last), then the
+    least hash of the text; ``copies`` says how often that row occurs. Texts without words
+    are copies of each other. Other columns are not read. Empty in, empty out.
+    """
+    prints = [f"f{k}" for k in range(words)]
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    rows = cut_lineage(
+        fingerprints(hashed, width, words, ("doc_id", "text_hash"), distinct=True).withColumn("node", F.xxhash64(*prints))
+    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    nodes = rows.groupBy("node", *prints).agg(first.alias("first"))
+    found = components(linked_wide(nodes, words, similarity))
+    roots = nodes.select("node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keepers = roots.groupBy("root").agg(F.min("first").alias("best")).select("best.doc_id", "best.text_hash", F.lit(True).alias("keeper"))
+    distinct = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    same = distinct.doc_id.eqNullSafe(keepers.doc_id) & (distinct.text_hash == keepers.text_hash)
+    return distinct.join(keepers, same, "left").select(distinct.doc_id, distinct.text_hash, "copies", F.coalesce("keeper", F.lit(False)).alias("keeper"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
