@@ -232,7 +232,7 @@ def statistics(scored: Scored, tokens: int, vocabulary: int) -> tuple[np.ndarray
     a, b = bigram / uniform, unigram / uniform
     code = (bucket_of(context - 1) * CELLS + cell(a)) * CELLS + cell(b)
     found, places = np.unique(code, return_inverse=True)
-    sums = np.stack([np.bincount(places, weights=w, minlength=len(found)) for w in (np.ones(len(a)), a, b)], axis=1)
+    sums = np.stack([np.bincount(places, weights=w, minlength=len(found)) for w in (np.ones(len(a)), a, b)], axis=1).astype(float)
     return found, sums
 
 

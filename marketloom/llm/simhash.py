@@ -321,7 +321,7 @@ def flip_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def linked_wide(prints: DataFrame, words: int, similarity: float, recall: float = 0.95, slack: float = 0.02, seed: int = 9, fold: int = 32_768) -> DataFrame:
+def linked_wide(prints: DataFrame, words: int, similarity: float, recall: float = 0.98, slack: float = 0.02, seed: int = 9, fold: int = 32_768) -> DataFrame:
     """(a, b): links between ``node``s whose fingerprints f0 .. tell of this similarity or more.
 
     Fingerprints meet in tables of sampled bits: about the logarithm of the rows less two,
