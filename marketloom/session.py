@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -25,11 +28,22 @@ def build_session(app: str = "marketloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+class NoSharedFolderError(RuntimeError):
+    """Intermediate tables need a folder that all executors see."""
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset (local tests) a private one."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (tests) gets a private one, removed when Python
+    ends; on a cluster an executor could not see it, so that is an error.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise NoSharedFolderError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="spark-ckpt-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared
 
@@ -39,19 +53,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Used where one result feeds several jobs (splits, folds, evaluation). A lost
     executor then costs a re-read, and each job reads only the columns it needs.
+    The table lasts as long as the application may read it; ``drop_cut_tables`` removes all.
     """
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = f"{_cut_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores for CPU-bound work on a scan of few files; a no-op on large inputs.
+def _cut_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
 
-    Only for plain scans: counting partitions behind a shuffle would run it.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+def drop_cut_tables(spark: SparkSession) -> bool:
+    """Remove what ``cut_lineage`` wrote in this application, once its results are written."""
+    jvm, folder = spark.sparkContext._jvm, _cut_folder(spark)
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread_groups(df: DataFrame, *keys: str) -> DataFrame:
