@@ -165,25 +165,33 @@ def macro_raw(spark: SparkSession, sf: str) -> DataFrame:
     return monthly_macro(table(spark, sf, "orders"))
 
 
-def monthly_macro(orders: DataFrame) -> DataFrame:
-    """Monthly mean order value per priority as a slow series, public three days after month end."""
+def monthly_sums(orders: DataFrame) -> DataFrame:
+    """Cents and number of orders per (indicator, month): partials that add up."""
     names = F.create_map(*[F.lit(x) for kv in MACRO_NAMES.items() for x in kv])
     month = F.last_day(F.to_date("o_orderdate"))
+    return orders.groupBy(names[F.col("o_orderpriority")].alias("indicator"), month.alias("observation_date")).agg(
+        F.sum(F.round(F.col("o_totalprice") * 100.0).cast("bigint")).alias("cents"), F.count(F.lit(1)).alias("n")
+    )
+
+
+def monthly_means(sums: DataFrame) -> DataFrame:
     return (
-        orders.groupBy(names[F.col("o_orderpriority")].alias("indicator"), month.alias("observation_date"))
-        .agg(
-            F.sum(F.round(F.col("o_totalprice") * 100.0).cast("bigint")).alias("_cents"),
-            F.count(F.lit(1)).alias("_n"),
-        )
+        sums.groupBy("indicator", "observation_date")
+        .agg(F.sum("cents").alias("cents"), F.sum("n").alias("n"))
         .select(
             "indicator",
             "observation_date",
             F.date_add("observation_date", 3).alias("public_release_date"),
-            (F.floor(F.col("_cents") / F.col("_n")) / 100.0).alias("value"),
+            (F.floor(F.col("cents") / F.col("n")) / 100.0).alias("value"),
         )
     )
 
 
+def monthly_macro(orders: DataFrame) -> DataFrame:
+    """Monthly mean order value per priority as a slow series, public three days after month end."""
+    return monthly_means(monthly_sums(orders))
+
+
 MACRO = """
 macro_raw AS (
   SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'USD_PKR' WHEN '2-HIGH' THEN 'SBP_POLICY_RATE'

@@ -33,16 +33,26 @@ EV = """
 ev AS (SELECT event_id, user_id, upper(event_type) AS symbol, ts, floor(value * 64e0) / 64e0 + 1 AS price FROM events)"""
 
 
-@query("n1_streaming_bar_upsert", fx.sql(EV, """
+DAILY = fx.sql(EV, """
 SELECT symbol, CAST(ts AS DATE) AS trade_date, arg_min(price, (ts, event_id)) AS open, max(price) AS high, min(price) AS low,
-       arg_max(price, (ts, event_id)) AS close, count(*) AS volume FROM ev GROUP BY ALL"""))
+       arg_max(price, (ts, event_id)) AS close, count(*) AS volume FROM ev GROUP BY ALL""")
+
+
+def _ticks():
+    return st.tick_partials("symbol", "ts", F.col("price"), F.lit(1), ["event_id"])
+
+
+@query("n1_streaming_bar_upsert", DAILY)
 def n1(spark, sf):
+    """Bars merged from partials, then upserted: a symbol is written again only where its bars changed."""
     home = _fresh(spark)
-    upsert = st.upsert_bars(f"{home}/prices", ["volume"])
+    keep = st.keep_partials(f"{home}/partials", _ticks())
 
     def handle(batch, batch_id):
-        bars = fx.daily_bars(batch.withColumn("trade_date", F.to_date("ts")).withColumn("one", F.lit(1)), "price", "one", ("ts", "event_id"))
-        upsert(bars, batch_id)
+        keep(batch, batch_id)
+        touched = batch.select("symbol").distinct()
+        bars = st.merge_ticks(st.read_partials(spark, f"{home}/partials").join(touched, "symbol", "left_semi"))
+        st.write_partitions(bars, f"{home}/prices")
 
     for attempt in ("a", "b"):  # a second run over the same files must change nothing
         st.run_batches(events(spark, sf), f"{home}/checkpoint_{attempt}", handle)
@@ -52,24 +62,24 @@ def n1(spark, sf):
 @query("n2_stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
 def n2(spark, sf):
     home = _fresh(spark)
-    stream = _stream(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    st.run_append(st.dedupe(stream, ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type"), f"{home}/c", f"{home}/t")
-    return spark.read.parquet(f"{home}/t")
+    keys = ["user_id", "event_type"]
+    st.run_batches(_stream(spark, sf, "events").select(*keys), f"{home}/c", st.new_keys(f"{home}/t", keys))
+    return st.read_partials(spark, f"{home}/t").select(*keys)
 
 
 def _windows(spark, sf, hours):
     home = _fresh(spark)
-    out = st.news_windows(events(spark, sf), ["symbol"], "ts", hours, "12 hours", (F.col("price") - 250.0))
-    st.run_append(out, f"{home}/c", f"{home}/t")
-    return spark.read.parquet(f"{home}/t")
+    make = st.news_windows(["symbol"], "ts", hours, F.col("price") - 250.0)
+    st.run_batches(events(spark, sf), f"{home}/c", st.keep_partials(f"{home}/t", make))
+    return st.merge_windows(st.read_partials(spark, f"{home}/t"), ["symbol"])
 
 
 def _windows_sql(hours: int) -> str:
     return fx.sql(EV + """,
-lim AS (SELECT max(ts) - INTERVAL 1 MICROSECOND - INTERVAL 12 HOUR AS wm, min(ts) AS lo FROM ev),
-opens AS (SELECT CAST(unnest(generate_series(date_trunc('day', lo), wm + INTERVAL 4 DAY, INTERVAL 1 DAY)) AS DATE) + TIME '04:15:00' AS o, wm FROM lim)""", f"""
+lim AS (SELECT max(ts) AS hi, min(ts) AS lo FROM ev),
+opens AS (SELECT CAST(unnest(generate_series(date_trunc('day', lo), hi + INTERVAL 4 DAY, INTERVAL 1 DAY)) AS DATE) + TIME '04:15:00' AS o FROM lim)""", f"""
 SELECT symbol, CAST(o AS DATE) AS session_date, count(*) AS news_count, sum(price - 250) AS score_sum
-FROM opens JOIN ev ON ts > o - INTERVAL {hours} HOUR AND ts <= o WHERE o <= wm GROUP BY ALL""")
+FROM opens JOIN ev ON ts > o - INTERVAL {hours} HOUR AND ts <= o GROUP BY ALL""")
 
 
 @query("n3_news_windows_24h", _windows_sql(24))
@@ -82,14 +92,11 @@ def n3l(spark, sf):
     return _windows(spark, sf, 72)
 
 
-@query("n4_tick_bars", fx.sql(EV, """
-SELECT symbol, CAST(ts AS DATE) AS trade_date, arg_min(price, (ts, event_id)) AS open, max(price) AS high, min(price) AS low,
-       arg_max(price, (ts, event_id)) AS close, count(*) AS volume FROM ev
-WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ev) GROUP BY ALL"""))
+@query("n4_tick_bars", DAILY)
 def n4(spark, sf):
     home = _fresh(spark)
-    st.run_append(st.tick_bars(events(spark, sf), "symbol", "ts", F.col("price"), F.lit(1), ["event_id"], "1 hour"), f"{home}/c", f"{home}/t")
-    return spark.read.parquet(f"{home}/t")
+    st.run_batches(events(spark, sf), f"{home}/c", st.keep_partials(f"{home}/t", _ticks()))
+    return st.merge_ticks(st.read_partials(spark, f"{home}/t"))
 
 
 @query("n5_late_releases", fx.sql(SESS, """
@@ -97,11 +104,16 @@ SELECT s.session_date, u.value AS usd_pkr, b.value AS brent_crude FROM sess s
 ASOF LEFT JOIN (SELECT * FROM macro_raw WHERE indicator = 'USD_PKR') u ON s.session_date >= u.public_release_date
 ASOF LEFT JOIN (SELECT * FROM macro_raw WHERE indicator = 'BRENT_CRUDE') b ON s.session_date >= b.public_release_date"""))
 def n5(spark, sf):
+    """Sums and counts of a month are kept by batch; a month is divided when it is read."""
     home = _fresh(spark)
-    handle = st.late_releases(f"{home}/raw", f"{home}/daily", lambda: macro_sessions(spark, sf))
+    keep = st.keep_partials(f"{home}/partials", fx.monthly_sums)
+    release = st.late_releases(f"{home}/raw", f"{home}/daily", lambda: macro_sessions(spark, sf))
 
-    def monthly(batch, batch_id):
-        handle(fx.monthly_macro(batch), batch_id)
+    def handle(batch, batch_id):
+        keep(batch, batch_id)
+        months = batch.select(F.last_day(F.to_date("o_orderdate")).alias("observation_date")).distinct()
+        touched = st.read_partials(spark, f"{home}/partials").join(months, "observation_date", "left_semi")
+        release(fx.monthly_means(touched), batch_id)
 
-    st.run_batches(_stream(spark, sf, "orders"), f"{home}/checkpoint", monthly)
+    st.run_batches(_stream(spark, sf, "orders"), f"{home}/checkpoint", handle)
     return read_version(spark, f"{home}/daily").select("session_date", "usd_pkr", "brent_crude")

@@ -42,17 +42,22 @@ def run_batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame,
     query.awaitTermination()
 
 
-def run_append(stream: DataFrame, checkpoint: str, path: str) -> None:
-    """Append finished rows to a Parquet table (exactly once through the sink's log)."""
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .option("path", path)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+def keep_partials(folder: str, make: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """Batch handler: write ``make(batch)`` as the batch's own partition, replacing it on a replay.
+
+    Partials merge in any order, so what is read does not depend on how the input was cut
+    into batches, or on how late a row came. Each is as large as the keys its batch touched.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        make(batch).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return handle
+
+
+def read_partials(spark: SparkSession, folder: str) -> DataFrame:
+    """All partials so far, with the number of their batch."""
+    return spark.read.parquet(folder)
 
 
 def upsert_bars(table: str, order: list[str]) -> Callable[[DataFrame, int], None]:
@@ -66,39 +71,65 @@ def upsert_bars(table: str, order: list[str]) -> Callable[[DataFrame, int], None
     return handle
 
 
-def dedupe(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
-    """Drop repeats of a key seen within the delay; state is bounded by the watermark."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+def new_keys(folder: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """Batch handler: keep keys that no earlier batch held, for all time."""
 
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.select(*keys).distinct()
+        spark = batch.sparkSession
+        if batch_id:
+            earlier = read_partials(spark, folder).where(F.col("batch") < batch_id).select(*keys)
+            same = [fresh[k].eqNullSafe(earlier[k]) for k in keys]
+            fresh = fresh.join(earlier, same, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
-def news_windows(stream: DataFrame, keys: list[str], time: str, hours: int, delay: str, score: Column) -> DataFrame:
-    """Counts and score sums over windows (open - hours, open] that end at each daily opening.
+    return handle
+
+
+def news_windows(keys: list[str], time: str, hours: int, score: Column) -> Callable[[DataFrame], DataFrame]:
+    """Partial counts and score sums over windows (open - hours, open] that end at each daily opening.
 
     Spark windows are closed on the left, the rule is closed on the right, so times are
     moved back by one microsecond.
     """
-    moved = stream.withColumn("_t", F.col(time) - F.expr("INTERVAL '0.000001' SECOND")).withWatermark("_t", delay)
-    span = F.window("_t", f"{hours} hours", "24 hours", OPEN_OFFSET)
-    return (
-        moved.withColumn("_s", score)
-        .groupBy(span.alias("w"), *keys)
-        .agg(F.count(F.lit(1)).alias("news_count"), F.sum("_s").alias("score_sum"))
-        .select(*keys, F.to_date("w.end").alias("session_date"), "news_count", "score_sum")
-    )
+
+    def make(batch: DataFrame) -> DataFrame:
+        moved = batch.withColumn("_t", F.col(time) - F.expr("INTERVAL '0.000001' SECOND"))
+        span = F.window("_t", f"{hours} hours", "24 hours", OPEN_OFFSET)
+        return (
+            moved.withColumn("_s", score)
+            .groupBy(span.alias("w"), *keys)
+            .agg(F.count(F.lit(1)).alias("news_count"), F.sum("_s").alias("score_sum"))
+            .select(*keys, F.to_date("w.end").alias("session_date"), "news_count", "score_sum")
+        )
+
+    return make
 
 
-def tick_bars(stream: DataFrame, symbol: str, time: str, price: Column, volume: Column, seq: list[str], delay: str) -> DataFrame:
-    """Daily bars from trades; a day is emitted once the watermark has passed its end."""
+def merge_windows(partials: DataFrame, keys: list[str]) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in ("news_count", "score_sum")]
+    return partials.groupBy(*keys, "session_date").agg(*sums)
+
+
+def tick_partials(symbol: str, time: str, price: Column, volume: Column, seq: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Partial daily bars: first and last price with their order, high, low and volume."""
     order = F.struct(time, *seq)
-    return (
-        stream.withWatermark(time, delay)
-        .withColumns({"_p": price, "_v": volume})
-        .groupBy(F.col(symbol).alias("symbol"), F.window(time, "1 day").alias("w"))
-        .agg(
-            F.min_by("_p", order).alias("open"), F.max("_p").alias("high"), F.min("_p").alias("low"),
-            F.max_by("_p", order).alias("close"), F.sum("_v").alias("volume"),
+
+    def make(batch: DataFrame) -> DataFrame:
+        ticks = batch.select(F.col(symbol).alias("symbol"), F.to_date(time).alias("trade_date"), order.alias("o"), price.alias("p"), volume.alias("v"))
+        tick = F.struct("o", "p")
+        return ticks.groupBy("symbol", "trade_date").agg(
+            F.min(tick).alias("first"), F.max(tick).alias("last"), F.max("p").alias("high"), F.min("p").alias("low"), F.sum("v").alias("volume")
         )
-        .select("symbol", F.to_date("w.start").alias("trade_date"), "open", "high", "low", "close", "volume")
+
+    return make
+
+
+def merge_ticks(partials: DataFrame) -> DataFrame:
+    """Daily bars from the partials of any number of batches."""
+    return partials.groupBy("symbol", "trade_date").agg(
+        F.min("first")["p"].alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max("last")["p"].alias("close"), F.sum("volume").alias("volume"),
     )
 
 
