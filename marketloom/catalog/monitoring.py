@@ -148,9 +148,6 @@ def l5(spark, sf):
     return mn.calibration_report(scores(spark, sf)).select("samples", r("ece").alias("ece"), "status")
 
 
-DRIFT_FEATURES = ["close", "volume", "range_pct", "change"]
-
-
 def drift_input(spark, sf):
     from marketloom.operators.windows import per_symbol
     return fx.bars(spark, sf).withColumns({
@@ -158,14 +155,15 @@ def drift_input(spark, sf):
 
 
 def drift_values(spark, sf):
-    return mn.long_values(mn.recent_and_reference(drift_input(spark, sf)), DRIFT_FEATURES)
+    table = drift_input(spark, sf)
+    return mn.long_values(mn.recent_and_reference(table), mn.numeric_columns(table))
 
 
 DRIFT = fx.BARS + """,
-wide AS (SELECT symbol, trade_date, close, volume::DOUBLE AS volume, (high - low) / close AS range_pct, close - lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS change,
+wide AS (SELECT symbol, trade_date, open, high, low, close, volume::DOUBLE AS volume, (high - low) / close AS range_pct, close - lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS change,
          row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS rd, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
 sliced AS (SELECT *, CASE WHEN rd <= 60 THEN 'cur' ELSE 'ref' END AS role FROM wide WHERE n >= 80 AND rd <= 310),
-vals AS (SELECT symbol, role, feature, x FROM (UNPIVOT (SELECT symbol, role, close, volume, range_pct, change FROM sliced) ON close, volume, range_pct, change INTO NAME feature VALUE x) WHERE x IS NOT NULL),
+vals AS (SELECT symbol, role, feature, x FROM (UNPIVOT (SELECT symbol, role, open, high, low, close, volume, range_pct, change FROM sliced) ON open, high, low, close, volume, range_pct, change INTO NAME feature VALUE x) WHERE x IS NOT NULL),
 cuts AS (SELECT symbol, feature, list_distinct(quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) FILTER (role = 'ref')) AS q,
          var_pop(x) FILTER (role = 'ref') AS v, count(*) FILTER (role = 'ref') AS n_ref, count(*) FILTER (role = 'cur') AS n_cur FROM vals GROUP BY ALL),
 placed AS (SELECT vals.*, len(list_filter(q, lambda e: e <= x)) AS b FROM vals JOIN cuts USING (symbol, feature)),
@@ -206,7 +204,7 @@ def l8(spark, sf):
 
 
 @query("l8_top_drifting_features", fx.sql(DRIFT, f"""
-SELECT symbol, feature, {sr('psi')} AS psi, status, row_number() OVER (PARTITION BY symbol ORDER BY psi DESC, feature)::INT AS rank FROM drift"""))
+SELECT symbol, feature, {sr('psi')} AS psi, status, row_number() OVER (PARTITION BY symbol ORDER BY psi DESC, feature)::INT AS rank FROM drift QUALIFY rank <= 10"""))
 def l8t(spark, sf):
     return mn.top_drifting(mn.feature_drift(drift_values(spark, sf))).select("symbol", "feature", r("psi").alias("psi"), "status", "rank")
 
@@ -231,7 +229,9 @@ modelsum AS (SELECT tot.*, cal.status AS calibration_status, CASE WHEN cal.statu
   WHEN cal.status = 'MODERATE_MISCALIBRATION' OR (resolved_predictions >= 10 AND hit_rate < 0.45) THEN 'DEGRADED' ELSE 'HEALTHY' END AS status FROM tot, cal)"""
 DRIFTSUM = """,
 driftsum AS (SELECT *, CASE WHEN symbols_alerting > 0 THEN 'CRITICAL' WHEN symbols_warning > 0 THEN 'DEGRADED' ELSE 'HEALTHY' END AS status
-  FROM (SELECT count(*) AS symbols_evaluated, count(*) FILTER (overall_status = 'ALERT') AS symbols_alerting, count(*) FILTER (overall_status = 'WARNING') AS symbols_warning FROM summ))"""
+  FROM (SELECT count(*) AS symbols_evaluated, count(*) FILTER (overall_status = 'ALERT') AS symbols_alerting, count(*) FILTER (overall_status = 'WARNING') AS symbols_warning,
+               coalesce(list(symbol ORDER BY symbol) FILTER (overall_status = 'ALERT'), []) AS alerting_symbols,
+               coalesce(list(symbol ORDER BY symbol) FILTER (overall_status = 'WARNING'), []) AS warning_symbols FROM summ))"""
 
 
 def freshness(spark, sf):

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketloom.operators.windows import per_symbol
 
@@ -102,6 +103,11 @@ def recent_and_reference(features: DataFrame, recent: int = 60, reference: int =
     return d.withColumn("role", F.when(F.col("_rn") <= recent, "cur").otherwise("ref")).drop("_rn", "_n")
 
 
+def numeric_columns(table: DataFrame) -> list[str]:
+    """All numeric columns, in the table's order."""
+    return [f.name for f in table.schema if isinstance(f.dataType, T.NumericType)]
+
+
 def long_values(sliced: DataFrame, features: list[str]) -> DataFrame:
     """(symbol, feature, role, x): finite values only, after the slice has bounded the rows."""
     cols = [F.col(c).cast("double").alias(c) for c in features]
@@ -257,6 +263,8 @@ def drift_rollup(drift: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("symbols_evaluated"),
         F.count_if(F.col("overall_status") == "ALERT").alias("symbols_alerting"),
         F.count_if(F.col("overall_status") == "WARNING").alias("symbols_warning"),
+        *[F.array_sort(F.collect_list(F.when(F.col("overall_status") == s, F.col("symbol")))).alias(n)
+          for s, n in (("ALERT", "alerting_symbols"), ("WARNING", "warning_symbols"))],  # one row per symbol
     )
     return out.withColumn(
         "status",
