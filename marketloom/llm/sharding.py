@@ -18,7 +18,7 @@ from marketloom.session import cut_lineage
 SHARDS = 40
 SEED = 7
 #: Rows that one cell holds on average; the number of cells follows the table.
-CELL_ROWS = 20_000
+CELL_ROWS = 1_000
 
 
 def _placed(rows: DataFrame, group: list[str], cell: str, order: list[str], name: str) -> DataFrame:
