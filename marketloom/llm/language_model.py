@@ -8,15 +8,18 @@ uniform part covers the V words and one further symbol, which stands for every u
 word. A text begins from the end symbol and ends with it.
 
 The counts are never in one place. Documents are encoded into blocks: the distinct hashed
-words and bigrams of a block, sorted, and the token stream as places in them. Each block
-sends its distinct keys, with its training counts, to the ranges of the hash; a range sums
-the blocks' counts and answers each block with the totals of just its keys. The vocabulary
-size and N come from the same sums. Blocks and answers meet by block. All of this is
-compressed arrays in rows of bounded size, and grows with the text.
+words of a block, sorted, and the token stream as places in them; blocks are stored in
+buckets, so that what meets them later is all that moves. Each block sends its distinct
+words and bigrams, with its training counts, to the ranges of the hash; a range sums the
+blocks' counts and answers each block with the totals of just its keys. The vocabulary
+size and N come from the same sums. All of this is compressed arrays in rows of bounded
+size, and grows with the text. Words have 64-bit keys; bigrams as many bits as the tokens
+have, and ``PAIR_BITS`` more: about one in a million shares its count with another.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +28,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm.quality import held_out
-from marketloom.session import cut_lineage
+from marketloom.session import cut_lineage, shared_folder
 
 #: Text of a block, in bytes; the documents of a block are scored by one task.
 BLOCK_BYTES = 8_000_000
 #: Distinct keys that a range of the hash holds on average.
 RANGE_KEYS = 2_000_000
+PAIR_BITS = 20
 BUCKETS = 48
 #: Rounds of expectation-maximisation.
 ROUNDS = 40
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 END_WORD = b""
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -96,19 +100,13 @@ def unsqueeze_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unsqueeze(data, np.uint64), dtype=np.uint64)
 
 
-BLOCK = (
-    "block long, doc_ids array<long>, held array<boolean>, sizes array<long>, orders array<struct<keys: binary, trained: binary, places: binary>>"
-)
+BLOCK = "block long, doc_ids array<long>, held array<boolean>, sizes array<long>, keys binary, places binary"
 
 
 def encode_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of documents (``doc_id``, ``text``, ``held``), for order 1 and order 2:
-
-    sorted distinct keys, their training counts in the block, and each token's place in them.
-    """
-    names = ["block", "doc_ids", "held", "sizes", "orders"]
-    order_kind = pa.list_(pa.struct([("keys", pa.binary()), ("trained", pa.binary()), ("places", pa.binary())]))
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), order_kind]
+    """Blocks of documents (``doc_id``, ``text``, ``held``): sorted distinct words, each token's place in them."""
+    names = ["block", "doc_ids", "held", "sizes", "keys", "places"]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -117,15 +115,8 @@ def encode_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         ids, held, tokens, filled, block = [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:
-            sizes = np.array([len(t) for t in tokens])
-            words = np.concatenate(tokens)
-            training = np.repeat(~np.array(held, bool), sizes)
-            orders = []
-            for keys in (words, bigram_hashes(words, np.cumsum(sizes) - sizes)):
-                distinct, places = np.unique(keys, return_inverse=True)
-                trained = np.bincount(places, weights=training, minlength=len(distinct)).astype(np.int64)
-                orders.append({"keys": squeeze_keys(distinct), "trained": squeeze(trained), "places": squeeze(places)})
-            values = (part + block, ids, held, sizes.tolist(), orders)
+            distinct, places = np.unique(np.concatenate(tokens), return_inverse=True)
+            values = (part + block, ids, held, [len(t) for t in tokens], squeeze_keys(distinct), squeeze(places))
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
         for batch in batches:
@@ -144,7 +135,32 @@ def encode_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return docs.select("doc_id", "text", "held").mapInArrow(encode, BLOCK)
 
 
-def exchange_counts(blocks: DataFrame, ranges: int) -> DataFrame:
+def stored_by(df: DataFrame, key: str) -> DataFrame:
+    """The table written to the shared folder in buckets of the key: joins by it do not move it."""
+    name = f"stored_{uuid.uuid4().hex}"
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").option("path", f"{shared_folder(df.sparkSession)}/tables/{name}")
+    writer.bucketBy(buckets, key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+class Block:
+    """A block's tokens: hashes, the places of words and of bigrams among the distinct ones."""
+
+    def __init__(self, row: dict, pair_bits: int):
+        self.sizes = np.array(row["sizes"])
+        self.ends = np.cumsum(self.sizes)
+        self.first = self.ends - self.sizes
+        self.held = np.repeat(np.array(row["held"], bool), self.sizes)
+        self.words, self.word_places = unsqueeze_keys(row["keys"]), unsqueeze(row["places"])
+        pairs = bigram_hashes(self.words[self.word_places], self.first) >> np.uint64(64 - pair_bits)
+        self.pairs, self.pair_places = np.unique(pairs, return_inverse=True)
+
+    def trained(self, places: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        return np.bincount(places[~self.held], minlength=len(keys)).astype(np.int64)
+
+
+def exchange_counts(blocks: DataFrame, ranges: int, pair_bits: int) -> DataFrame:
     """(block, order, range, totals, distinct, tokens): training totals of each block's keys.
 
     ``ranges`` is a power of two: the leading bits of a key say where it is counted.
@@ -153,23 +169,24 @@ def exchange_counts(blocks: DataFrame, ranges: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                for order, data in enumerate(row["orders"]):
-                    keys, trained = unsqueeze_keys(data["keys"]), unsqueeze(data["trained"])
-                    edges = np.searchsorted(keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64), np.arange(ranges + 1))
-                    for k in np.flatnonzero(np.diff(edges)).tolist():
-                        own = slice(edges[k], edges[k + 1])
-                        values = (row["block"], order, k, squeeze_keys(keys[own]), squeeze(trained[own]))
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                block = Block(row, pair_bits)
+                for order, keys, places, width in ((0, block.words, block.word_places, 64), (1, block.pairs, block.pair_places, pair_bits)):
+                    trained = block.trained(places, keys)
+                    edges = np.searchsorted(keys >> np.uint64(width - bits), np.arange(ranges + 1, dtype=np.uint64))
+                    for r in np.flatnonzero(np.diff(edges)).tolist():
+                        own = slice(edges[r], edges[r + 1])
+                        values = (row["block"], order, r, squeeze_keys(keys[own]), squeeze(trained[own]))
                         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, sent_kinds)], names=sent_names)
 
     def total(table: pa.Table) -> pa.Table:
         keys = [unsqueeze_keys(k.as_py()) for k in table["keys"]]
-        sizes = [len(k) for k in keys]
+        ends = np.cumsum([len(k) for k in keys])
         distinct, places = np.unique(np.concatenate(keys), return_inverse=True)
-        del keys
-        sums = np.bincount(places, weights=np.concatenate([unsqueeze(t.as_py()) for t in table["trained"]]), minlength=len(distinct)).astype(np.int64)
-        ends = np.cumsum(sizes)
-        answers = [squeeze(sums[places[e - n : e]]) for n, e in zip(sizes, ends)]
+        trained = np.concatenate([unsqueeze(t.as_py()) for t in table["trained"]])
+        sums = np.bincount(places, weights=trained, minlength=len(distinct)).astype(np.int64)
+        answers = [squeeze(sums[places[e - len(k) : e]]) for k, e in zip(keys, ends)]
         n = table.num_rows
         return pa.table(
             [table["block"], table["order"], table["range"], pa.array(answers, pa.binary()), pa.array([int((sums > 0).sum())] * n, pa.int64()), pa.array([int(sums.sum())] * n, pa.int64())],
@@ -178,28 +195,25 @@ def exchange_counts(blocks: DataFrame, ranges: int) -> DataFrame:
 
     sent_names = ["block", "order", "range", "keys", "trained"]
     sent_kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    sent = blocks.select("block", "orders").mapInArrow(send, "block long, order int, range int, keys binary, trained binary")
+    sent = blocks.mapInArrow(send, "block long, order int, range int, keys binary, trained binary")
     return sent.groupBy("order", "range").applyInArrow(total, "block long, order int, range int, totals binary, distinct long, tokens long")
 
 
 class Scored:
     """The counts of a block's tokens: of each token, of its context and of the two together."""
 
-    def __init__(self, block: dict, answers: list[dict]):
-        places = [unsqueeze(o["places"]) for o in block["orders"]]
+    def __init__(self, row: dict, answers: list[dict], pair_bits: int):
+        block = Block(row, pair_bits)
+        self.sizes, self.first, self.held = block.sizes, block.first, block.held
         totals = []
         for order in range(2):
             parts = sorted((a["range"], a["totals"]) for a in answers if a["order"] == order)
             totals.append(np.concatenate([unsqueeze(t) for _, t in parts]))
-        self.sizes = np.array(block["sizes"])
-        self.first = np.cumsum(self.sizes) - self.sizes
-        self.held = np.repeat(np.array(block["held"], bool), self.sizes)
-        self.word, self.pair = totals[0][places[0]], totals[1][places[1]]
-        end = self.word[self.first[0] + self.sizes[0] - 1]
+        self.word, self.pair = totals[0][block.word_places], totals[1][block.pair_places]
         # a word precedes as often as it occurs; the end symbol precedes the first words
         self.context = np.empty_like(self.word)
         self.context[1:] = self.word[:-1]
-        self.context[self.first] = end
+        self.context[self.first] = self.word[block.ends[0] - 1]
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -274,10 +288,11 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_keys: int
     but the uniform one is nothing. Empty in, empty out.
     """
     spark = docs.sparkSession
-    blocks = cut_lineage(encode_blocks(docs, block_bytes))
-    keys = blocks.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, s) -> a + s)"))).first()[0] or 0
-    ranges = 1 << max(2, int(keys // range_keys).bit_length())
-    answers = cut_lineage(exchange_counts(blocks, ranges))
+    blocks = stored_by(encode_blocks(docs, block_bytes), "block")
+    occurrences = blocks.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, s) -> a + s)"))).first()[0] or 0
+    ranges = 1 << max(2, int(occurrences // range_keys).bit_length())
+    pair_bits = min(64, int(occurrences).bit_length() + PAIR_BITS)
+    answers = cut_lineage(exchange_counts(blocks, ranges, pair_bits))
     known = {
         r["order"]: r
         for r in answers.select("order", "range", "distinct", "tokens").distinct().groupBy("order").agg(F.sum("distinct").alias("distinct"), F.sum("tokens").alias("tokens")).collect()
@@ -287,7 +302,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_keys: int
     def gathered(table: pa.Table) -> pa.Table:
         found, sums = [], []
         for block, parts in _meeting(table):
-            cells, own = statistics(Scored(block, parts), tokens, vocabulary)
+            cells, own = statistics(Scored(block, parts, pair_bits), tokens, vocabulary)
             found.append(cells)
             sums.append(own)
         cells, own = np.concatenate(found), np.concatenate(sums)
@@ -302,7 +317,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_keys: int
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         columns: list[list] = [[], [], [], [], [], []]
         for block, parts in _meeting((left, right)):
-            s = Scored(block, parts)
+            s = Scored(block, parts, pair_bits)
             mix = weights[np.minimum(bucket_of(s.context), BUCKETS - 1)]
             p = (parts_of(s.word, s.pair, s.context, tokens, vocabulary, False) * mix.T).sum(axis=0)
             base = np.log10((s.word + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
@@ -324,7 +339,8 @@ def _meet(blocks: DataFrame, answers: DataFrame):
 def _meeting(tables: tuple[pa.Table, pa.Table]) -> Iterator[tuple[dict, list[dict]]]:
     left, right = tables
     parts = right.to_pylist()
-    for block in left.to_pylist():
+    for k in range(left.num_rows):
+        block = left.slice(k, 1).to_pylist()[0]
         yield block, [p for p in parts if p["block"] == block["block"]]
 
 
