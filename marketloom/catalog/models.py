@@ -15,9 +15,7 @@ from marketloom.plans import models as md
 from marketloom.plans import split as sp
 from marketloom.session import cut_lineage
 
-# lighter than the library defaults so that a check run over all bars stays short
-LIGHT = md.Params(logit_iterations=50, trees=10, rounds=5)
-COLUMNS = ["return_1d", "return_5d", "dist_sma_20", "rsi_14", "macd_hist", "volatility_20d", "atr_percent_14", "bb_percent_b", "volume_relative_20"]
+COLUMNS = list(TECHNICAL)
 
 
 def split_rows(spark, sf):
@@ -119,7 +117,7 @@ def i13(spark, sf):
 def panel(spark, sf):
     """All bars with indicators and targets, split on one date."""
     feats = ft.build_features(locked_bars(spark, sf))
-    return sp.split_by_date(feats, [*COLUMNS, "sma_20", "sma_50"], md.TARGET)
+    return sp.split_by_date(feats, COLUMNS, md.TARGET)
 
 
 def merged_panel(spark, sf):
@@ -128,40 +126,41 @@ def merged_panel(spark, sf):
 
 @query("i8_logistic_regression")
 def i8(spark, sf):
-    return md.train_and_evaluate(panel(spark, sf), COLUMNS, ["logistic"], params=LIGHT)
+    return md.train_and_evaluate(panel(spark, sf), COLUMNS, ["logistic"])
 
 
 @query("i9_random_forest")
 def i9(spark, sf):
-    return md.train_and_evaluate(panel(spark, sf), COLUMNS, ["random_forest"], params=LIGHT)
+    return md.train_and_evaluate(panel(spark, sf), COLUMNS, ["random_forest"])
 
 
 @query("i10_boosted_trees")
 def i10(spark, sf):
-    return md.train_and_evaluate(panel(spark, sf), COLUMNS, ["boosted"], params=LIGHT)
+    return md.train_and_evaluate(panel(spark, sf), COLUMNS, ["boosted"])
 
 
 @query("i10_boosted_three_class")
 def i10m(spark, sf):
     rows = panel(spark, sf)
-    model = md.fit("boosted", rows.filter("role = 'train'"), COLUMNS, "target_next_day_3class", LIGHT, classes=3)
-    scored = md.score(model, rows.filter("role = 'test'"), classes=3)
-    return ev.class_metrics(scored.withColumn("y", F.col("target_next_day_3class")), "symbol")
+    model = md.fit("boosted", rows.filter("role = 'train'"), COLUMNS, "target_next_day_3class", classes=3)
+    scored = md.score(model, rows.filter("role = 'test'"), classes=3).withColumn("y", F.col("target_next_day_3class"))
+    scored = cut_lineage(scored.select("symbol", "y", "pred", "probs"))
+    return ev.class_metrics(scored, "symbol").join(ev.auc_ovr(scored, [-1.0, 0.0, 1.0], "symbol"), "symbol", "left")
 
 
 @query("i12_out_of_fold_matrix")
 def i12(spark, sf):
     train = panel(spark, sf).filter("role = 'train'")
-    folds = sp.expanding_oof_folds(sp.row_counts(md.date_folds(train)), 2)
-    return md.out_of_fold(train, {"price": ("random_forest", COLUMNS[:5]), "other": ("logistic", COLUMNS[5:])}, folds, params=LIGHT)
+    folds = sp.expanding_oof_folds(sp.row_counts(md.date_folds(train)), 4)
+    return md.out_of_fold(train, {"price": ("random_forest", COLUMNS[:5]), "other": ("logistic", COLUMNS[5:])}, folds)
 
 
 @query("i14_stacking_ensemble")
 def i14(spark, sf):
     merged = merged_panel(spark, sf)
-    specs = md.stack_specs(merged.columns, COLUMNS, "random_forest")
+    specs = md.stack_specs(merged.columns, COLUMNS)
     rows = sp.split_by_date(merged, sorted({c for _, cols in specs.values() for c in cols}), md.TARGET)
-    stack = md.fit_stack(rows.filter("role = 'train'"), specs, splits=2, params=LIGHT)
+    stack = md.fit_stack(rows.filter("role = 'train'"), specs)
     scored = stack.score(rows.filter("role = 'test'")).withColumn("y", F.col(md.TARGET))
     scored = cut_lineage(scored.select("symbol", "y", "pred", "p"))
     return ev.evaluate(scored, "symbol").withColumns({f"weight_{n}": F.lit(w) for n, w in stack.weights.items()})
@@ -169,17 +168,17 @@ def i14(spark, sf):
 
 @query("i15_train_and_evaluate")
 def i15(spark, sf):
-    return md.train_and_evaluate(panel(spark, sf), COLUMNS, ["logistic", "random_forest"], params=LIGHT)
+    return md.train_and_evaluate(panel(spark, sf), COLUMNS, ["logistic", "random_forest", "boosted"])
 
 
 @query("i16_model_comparison")
 def i16(spark, sf):
-    return md.compare_models(panel(spark, sf), COLUMNS, params=LIGHT, kinds=("logistic", "random_forest"))
+    return md.compare_models(panel(spark, sf), COLUMNS)
 
 
 @query("i17_feature_ablation")
 def i17(spark, sf):
-    return md.ablation(merged_panel(spark, sf), COLUMNS, params=LIGHT)
+    return md.ablation(merged_panel(spark, sf), COLUMNS)
 
 
 @query("i18_usable_columns", fx.sql(CLEAN, "SELECT count(p) AS prev_close, count(sma_20) AS sma_20, count(nx) AS next_close FROM feat"))
@@ -192,17 +191,17 @@ def i18(spark, sf):
 @query("i19_feature_importances")
 def i19(spark, sf):
     train = panel(spark, sf).filter("role = 'train'")
-    return md.importances(md.fit("random_forest", train, COLUMNS, params=LIGHT), COLUMNS, spark, 5)
+    return md.importances(md.fit("random_forest", train, COLUMNS), COLUMNS, spark, 5)
 
 
 @query("j2_walk_forward_model_signals")
 def j2(spark, sf):
     rows = panel(spark, sf)
-    folds = sp.walk_forward_folds(sp.row_counts(md.date_folds(rows)), 1200, 400, 400, 5)
-    return md.walk_forward_signals(rows, COLUMNS, folds, params=LIGHT)
+    folds = sp.walk_forward_folds(sp.row_counts(md.date_folds(rows)), 400, 60, 60, 5)
+    return md.walk_forward_signals(rows, COLUMNS, folds)
 
 
 @query("k1_forward_scoring")
 def k1(spark, sf):
     feats = ft.build_features(locked_bars(spark, sf))
-    return md.forward_predictions(feats, COLUMNS, "random_forest", params=LIGHT).drop("prediction_id", "generated_at")
+    return md.forward_predictions(feats, COLUMNS).drop("prediction_id", "generated_at")

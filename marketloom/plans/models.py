@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -41,6 +42,7 @@ class Params:
     subsample: float = 0.8
     columns: str = "0.8"
     validation: float = 0.10
+    patience: int = 20
     seed: int = 42
 
 
@@ -91,32 +93,97 @@ def fit(kind: str, train: DataFrame, features: list[str], target: str = TARGET,
             ),
         ]
     elif kind == "boosted":
-        shared = {
-            "featuresCol": "_raw", "labelCol": "_label", "maxIter": params.rounds, "stepSize": params.rate,
-            "maxDepth": params.boost_depth, "subsamplingRate": params.subsample,
-            "featureSubsetStrategy": params.columns, "seed": params.seed,
-        }
         if classes == 2:
-            data = cut_lineage(_mark_validation(data, params.validation))
-            last = GBTClassifier(**shared, predictionCol="_code", validationIndicatorCol="_valid", validationTol=0.0)
-            last = last.setProbabilityCol("_prob").setRawPredictionCol("_margin")
-        else:  # the one-vs-rest wrapper passes features and label only, so no early stop here
-            last = OneVsRest(
-                classifier=GBTClassifier(**shared), featuresCol="_raw", labelCol="_label", predictionCol="_code",
-            )
-        stages = [_assembler(features), last]
+            return _boost(data, features, params)
+        return ClassBoost([_boost(data.withColumn("_label", (F.col("_label") == k).cast("double")), features, params) for k in range(classes)])
     else:
         raise ValueError(f"unknown model family {kind}")
-    return Pipeline(stages=stages).fit(data)
+    data = _for_iterations(data.select(*features, "_label"))
+    try:
+        return Pipeline(stages=stages).fit(data)
+    finally:
+        data.unpersist()
+
+
+def best_round(losses: list[float], patience: int) -> int:
+    """Number of rounds with the least loss seen before ``patience`` rounds pass without a new least."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def _for_iterations(rows: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+    """Cached rows in few enough tasks that a pass over them is not all start-up.
+
+    A fit makes hundreds of passes; the caller unpersists.
+    """
+    return rows.coalesce(max(1, -(-rows.count() // rows_per_task))).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _boost(data: DataFrame, features: list[str], params: Params) -> PipelineModel:
+    """Boosted trees on the older days, cut at the round that the newest days find best."""
+    marked = _assembler(features).transform(cut_lineage(_mark_validation(data, params.validation))).select("_raw", "_label", "_valid")
+    train = _for_iterations(marked.filter(~F.col("_valid")))
+    held = marked.filter("_valid").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def boosted(rounds: int) -> GBTClassifier:
+        gbt = GBTClassifier(
+            featuresCol="_raw", labelCol="_label", predictionCol="_code", maxIter=rounds, stepSize=params.rate,
+            maxDepth=params.boost_depth, subsamplingRate=params.subsample, featureSubsetStrategy=params.columns,
+            seed=params.seed, cacheNodeIds=True,
+        )
+        return gbt.setProbabilityCol("_prob").setRawPredictionCol("_margin")
+
+    try:
+        rounds = params.rounds
+        if not held.isEmpty():
+            # the same seed grows the same first trees, so a short run that stops is the long run
+            tried = min(2 * params.patience, params.rounds)
+            while True:
+                model = boosted(tried).fit(train)
+                rounds = best_round(model.evaluateEachIteration(held), params.patience)
+                if tried == params.rounds or rounds + params.patience <= tried:
+                    break
+                tried = min(2 * tried, params.rounds)
+        if held.isEmpty() or rounds < tried:
+            model = boosted(rounds).fit(train)
+    finally:
+        train.unpersist()
+        held.unpersist()
+    return PipelineModel([_assembler(features), model])
+
+
+@dataclass
+class ClassBoost:
+    """One boosted model per class against the rest; their probabilities are scaled to one."""
+
+    models: list[PipelineModel]
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        out = rows
+        for k, model in enumerate(self.models):
+            out = model.transform(out).withColumn(f"_p{k}", F.get(vector_to_array("_prob"), F.lit(1))).drop("_raw", "_margin", "_prob", "_code")
+        parts = [F.col(f"_p{k}") for k in range(len(self.models))]
+        total = sum(parts[1:], parts[0])
+        probs = F.array(*[p / total for p in parts])
+        return out.withColumn("probs", probs).withColumn("_code", (F.array_position("probs", F.array_max("probs")) - 1).cast("double"))
 
 
 def score(model: PipelineModel, rows: DataFrame, classes: int = 2) -> DataFrame:
-    """Adds pred (original class) and, where the family gives it, p = probability of class 1."""
+    """Adds pred (original class) and p = probability of the highest class; of more than two classes, probs."""
     out = model.transform(rows)
+    if "_prob" in out.columns and classes > 2:
+        out = out.withColumn("probs", vector_to_array("_prob"))
     pred = F.col("_code") if classes == 2 else F.col("_code") - 1.0
     out = out.withColumn("pred", pred)
-    if "_prob" in out.columns:
-        out = out.withColumn("p", F.get(vector_to_array("_prob"), F.lit(classes - 1)))
+    if classes > 2:
+        out = out.withColumn("p", F.get("probs", F.lit(classes - 1)))
+    else:
+        out = out.withColumn("p", F.get(vector_to_array("_prob"), F.lit(1)))
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
