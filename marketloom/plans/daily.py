@@ -35,7 +35,7 @@ def run_steps(steps: dict[str, Callable[[], int]], keep_going: bool = False) ->
             report.append((name, "SUCCESS", int(step()), None))
         except Exception as exc:  # noqa: BLE001 - recorded in the run report
             failed = True
-            report.append((name, "FAILED", 0, str(exc)[:500]))
+            report.append((name, "FAILED", 0, str(exc)))
     return report
 
 

@@ -27,9 +27,13 @@ def checked(predictions: DataFrame) -> DataFrame:
 
 
 def merge_rows(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Union with later rows winning per id; used for appends and updates."""
+    """Union with later rows winning per id; used for appends and updates.
+
+    Rows of one id and one time are ordered by their other columns, so that the winner is one.
+    """
+    ties = [c for c in stored.columns if c not in ("prediction_id", "generated_at")]
     both = stored.withColumn("_rank", F.lit(0)).unionByName(incoming.withColumn("_rank", F.lit(1)))
-    return keep_last(both, ["prediction_id"], ["_rank", "generated_at"]).drop("_rank")
+    return keep_last(both, ["prediction_id"], ["_rank", "generated_at", *ties]).drop("_rank")
 
 
 def append_predictions(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -112,8 +112,11 @@ def table_rows(payloads: DataFrame, html: str) -> DataFrame:
 
 
 def bars_from_html(payloads: DataFrame) -> DataFrame:
-    """(symbol, payload): date, open, high, low, close, volume columns under a header row."""
-    rows = table_rows(payloads, "payload").filter((F.col("row_pos") > 0) & (F.size("cells") >= 5))
+    """(symbol, payload): date, open, high, low, close, volume columns under a header row.
+
+    A page without a table has no bars.
+    """
+    rows = table_rows(payloads.filter(F.col("payload").rlike(r"(?i)<table\b")), "payload").filter((F.col("row_pos") > 0) & (F.size("cells") >= 5))
     num = lambda i: F.regexp_replace(F.get("cells", F.lit(i)), ",", "").try_cast("double")
     return _as_bars(
         rows.select(
