@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marketloom.session import cut_lineage
+
 PIVOTS = 512
 PREFIX = 128
 CANDIDATES = 0.05
@@ -143,6 +145,7 @@ def nearest(
     rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
     copy = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     rows = rows.withColumn("copy", copy).where(F.col("copy") <= k + 1).groupBy("v").agg(F.collect_list("id").alias("ids"))
+    rows, asked = cut_lineage(rows), cut_lineage(asked)
     n, m = rows.count(), asked.count()
     row_blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-m // block_queries))
     points = choose_pivots(rows, pivots)
