@@ -253,7 +253,8 @@ def _links_of_buckets(rows: DataFrame, words: int, radius: int, batch_rows: int
         if len(held):
             yield as_links(held[:, 1], *bucket_links(held[:, 0], prints_of(held), radius))
 
-    dealt = rows.select(*names).repartition("bucket").sortWithinPartitions("bucket")
+    # by node too: a group of near copies then has much the same least member in all its buckets
+    dealt = rows.select(*names).repartition("bucket").sortWithinPartitions("bucket", "node")
     return dealt.mapInArrow(compared, "a long, b long")
 
 
