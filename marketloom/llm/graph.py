@@ -11,11 +11,28 @@ from marketloom.session import cut_lineage
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (columns a, b); root is the component's least node.
 
-    Alternating star rounds: each node hands its neighbours its least neighbour. The number
+    Each link is first moved to its ends' least neighbours, which leaves few links in a dense
+    group; a component's least node is its own label there. Then alternating star rounds: each node hands its neighbours its least neighbour. The number
     of rounds grows with the logarithm of the longest path. Minima are aggregated before
     the shuffle; each round's table goes to the shared folder. No links give no rows.
     """
-    edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = cut_lineage(_oriented(links))
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")).select(F.col("a").alias("node"), "p"))
+    moved = edges.join(label.select(F.col("node").alias("a"), F.col("p").alias("x")), "a")
+    moved = moved.join(label.select(F.col("node").alias("b"), F.col("p").alias("y")), "b")
+    found = _stars(_oriented(moved.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    found = found.select(F.col("node").alias("p"), "root")
+    return label.join(found, "p", "left").select("node", F.coalesce("root", "p").alias("root"))
+
+
+def _oriented(links: DataFrame) -> DataFrame:
+    """Distinct links between different nodes, the greater one first."""
+    return links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    edges = cut_lineage(edges)
     state = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
