@@ -38,6 +38,21 @@ def test_quality_on_held_out_labels(spark):
     assert sum((r.score >= 0.7) == (r.doc_id % 2 == 0) for r in got) >= 196
 
 
+def test_quality_judges_the_whole_of_long_texts(spark):
+    docs, labels = labelled(spark)
+    model = quality.fit_quality(docs, labels.where("doc_id % 4 < 2"))
+    fresh = docs.where("doc_id % 4 >= 2").collect()
+    good, bad = ([r.text for r in fresh if r.doc_id % 2 == k] for k in (0, 1))
+    assert b"".join(quality.pieces(b"abc" * 5000)) == b"abc" * 5000
+    for size in (10_000, 300_000, 1_000_000):
+        long = {k: " ".join(texts * (size // len(" ".join(texts)) + 1))[:size] for k, texts in (("good", good), ("bad", bad))}
+        scores = model.score([long["good"], long["bad"]])
+        assert scores[0] >= 0.7 > scores[1], size
+    # a good head does not stand for a bad rest
+    head, rest = " ".join(good)[:20_000], " ".join(bad * 40)[:400_000]
+    assert model.score([f"{head} {rest}"])[0] < 0.7
+
+
 def test_quality_of_odd_rows_and_tables(spark, odd_docs, no_docs):
     docs, labels = labelled(spark)
     model = quality.fit_quality(docs, labels)
