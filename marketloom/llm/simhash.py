@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.llm import jaccard
 from marketloom.llm.graph import components
 from marketloom.session import cut_lineage
 
@@ -345,22 +346,28 @@ def linked_wide(prints: DataFrame, words: int, similarity: float, recall: float
     return _links_of_buckets(rows, words, math.floor((apart + slack) * 64 * words), batch_rows=min(200_000, fold), fold=fold)
 
 
-def near_copy_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, words: int = 4) -> DataFrame:
+def near_copy_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.999, **blocks: int) -> DataFrame:
     """doc_id, text_hash, copies and ``keeper`` for each distinct (doc_id, text) of ``docs``.
 
-    Groups are what links of near copies reach: distinct five-word shingles, 64 x ``words``
-    bits. The keeper of a group is the row with the least ``doc_id`` (nulls last), then the
-    least hash of the text; ``copies`` says how often that row occurs. Texts without words
-    are copies of each other. Other columns are not read. Empty in, empty out.
+    Groups are what links of near copies reach: a link is a pair of sets of five-word shingles
+    whose Jaccard similarity was found to be ``similarity`` or more; ``recall`` is the least
+    probability that such a pair is looked at. The keeper of a group is the row with the least
+    ``doc_id`` (nulls last), then the least hash of the text; ``copies`` says how often that
+    row occurs. Texts without words are copies of each other. Other columns are not read.
+    Empty in, empty out.
     """
-    prints = [f"f{k}" for k in range(words)]
     hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    rows = cut_lineage(
-        fingerprints(hashed, width, words, ("doc_id", "text_hash"), distinct=True).withColumn("node", F.xxhash64(*prints))
-    )
+    rows = cut_lineage(jaccard.signatures(hashed, width, jaccard.band_tables(similarity, recall), ("doc_id", "text_hash")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    nodes = rows.groupBy("node", *prints).agg(first.alias("first"))
-    found = components(linked_wide(nodes, words, similarity))
+    nodes = cut_lineage(rows.groupBy("node").agg(first.alias("first"), F.first("keys").alias("keys")))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        """(node, text) of each wanted node, from the row that is its first."""
+        reps = nodes.join(wanted, "node").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+        same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+        return hashed.join(reps, same).select("node", "text").dropDuplicates(["node"])
+
+    found = jaccard.similar_components(nodes.select("node", "keys"), texts, width, similarity, **blocks)
     roots = nodes.select("node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keepers = roots.groupBy("root").agg(F.min("first").alias("best")).select("best.doc_id", "best.text_hash", F.lit(True).alias("keeper"))
     distinct = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))

@@ -166,6 +166,57 @@ def test_near_copies_leave_one_of_each_group(spark, odd_docs, no_docs):
     assert simhash.near_copy_groups(no_docs).count() == 0
 
 
+def shingle_set(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def keepers_of(spark, texts, **blocks):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in simhash.near_copy_groups(docs, **blocks).collect() if r.keeper}
+
+
+def test_near_copies_are_decided_by_exact_similarity(spark):
+    rng = random.Random(8)
+    texts, below, above = [], set(), set()
+    for g in range(150):
+        words = [f"{g}_{k}" for k in range(300)]
+        near = list(words)
+        for k in range(10, 290, 40 if g % 2 else 35)[: 6 if g % 2 else 8]:
+            near[k] = rng.choice(WORDS)
+        texts += [" ".join(words), " ".join(near)]
+        a, b = map(shingle_set, texts[-2:])
+        (above if len(a & b) >= 0.8 * len(a | b) else below).add(2 * g + 1)
+    assert len(below) == 75 and len(above) == 75  # similarity 0.76 and 0.82
+    got = keepers_of(spark, texts)
+    assert below <= got and len(got & above) <= 1
+
+
+@pytest.mark.parametrize("rows", [8, 1024])
+def test_long_chains_of_near_copies_stay_whole(spark, rows):
+    rng = random.Random(9)
+    words, texts = [f"a{k}" for k in range(200)], []
+    for _ in range(300):
+        words[rng.randrange(200)] = rng.choice(WORDS)
+        words[rng.randrange(200)] = rng.choice(WORDS)
+        words[rng.randrange(200)] = rng.choice(WORDS)
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    assert keepers_of(spark, texts, block_rows=rows) == {0}
+
+
+def test_similar_pairs_of_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.choice(90, rng.integers(1, 80), False)).astype(np.uint64) for _ in range(90)] + [np.zeros(0, np.uint64)]
+    sets += [s[1:] for s in sets[:40]] + [np.arange(4, dtype=np.uint64), np.arange(5, dtype=np.uint64)]
+    from marketloom.llm import jaccard
+
+    plain = [set(s.tolist()) for s in sets]
+    got = set(zip(*(x.tolist() for x in jaccard.similar_pairs(sets, 0.8))))
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(plain[i] & plain[j]) >= 4 * len(plain[i] | plain[j])}
+    assert got == want and len(want) > 30
+
+
 def test_large_groups_of_near_copies_are_folded(spark):
     rng = np.random.default_rng(5)
     centre = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
