@@ -218,13 +218,8 @@ def bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.
     return np.concatenate(found_a or [starts[:0]]), np.concatenate(found_b or [starts[:0]])
 
 
-def _links_of_buckets(rows: DataFrame, words: int, radius: int, batch_rows: int = 200_000, fold: int | None = None, carry: int = 64) -> DataFrame:
-    """Links (a, b) between ``node``s of rows (bucket, node, f0 ..), which are dealt by bucket here.
-
-    ``fold``: a bucket that reaches so many rows is linked as it stands, and of each component
-    found only ``carry`` members meet the rows that follow, so that a group of near copies of
-    any size takes bounded memory.
-    """
+def _links_of_buckets(rows: DataFrame, words: int, radius: int, batch_rows: int = 200_000) -> DataFrame:
+    """Links (a, b) between ``node``s of rows (bucket, node, f0 ..), which are dealt by bucket here."""
     names = ["bucket", "node", *(f"f{k}" for k in range(words))]
 
     def as_links(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -234,7 +229,7 @@ def _links_of_buckets(rows: DataFrame, words: int, radius: int, batch_rows: int
         return np.ascontiguousarray(table[:, 2:]).view(np.uint64)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, most = np.zeros((0, 2 + words), np.int64), fold or 0
+        held = np.zeros((0, 2 + words), np.int64)
         for batch in batches:
             held = np.concatenate((held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)))
             if len(held) < batch_rows:
@@ -242,15 +237,7 @@ def _links_of_buckets(rows: DataFrame, words: int, radius: int, batch_rows: int
             last = np.flatnonzero(held[:, 0] == held[-1, 0])[0]  # all but the last bucket, which may go on
             if last:
                 yield as_links(held[:last, 1], *bucket_links(held[:last, 0], prints_of(held[:last]), radius))
-                held, most = held[last:], fold or 0
-            if fold and len(held) >= most:
-                label = forest(prints_of(held), radius)
-                moved = np.flatnonzero(label != np.arange(len(held)))
-                yield as_links(held[:, 1], moved, label[moved])
-                order = np.argsort(label, kind="stable")
-                starts = np.searchsorted(label[order], label[order])
-                held = held[np.sort(order[np.arange(len(held)) - starts < carry])]
-                most = max(fold, 2 * len(held))
+                held = held[last:]
         if len(held):
             yield as_links(held[:, 1], *bucket_links(held[:, 0], prints_of(held), radius))
 
@@ -329,6 +316,8 @@ def linked_wide(prints: DataFrame, words: int, similarity: float, recall: float
     Fingerprints meet in tables of sampled bits: about the logarithm of the rows less two,
     and 16 at least; as many tables as give ``recall`` for a pair at the threshold itself.
     They are linked at up to the share of differing bits expected there, plus ``slack``.
+    A bucket of over ``fold`` rows is dealt into blocks of about so many, and each two blocks
+    meet in a bucket of their own, so that all members are compared in bounded memory.
     """
     n = prints.count()
     apart = flip_share(similarity)
@@ -343,7 +332,10 @@ def linked_wide(prints: DataFrame, words: int, similarity: float, recall: float
         signed = [m - (1 << 64) if m >> 63 else m for m in masks]
         keys.append(F.xxhash64(F.lit(t), *(F.col(f"f{k}").bitwiseAND(F.lit(m)) for k, m in enumerate(signed) if m)))
     rows = prints.select("node", *(f"f{k}" for k in range(words)), F.explode(F.array(*keys)).alias("bucket"))
-    return _links_of_buckets(rows, words, math.floor((apart + slack) * 64 * words), batch_rows=min(200_000, fold), fold=fold)
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    rows = jaccard.block_cells(rows.join(sizes, "bucket"), F.ceil(F.col("members") / fold), "node")
+    rows = rows.withColumn("bucket", F.xxhash64("bucket", "cell"))
+    return _links_of_buckets(rows, words, math.floor((apart + slack) * 64 * words), batch_rows=min(200_000, fold))
 
 
 def near_copy_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.999, **blocks: int) -> DataFrame:

@@ -230,6 +230,27 @@ def test_large_groups_of_near_copies_are_folded(spark):
     assert len(got) == 3000 and {r.root for r in got} == {0}
 
 
+def test_no_member_of_a_large_bucket_is_dropped(spark):
+    # one table, and no row differs in its bits: all rows are in one bucket
+    free = [k for k in range(256) if k not in set(np.random.default_rng(9).choice(256, 16, replace=False).tolist())]
+    differing = [[free[230 + i] for i in range(9) if k >> i & 1] for k in range(400)]
+    differing[200] = free[:30]  # near all the others
+    differing += [free[100:150], free[:60]]  # near none, and near row 200 only
+    rows = np.zeros((402, 4), np.uint64)
+    for row, bits in zip(rows, differing):
+        for bit in bits:
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    table = [(k, *map(int, r.view(np.int64))) for k, r in enumerate(rows)]
+    prints = spark.createDataFrame(table, "node long, f0 long, f1 long, f2 long, f3 long")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, 50)
+    try:
+        got = {r.node: r.root for r in graph.components(simhash.linked_wide(prints, 4, 0.8, recall=0.01, fold=100)).collect()}
+    finally:
+        spark.conf.unset(batch)
+    assert got == {k: 0 for k in range(402) if k != 400}
+
+
 # decontamination
 
 
