@@ -13,8 +13,10 @@ PARTS = (
     "neighbours",
     "packing",
     "quality",
+    "resampling",
     "sharding",
     "simhash",
+    "spelling",
     "token_counts",
     "token_files",
     "url_filter",
