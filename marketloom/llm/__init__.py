@@ -11,6 +11,7 @@ PARTS = (
     "decontamination",
     "language_model",
     "neighbours",
+    "ngram_join",
     "packing",
     "quality",
     "resampling",
