@@ -25,17 +25,18 @@ and is then verified once on the whole sets.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from marketloom.llm.graph import components
-from marketloom.llm.simhash import shingle_hashes
 from marketloom.session import cut_lineage
 
 WIDTH = 3
@@ -48,18 +49,113 @@ COMMON = 16
 BLOCK_ROWS = 1024
 #: Rows that meet one copy of a set in a join.
 FAN = 1024
+#: Bytes of a text that are cut into words at a time.
+PIECE = 1 << 20
 _HELD = 500_000
+_SPACES = bytes(range(0x09, 0x0E))
+_TABLE = bytes(0x20 if b in _SPACES else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scattering of 64-bit numbers."""
+    for shift, factor in ((32, 0x9E3779B97F4A7C15), (29, 0xBF58476D1CE4E5B9)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(32))
+
+
+_LETTERS = _mixed(np.arange(1, 257, dtype=np.uint64))
+_BASE = 0x94D049BB133111EB
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2 ** 64 and of its inverse."""
+    both = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        both.append(np.multiply.accumulate(steps))
+    return both[0], both[1]
+
+
+def _hashed_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each word: differences of running sums of a polynomial in the letters."""
+    letters = np.frombuffer(text.translate(_TABLE), np.uint8)
+    powers, inverse = _powers(1 << max(PIECE, len(text)).bit_length())
+    inside = np.concatenate(([False], letters != 0x20, [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(_LETTERS[letters] * powers[: len(text)], out=sums[1:])
+    return _mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def _long_text(text: bytes, piece: int) -> np.ndarray:
+    """Word hashes of a long text, a bounded piece at a time."""
+    parts, start, step = [], 0, piece
+    while start < len(text):
+        part = text[start : start + step]
+        if start + step < len(text):
+            end = part.translate(_TABLE).rfind(b" ")
+            if end < 0:  # one word fills the piece
+                step *= 2
+                continue
+            part = part[:end]
+        parts.append(_hashed_words(part)[0])
+        start, step = start + len(part) + 1, piece
+    return np.concatenate(parts)
+
+
+def _gram_sets(words: np.ndarray, sizes: list[int], width: int) -> Iterator[np.ndarray]:
+    """The set of each text from the word hashes of all, of which each text holds so many."""
+
+    def folded(h: np.ndarray, n: int) -> np.ndarray:
+        grams = np.full(max(0, len(h) - n + 1), n, np.uint64)
+        for k in range(n):
+            grams = _mixed(grams) + h[k : k + len(grams)]
+        return _mixed(grams)
+
+    grams, at = folded(words, width), 0
+    for n in sizes:
+        own = grams[at : at + n - width + 1] if n >= width else folded(words[at : at + n], n)[: min(n, 1)]
+        own = np.sort(own)
+        yield own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) else own
+        at += n
+
 
+def sets_of(texts: Iterable[bytes | None], width: int = WIDTH, piece: int = PIECE) -> Iterator[np.ndarray]:
+    """Ascending distinct hashes of the n-grams of each text (UTF-8); of fewer words, one hash of them all.
 
-def set_of(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Ascending distinct hashes of the n-grams of a text."""
-    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
+    Short texts are hashed together, about ``piece`` bytes at a time, long ones in pieces.
+    """
+
+    def closed(held: list[bytes]) -> Iterator[np.ndarray]:
+        words, starts = _hashed_words(b" ".join(held))
+        ends = np.cumsum([len(t) + 1 for t in held])
+        return _gram_sets(words, np.diff(np.searchsorted(starts, ends), prepend=0).tolist(), width)
+
+    held, size = [], 0
+    for text in texts:
+        text = text or b""
+        if held and size + len(text) > piece:
+            yield from closed(held)
+            held, size = [], 0
+        if len(text) > piece:
+            words = _long_text(text, piece)
+            yield from _gram_sets(words, [len(words)], width)
+        else:
+            held.append(text)
+            size += len(text) + 1
+    if held:
+        yield from closed(held)
+
+
+def _texts(column: pa.Array) -> Iterator[bytes | None]:
+    return (text.as_py() for text in column)
 
 
 def number_of(s: np.ndarray) -> int:
     """A signed 64-bit hash of a whole set."""
-    from xxhash import xxh64_intdigest
-
     x = xxh64_intdigest(s.tobytes())
     return x - (1 << 64) if x >> 63 else x
 
@@ -70,8 +166,7 @@ def set_numbers(docs: DataFrame, keep: tuple[str, ...], width: int = WIDTH) -> D
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sizes = [], []
-            for text in batch.column(len(keep)):
-                s = set_of(text.as_py(), width)
+            for s in sets_of(_texts(batch.column(len(keep))), width):
                 nodes.append(number_of(s))
                 sizes.append(len(s))
             yield pa.RecordBatch.from_arrays(
@@ -79,7 +174,7 @@ def set_numbers(docs: DataFrame, keep: tuple[str, ...], width: int = WIDTH) -> D
             )
 
     columns = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return docs.select(*keep, "text").mapInArrow(hashed, ", ".join([*columns, "node long", "n long"]))
+    return docs.select(*keep, F.col("text").cast("binary")).mapInArrow(hashed, ", ".join([*columns, "node long", "n long"]))
 
 
 def common_grams(docs: DataFrame, width: int = WIDTH, common: int = COMMON) -> DataFrame:
@@ -95,15 +190,15 @@ def common_grams(docs: DataFrame, width: int = WIDTH, common: int = COMMON) -> D
 
         size = 0
         for batch in batches:
-            for text in batch.column(0):
-                held.append(set_of(text.as_py(), width))
-                size += len(held[-1])
+            for s in sets_of(_texts(batch.column(0)), width):
+                held.append(s)
+                size += len(s)
                 if size >= _HELD:
                     yield sent()
                     size = 0
         yield sent()
 
-    counts = docs.select("text").mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("rows"))
+    counts = docs.select(F.col("text").cast("binary")).mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("rows"))
     return counts.where(F.col("rows") >= common)
 
 
@@ -154,8 +249,7 @@ def postings(docs: DataFrame, order, width: int, similarity: Fraction) -> DataFr
         ordered, seen = order.value, set()
         for batch in batches:
             rows: list[tuple] = []
-            for text in batch.column(0):
-                s = set_of(text.as_py(), width)
+            for s in sets_of(_texts(batch.column(0)), width):
                 node = number_of(s)
                 if not len(s) or node in seen:
                     continue
@@ -167,7 +261,7 @@ def postings(docs: DataFrame, order, width: int, similarity: Fraction) -> DataFr
             columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5
             yield pa.RecordBatch.from_arrays(columns, names=["gram", "node", "n", "place", "reach"])
 
-    rows = docs.select("text").mapInArrow(posted, "gram long, node long, n long, place long, reach long")
+    rows = docs.select(F.col("text").cast("binary")).mapInArrow(posted, "gram long, node long, n long, place long, reach long")
     return rows.groupBy("gram", "node").agg(*(F.first(c).alias(c) for c in ("n", "place", "reach")))
 
 
@@ -193,13 +287,13 @@ def set_rows(texts: DataFrame, width: int, order, similarity: Fraction) -> DataF
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered = order.value
         for batch in batches:
-            sets = [set_of(text.as_py(), width) for text in batch.column(1)]
+            sets = list(sets_of(_texts(batch.column(1)), width))
             heads = [ordered.ranked(s)[: len(s) - least_shared(len(s), similarity) + 1] for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array([s.tobytes() for s in kind], pa.binary()) for kind in (sets, heads))], names=["node", "set", "head"]
             )
 
-    return texts.select("node", "text").mapInArrow(hashed, "node long, set binary, head binary")
+    return texts.select("node", F.col("text").cast("binary")).mapInArrow(hashed, "node long, set binary, head binary")
 
 
 def enough_shared(x: np.ndarray, y: np.ndarray, similarity: Fraction) -> bool:
