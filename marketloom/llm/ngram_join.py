@@ -1,9 +1,9 @@
 """Jaccard join of word n-gram sets by rare-first prefixes, with length, positional and suffix filters.
 
-*Order.* n-grams (64-bit hashes) are ordered rare first: all but the ``FREQUENT`` most
-frequent ones of the corpus (counted exactly, over all rows) come first, by hash, the others
-follow by count. Any total order keeps the join exact; this one keeps common n-grams out of
-the prefixes.
+*Order.* n-grams (64-bit hashes) are ordered rare first: by the count of their cell, then by
+hash. All n-grams of all rows are counted, in ``CELLS`` cells of the hash; a common n-gram
+stands out from the rare ones that share its cell. Any total order keeps the join exact; this
+one keeps common n-grams out of the prefixes.
 
 *Prefix.* Two sets as similar as wanted share an n-gram among the first ones of each, as many
 as the set may miss and one more. Rows of equal sets are one node; nodes meet in the posting
@@ -32,7 +32,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -41,10 +41,10 @@ from marketloom.session import cut_lineage
 
 WIDTH = 3
 SIMILARITY = Fraction(90, 100)
-#: Most frequent n-grams with a rank of their own (16 bytes each on the driver and each worker).
-FREQUENT = 1_000_000
-#: n-grams in fewer rows count as rare.
-COMMON = 16
+#: Cells of the n-gram counts, a power of two (8 bytes each on the driver and each worker).
+CELLS = 1 << 20
+#: Bits of the filter of nodes whose sets are wanted, a power of two; it passes others, which a join then drops.
+FILTER_BITS = 1 << 26
 #: Members of a list in one block; a task compares two blocks at a time.
 BLOCK_ROWS = 1024
 #: Rows that meet one copy of a set in a join.
@@ -177,59 +177,58 @@ def set_numbers(docs: DataFrame, keep: tuple[str, ...], width: int = WIDTH) -> D
     return docs.select(*keep, F.col("text").cast("binary")).mapInArrow(hashed, ", ".join([*columns, "node long", "n long"]))
 
 
-def common_grams(docs: DataFrame, width: int = WIDTH, common: int = COMMON) -> DataFrame:
-    """(gram, rows) of the n-grams held by at least ``common`` rows; copies in a batch count before the shuffle."""
+def _block_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of all arrays of each block."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sums[block] = sums.get(block, 0) + np.frombuffer(counts, np.int64)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"]
+    )
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def sent() -> pa.RecordBatch:
-            grams, rows = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(rows.astype(np.int64))], names=["gram", "n"])
+def cell_counts(docs: DataFrame, width: int = WIDTH, cells: int = CELLS) -> np.ndarray:
+    """How many n-grams of all rows of ``text`` (distinct in a row) fall into each cell of the hash.
 
-        size = 0
+    Each task counts in one array and sends it by blocks, which are summed in as many tasks.
+    """
+    block = min(cells, 4096)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.int64)
         for batch in batches:
             for s in sets_of(_texts(batch.column(0)), width):
-                held.append(s)
-                size += len(s)
-                if size >= _HELD:
-                    yield sent()
-                    size = 0
-        yield sent()
-
-    counts = docs.select(F.col("text").cast("binary")).mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("rows"))
-    return counts.where(F.col("rows") >= common)
-
-
-class Order:
-    """The rare-first order of n-grams: those listed come last, in the order of their ranks."""
-
-    def __init__(self, grams: np.ndarray, rows: np.ndarray):
-        grams = grams.view(np.uint64)
-        rank = np.empty(len(grams), np.int64)
-        rank[np.lexsort((grams, rows))] = np.arange(1, len(grams) + 1)
-        by_gram = np.argsort(grams)
-        self.grams, self.rank = grams[by_gram], rank[by_gram]
-
-    def ranked(self, s: np.ndarray) -> np.ndarray:
-        """The set, rare n-grams first."""
-        if not len(self.grams):
-            return s
-        at = np.minimum(np.searchsorted(self.grams, s), len(self.grams) - 1)
-        return s[np.lexsort((s, np.where(self.grams[at] == s, self.rank[at], 0)))]
-
-
-def rare_first(docs: DataFrame, width: int = WIDTH, common: int = COMMON, frequent: int = FREQUENT) -> Order:
-    """The order over all rows of ``docs``, with at most ``frequent`` ranks."""
-    counts = cut_lineage(common_grams(docs, width, common))
-    sizes = {int(k): n for k, n in counts.groupBy(F.floor(F.log2("rows"))).count().collect()}  # one row a power of two
-    least, held = 64, 0
-    while least and held + sizes.get(least - 1, 0) <= frequent:
-        least -= 1
-        held += sizes.get(least, 0)
-    listed = counts.where(F.floor(F.log2("rows")) >= least).toArrow()
-    return Order(listed.column("gram").to_numpy(), listed.column("rows").to_numpy())
+                np.add.at(total, _cell(s, cells), 1)
+        rows = total.reshape(-1, block)
+        held = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(held, pa.int32()), pa.array([rows[k].tobytes() for k in held], pa.binary())], names=["block", "counts"]
+        )
+
+    sent = docs.select(F.col("text").cast("binary")).mapInArrow(counted, "block int, counts binary")
+    total = np.zeros((cells // block, block), np.int64)
+    for k, counts in sent.repartition("block").mapInArrow(_block_sums, "block int, counts binary").collect():  # one row a block
+        total[k] = np.frombuffer(counts, np.int64)
+    return total.reshape(-1)
+
+
+def _cell(grams: np.ndarray, cells: int) -> np.ndarray:
+    return (grams >> np.uint64(64 - (cells.bit_length() - 1))).view(np.int64) if cells > 1 else np.zeros(len(grams), np.int64)
+
+
+def rare_first(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The set, n-grams of rare cells first."""
+    return s[np.lexsort((s, counts[_cell(s, len(counts))]))]
+
+
+def node_filter(nodes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit for each remainder of ``node`` that occurs, in words of 64."""
+    found = np.zeros(bits // 64, np.uint64)
+    rows = nodes.select(F.pmod("node", F.lit(bits)).alias("held")).selectExpr("cast(held div 64 as int) as at", "shiftleft(1L, cast(held % 64 as int)) as bit")
+    rows = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most a row a word
+    found[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return found
 
 
 def least_shared(n: int, similarity: Fraction) -> int:
@@ -237,36 +236,44 @@ def least_shared(n: int, similarity: Fraction) -> int:
     return -(-similarity.numerator * n // similarity.denominator)
 
 
-def reach(n: int, place: int, similarity: Fraction) -> int:
-    """Greatest size of a similar set that shares no n-gram before this place (from 0)."""
-    return (n - place) * (similarity.numerator + similarity.denominator) // similarity.numerator - n
+def reach(similarity: Fraction) -> Column:
+    """Greatest size of a set similar to one of ``n`` that shares no n-gram before ``place`` (from 0)."""
+    p, q = similarity.numerator, similarity.denominator
+    return F.expr(f"cast(n - place as long) * {p + q} div {p} - n")
 
 
-def postings(docs: DataFrame, order, width: int, similarity: Fraction) -> DataFrame:
-    """(gram, node, n, place, reach) of each prefix n-gram of each distinct set."""
+def postings(docs: DataFrame, counts, width: int, similarity: Fraction) -> DataFrame:
+    """(gram, node, n, place) of each prefix n-gram of each distinct set."""
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordered, seen = order.value, set()
+        seen = set()
         for batch in batches:
-            rows: list[tuple] = []
+            nodes, sizes, first = [], [], []
             for s in sets_of(_texts(batch.column(0)), width):
                 node = number_of(s)
                 if not len(s) or node in seen:
                     continue
                 if len(seen) < _HELD:  # copies beyond are folded after the shuffle
                     seen.add(node)
-                n = len(s)
-                first = ordered.ranked(s)[: n - least_shared(n, similarity) + 1]
-                rows += [(g, node, n, k, reach(n, k, similarity)) for k, g in enumerate(first.view(np.int64).tolist())]
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays(columns, names=["gram", "node", "n", "place", "reach"])
+                nodes.append(node)
+                sizes.append(len(s))
+                first.append(rare_first(s, counts.value)[: len(s) - least_shared(len(s), similarity) + 1].view(np.int64))
+            many = [len(x) for x in first]
+            columns = [
+                np.concatenate([*first, np.zeros(0, np.int64)]),
+                np.repeat(np.array(nodes, np.int64), many),
+                np.repeat(np.array(sizes, np.int32), many),
+                np.concatenate([*map(np.arange, many), np.zeros(0, np.int64)]).astype(np.int32),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "node", "n", "place"])
 
-    rows = docs.select(F.col("text").cast("binary")).mapInArrow(posted, "gram long, node long, n long, place long, reach long")
-    return rows.groupBy("gram", "node").agg(*(F.first(c).alias(c) for c in ("n", "place", "reach")))
+    rows = docs.select(F.col("text").cast("binary")).mapInArrow(posted, "gram long, node long, n int, place int")
+    return rows.groupBy("gram", "node").agg(*(F.first(c).alias(c) for c in ("n", "place")))
 
 
 def listed_members(rows: DataFrame, similarity: Fraction) -> DataFrame:
     """(gram, band, own, node, n, place, reach): the members of lists and bands in which a pair may be similar."""
+    rows = cut_lineage(rows).withColumn("reach", reach(similarity))
     early = F.max((F.col("reach") >= F.col("n")).cast("int"))
     shared = rows.groupBy("gram").agg(F.count("*").alias("members"), early.alias("early")).where("members > 1 and early = 1").select("gram")
     rows = rows.join(shared, "gram")
@@ -281,19 +288,28 @@ def listed_members(rows: DataFrame, similarity: Fraction) -> DataFrame:
     return rows.join(live, ["gram", "band"]).where(F.col("reach") >= F.col("least")).drop("least")
 
 
-def set_rows(texts: DataFrame, width: int, order, similarity: Fraction) -> DataFrame:
-    """node, set (ascending hashes) and head (its prefix, in order) of each row of ``node``, ``text``."""
+def set_rows(docs: DataFrame, wanted: np.ndarray, width: int, counts, similarity: Fraction) -> DataFrame:
+    """node, set (ascending hashes) and head (its prefix, in order) of each distinct set that passes the filter."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordered = order.value
+        bits, seen = wanted.value, set()
         for batch in batches:
-            sets = list(sets_of(_texts(batch.column(1)), width))
-            heads = [ordered.ranked(s)[: len(s) - least_shared(len(s), similarity) + 1] for s in sets]
+            nodes, sets, heads = [], [], []
+            for s in sets_of(_texts(batch.column(0)), width):
+                node = number_of(s)
+                at = node % (64 * len(bits))
+                if node in seen or not int(bits[at >> 6]) >> (at & 63) & 1:
+                    continue
+                if len(seen) < _HELD:
+                    seen.add(node)
+                nodes.append(node)
+                sets.append(s.tobytes())
+                heads.append(rare_first(s, counts.value)[: len(s) - least_shared(len(s), similarity) + 1].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([s.tobytes() for s in kind], pa.binary()) for kind in (sets, heads))], names=["node", "set", "head"]
+                [pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), pa.array(heads, pa.binary())], names=["node", "set", "head"]
             )
 
-    return texts.select("node", F.col("text").cast("binary")).mapInArrow(hashed, "node long, set binary, head binary")
+    return docs.select(F.col("text").cast("binary")).mapInArrow(hashed, "node long, set binary, head binary")
 
 
 def enough_shared(x: np.ndarray, y: np.ndarray, similarity: Fraction) -> bool:
@@ -399,17 +415,16 @@ def met_in_lists(members: DataFrame, sets: DataFrame, similarity: Fraction, bloc
 
 
 def similar_sets(
-    docs: DataFrame, numbers: DataFrame, width: int = WIDTH, similarity: Fraction = SIMILARITY, block_rows: int = BLOCK_ROWS, **order: int
+    docs: DataFrame, width: int = WIDTH, similarity: Fraction = SIMILARITY, block_rows: int = BLOCK_ROWS, cells: int = CELLS, filter_bits: int = FILTER_BITS
 ) -> DataFrame:
-    """(node, root) of every node that has a link; ``numbers``: doc_id, text_hash, node, n of each row of ``docs``."""
-    ranks = docs.sparkSession.sparkContext.broadcast(rare_first(docs, width, **order))
-    members = cut_lineage(listed_members(postings(docs, ranks, width, similarity), similarity))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    wanted = members.select("node").distinct()
-    reps = numbers.join(wanted, "node", "left_semi").groupBy("node").agg(first)
-    reps = reps.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
-    sets = cut_lineage(set_rows(docs.join(reps, same).select("node", "text").dropDuplicates(["node"]), width, ranks, similarity))
+    """(node, root) of the set of every row of ``text`` that has a link."""
+    context = docs.sparkSession.sparkContext
+    counts = context.broadcast(cell_counts(docs, width, cells))
+    members = cut_lineage(listed_members(postings(docs, counts, width, similarity), similarity))
+    nodes = members.select("node").distinct()
+    wanted = context.broadcast(node_filter(nodes, filter_bits))
+    sets = set_rows(docs, wanted, width, counts, similarity).join(nodes, "node", "left_semi")
+    sets = cut_lineage(sets.dropDuplicates(["node"]))
     left, found, roots = members, None, None
     centres = (F.min(F.struct("place", "node", "n", "reach")), F.max(F.struct("node", "place", "n", "reach")))
     for centre in centres:
@@ -434,10 +449,10 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, similarity: Fraction =
     it; null ids stay null and name no component unless all in it are null. Repeated rows come
     out as often. Other columns are not read. Empty in, empty out.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    numbers = cut_lineage(set_numbers(rows, ("doc_id", "text_hash"), width))
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    numbers = cut_lineage(set_numbers(rows, ("doc_id",), width))
     nodes = numbers.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    found = similar_sets(rows, numbers, width, similarity, **bounds)
+    found = similar_sets(rows, width, similarity, **bounds)
     nodes = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("component_size"))
     nodes = nodes.join(groups, "root").select("node", "component_id", "component_size")

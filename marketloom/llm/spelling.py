@@ -7,9 +7,11 @@ table of at most the letters squared). Its prefix is the bigrams up to the third
 equal to the third. Among the prefix, dynamic programming picks two bigrams that share no
 letter and have the smallest summed count: the pivots. One edit leaves one of two disjoint
 bigrams whole, so of two words one edit apart, the pivots of the one whose prefix ends
-earlier meet the other's prefix. Pivots are posted under (bigram, place, length) for the five
-ways in which one edit can move them, so that the join is an equi-join and a common bigram
-is dealt out over places and lengths. Levenshtein's distance verifies within the join.
+earlier meet the other's prefix. The edit lies on one side of that bigram, so that the words
+agree on the other side up to their start or their end: the place of the pivot is the same
+from there. Pivots and prefixes are posted under (bigram, side, letters on that side, length), a pivot
+for the three lengths that one edit can give. The join is an equi-join, and a common bigram is dealt out
+over places, letters and lengths. Levenshtein's distance verifies within the join.
 
 *Forms.* A word's form is its near word of the greatest count, if that is great enough; roots
 follow the forms by pointer doubling.
@@ -153,20 +155,16 @@ def near_words(words: DataFrame) -> DataFrame:
 
     schema = "word string, len int, gram string, at int, last int, pivot boolean"
     grams = cut_lineage(words.select("word").mapInArrow(indexed, schema))
-    # the places that one edit gives a pivot: it stays, or moves with the length
-    moves = F.array(*(F.struct(F.lit(at).alias("at"), F.lit(n).alias("len")) for at, n in ((0, 0), (0, 1), (1, 1), (0, -1), (-1, -1))))
-    posted = grams.where("pivot").select("word", "gram", "at", "len", "last", F.explode(moves).alias("move"))
-    posted = posted.select(
-        F.col("word").alias("near"),
-        "gram",
-        (F.col("at") + F.col("move.at")).alias("at"),
-        (F.col("len") + F.col("move.len")).alias("len"),
-        F.col("last").alias("near_last"),
-    )
-    probes = grams.select("word", "gram", "at", "len", "last")
-    same = ["gram", "at", "len"]
+    before, after = F.substring("word", F.lit(1), F.col("at")), F.substring("word", F.col("at") + 3, F.col("len"))
+
+    def keys(lengths):
+        """One for each side on which the words agree, and each of the lengths."""
+        return F.explode(F.array(*(F.xxhash64(F.lit(k), "gram", side, F.col("len") + n) for k, side in enumerate((before, after)) for n in lengths)))
+
+    posted = grams.where("pivot").select(F.col("word").alias("near"), F.col("last").alias("near_last"), keys((-1, 0, 1)).alias("key"))
+    probes = grams.select("word", "last", keys((0,)).alias("key"))
     verified = (F.col("p.last") >= F.col("q.near_last")) & (F.levenshtein(F.col("p.word"), F.col("q.near"), 1) == 1)
-    met = probes.alias("p").join(posted.alias("q"), [F.col(f"p.{c}") == F.col(f"q.{c}") for c in same] + [verified])
+    met = probes.alias("p").join(posted.alias("q"), (F.col("p.key") == F.col("q.key")) & verified)
     met = met.select("p.word", "q.near")
     return met.union(met.select("near", "word")).distinct()
 
