@@ -17,10 +17,11 @@ band and, as a ``guest``, those of the next smaller one.
 
 *Links.* First each node meets the member of its lists with the fewest n-grams before the
 shared one, then the one with the greatest number; this joins most groups by one link a node.
-In each list that still holds two components, pairs are met in blocks. A pair is looked at in
-the list of its first shared n-gram only, passes the suffix filter (the n-grams that follow
-are counted in ranges of the hash; the smaller counts of each range bound what is shared),
-and is then verified once on the whole sets.
+In each list that still holds two components, the members of different ones are met in
+blocks. Lists carry no sets: a pair that passes length and position is tried by the suffix
+filter (the n-grams after a prefix are counted in ranges of the hash; the smaller counts of
+each range bound what is shared there), and the pairs left, each once, are verified on the
+whole sets.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ SIMILARITY = Fraction(90, 100)
 CELLS = 1 << 20
 #: Bits of the filter of nodes whose sets are wanted, a power of two; it passes others, which a join then drops.
 FILTER_BITS = 1 << 26
+#: Ranges of the hash in which the suffix filter counts, a power of two.
+RANGES = 64
 #: Members of a list in one block; a task compares two blocks at a time.
 BLOCK_ROWS = 1024
 #: Rows that meet one copy of a set in a join.
@@ -288,13 +291,20 @@ def listed_members(rows: DataFrame, similarity: Fraction) -> DataFrame:
     return rows.join(live, ["gram", "band"]).where(F.col("reach") >= F.col("least")).drop("least")
 
 
-def set_rows(docs: DataFrame, wanted: np.ndarray, width: int, counts, similarity: Fraction) -> DataFrame:
-    """node, set (ascending hashes) and head (its prefix, in order) of each distinct set that passes the filter."""
+def range_counts(s: np.ndarray) -> np.ndarray:
+    return np.bincount(_cell(s, RANGES), minlength=RANGES).astype(np.int32)
+
+
+def set_rows(docs: DataFrame, wanted, width: int, counts, similarity: Fraction) -> DataFrame:
+    """node, set (ascending hashes), whole and tail of each distinct set that passes the filter.
+
+    ``whole`` counts its n-grams in ranges, ``tail`` those after its prefix.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = wanted.value, set()
         for batch in batches:
-            nodes, sets, heads = [], [], []
+            rows = []
             for s in sets_of(_texts(batch.column(0)), width):
                 node = number_of(s)
                 at = node % (64 * len(bits))
@@ -302,14 +312,14 @@ def set_rows(docs: DataFrame, wanted: np.ndarray, width: int, counts, similarity
                     continue
                 if len(seen) < _HELD:
                     seen.add(node)
-                nodes.append(node)
-                sets.append(s.tobytes())
-                heads.append(rare_first(s, counts.value)[: len(s) - least_shared(len(s), similarity) + 1].tobytes())
+                tail = rare_first(s, counts.value)[len(s) - least_shared(len(s), similarity) + 1 :]
+                rows.append((node, s.tobytes(), range_counts(s).tobytes(), range_counts(tail).tobytes()))
+            columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), pa.array(heads, pa.binary())], names=["node", "set", "head"]
+                [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["node", "set", "whole", "tail"]
             )
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(hashed, "node long, set binary, head binary")
+    return docs.select(F.col("text").cast("binary")).mapInArrow(hashed, "node long, set binary, whole binary, tail binary")
 
 
 def enough_shared(x: np.ndarray, y: np.ndarray, similarity: Fraction) -> bool:
@@ -335,83 +345,65 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction, fan: int =
     return pairs.join(one, "a").join(centres, ["b", "copy"]).select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
 
 
-class _Cell:
-    """Members of one or two blocks of a list, and the links found between them."""
-
-    def __init__(self, gram: int, similarity: Fraction):
-        self.gram, self.similarity = np.int64(gram).view(np.uint64), similarity
-        self.rows: list[tuple] = []
-
-    def links(self) -> tuple[list[int], list[int]]:
-        nodes, roots, block, own, place, sizes, reaches, sets, heads = zip(*self.rows)
-        n, r, b, o = np.array(sizes), np.array(reaches), np.array(block), np.array(own)
-        label = np.unique(np.array(roots, np.int64), return_inverse=True)[1]
-        sets = [np.frombuffer(s, np.uint64) for s in sets]
-        before = [set(np.frombuffer(h, np.uint64)[:k].tolist()) for h, k in zip(heads, place)]
-        ranges = self._ranges(sets, before)
-        two, a, c = len(set(block)) > 1, [], []
-        for k in range(len(nodes) - 1):
-            rest = slice(k + 1, None)
-            met = (n[rest] <= r[k]) & (n[k] <= r[rest]) & (label[rest] != label[k]) & (o[rest] | o[k])
-            if two:
-                met &= b[rest] != b[k]
-            near = np.flatnonzero(met) + k + 1
-            if not len(near):
-                continue
-            # suffix filter: this n-gram and the smaller count of each range
-            most = 1 + np.minimum(ranges[near], ranges[k]).sum(axis=1, dtype=np.int64)
-            p, q = self.similarity.numerator, self.similarity.denominator
-            for j in near[most * (p + q) >= p * (n[near] + n[k])].tolist():
-                if label[j] == label[k] or not before[k].isdisjoint(before[j]):
-                    continue  # linked meanwhile, or met in the list of an earlier n-gram
-                if enough_shared(sets[k], sets[j], self.similarity):
-                    a.append(nodes[k])
-                    c.append(nodes[j])
-                    label[label == label[j]] = label[k]
-        return a, c
-
-    def _ranges(self, sets: list[np.ndarray], before: list[set]) -> np.ndarray:
-        """n-grams of each set after the shared one, counted in ranges of the hash."""
-        bits = min(10, max(6, max(len(s) for s in sets).bit_length()))
-        rows = []
-        for s, head in zip(sets, before):
-            ahead = np.array([*head, int(self.gram)], np.uint64) >> np.uint64(64 - bits)
-            counts = np.bincount((s >> np.uint64(64 - bits)).view(np.int64), minlength=1 << bits)
-            rows.append(counts - np.bincount(ahead.view(np.int64), minlength=1 << bits))
-        return np.array(rows, np.int32)
+def _candidates(rows: list[tuple], similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes among members of one or two blocks of a list that pass all filters."""
+    nodes, roots, block, own, place, n, reach = (np.array(c, np.int64) for c in list(zip(*rows))[:7])
+    whole, tail = (np.frombuffer(b"".join(r[k] for r in rows), np.int32).reshape(len(rows), -1) for k in (7, 8))
+    p, q = similarity.numerator, similarity.denominator
+    # n-grams of the prefix that can still be shared
+    ahead = n - (-(-p * n // q)) + 1 - place
+    two, left, right = len(set(block.tolist())) > 1, [], []
+    for k in range(len(rows) - 1):
+        rest = slice(k + 1, None)
+        met = (n[rest] <= reach[k]) & (n[k] <= reach[rest]) & (roots[rest] != roots[k]) & ((own[rest] | own[k]) > 0)
+        if two:
+            met &= block[rest] != block[k]
+        near = np.flatnonzero(met) + k + 1
+        if len(near):
+            most = ahead[k] + np.minimum(whole[near], tail[k]).sum(axis=1, dtype=np.int64)
+            most = np.minimum(most, ahead[near] + np.minimum(tail[near], whole[k]).sum(axis=1, dtype=np.int64))
+            near = near[most * (p + q) >= p * (n[near] + n[k])]
+            left.append(np.full(len(near), nodes[k]))
+            right.append(nodes[near])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([*left, none]), np.concatenate([*right, none])
 
 
 def met_in_lists(members: DataFrame, sets: DataFrame, similarity: Fraction, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Links (a, b) between members (gram, band, own, node, root, n, place, reach) of a list, verified.
+    """Distinct pairs (a < b) of members (gram, band, own, node, root, n, place, reach) that pass all filters.
 
-    They join all pairs of different roots that are similar. Blocks of a long list meet two by
-    two, each two in a group of their own.
+    Members of one root are no pair. Blocks of a long list meet two by two, each two in a
+    group of their own, so that a task holds two blocks.
     """
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cell = None, None
+        key, held, found = None, [], []
+
+        def sent() -> pa.RecordBatch:
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(pair[k] for pair in found)]) for k in range(2))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
         for batch in batches:
-            a, b = [], []
-            for gram, band, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (gram, band, i, j) != key:
-                    if cell:
-                        x, y = cell.links()
-                        a, b = a + x, b + y
-                    key, cell = (gram, band, i, j), _Cell(gram, similarity)
-                cell.rows.append(tuple(row))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        if cell:
-            a, b = cell.links()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            for group, row in zip(zip(*(c.to_pylist() for c in batch.columns[:4])), zip(*(c.to_pylist() for c in batch.columns[4:]))):
+                if group != key:
+                    if len(held) > 1:
+                        found.append(_candidates(held, similarity))
+                    key, held = group, []
+                held.append(row)
+            yield sent()
+        if len(held) > 1:
+            found.append(_candidates(held, similarity))
+        yield sent()
 
     blocks = members.groupBy("gram", "band").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
     rows = members.join(blocks, ["gram", "band"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     group = ["gram", "band", "i", "j"]
-    rows = rows.select(*group, "node", "root", "block", "own", "place", "n", "reach").join(sets, "node")
-    rows = rows.select(*group, "node", "root", "block", "own", "place", "n", "reach", "set", "head").repartition(*group)
-    return rows.sortWithinPartitions(*group, "node").mapInArrow(compared, "a long, b long")
+    kept = [*group, "node", "root", "block", "own", "place", "n", "reach"]
+    rows = rows.select(*kept).join(sets, "node").select(*kept, "whole", "tail").repartition(*group)
+    return rows.sortWithinPartitions(*group, "node").mapInArrow(compared, "a long, b long").distinct()
 
 
 def similar_sets(
@@ -437,7 +429,7 @@ def similar_sets(
         rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         ends = rooted.groupBy("gram", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram", "band")
         left = cut_lineage(rooted.join(ends, ["gram", "band"]))
-    return components(found.union(met_in_lists(left, sets, similarity, block_rows)))
+    return components(found.union(verified(cut_lineage(met_in_lists(left, sets, similarity, block_rows)), sets, similarity)))
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, similarity: Fraction = SIMILARITY, **bounds: int) -> DataFrame:
