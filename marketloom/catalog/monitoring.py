@@ -172,7 +172,7 @@ share AS (SELECT a.symbol, a.feature, a.b, any_value(v) AS v, any_value(n_ref) A
           greatest(count(*) FILTER (role = 'ref') / any_value(n_ref), 1e-4) AS p, greatest(count(*) FILTER (role = 'cur') / any_value(n_cur), 1e-4) AS c
           FROM allbins a LEFT JOIN placed USING (symbol, feature, b) GROUP BY a.symbol, a.feature, a.b),
 normed AS (SELECT *, p / sum(p) OVER (PARTITION BY symbol, feature) AS pp, c / sum(c) OVER (PARTITION BY symbol, feature) AS cc FROM share),
-psi AS (SELECT symbol, feature, any_value(n_ref) AS n_ref, any_value(n_cur) AS n_cur, CASE WHEN any_value(v) <= 1e-8 THEN 0 ELSE greatest(0, sum((cc - pp) * ln(cc / pp))) END AS psi FROM normed GROUP BY ALL),
+psi AS (SELECT symbol, feature, any_value(n_ref) AS n_ref, any_value(n_cur) AS n_cur, CASE WHEN any_value(v) <= 1e-8 THEN 0 ELSE greatest(0, sum((cc - pp) * ln(cc / pp) ORDER BY b)) END AS psi FROM normed GROUP BY ALL),
 cdf AS (SELECT symbol, feature, x, count(*) FILTER (role = 'ref') OVER w / count(*) FILTER (role = 'ref') OVER t AS f1, count(*) FILTER (role = 'cur') OVER w / count(*) FILTER (role = 'cur') OVER t AS f2
         FROM vals WINDOW w AS (PARTITION BY symbol, feature ORDER BY x RANGE UNBOUNDED PRECEDING), t AS (PARTITION BY symbol, feature)),
 ks AS (SELECT symbol, feature, max(abs(f1 - f2)) AS ks_stat FROM cdf GROUP BY ALL),
@@ -204,7 +204,7 @@ def l8(spark, sf):
 
 
 @query("l8_top_drifting_features", fx.sql(DRIFT, f"""
-SELECT symbol, feature, {sr('psi')} AS psi, status, row_number() OVER (PARTITION BY symbol ORDER BY psi DESC, feature)::INT AS rank FROM drift QUALIFY rank <= 10"""))
+SELECT symbol, feature, {sr('psi')} AS psi, status, row_number() OVER (PARTITION BY symbol ORDER BY round(psi, 6) DESC, feature)::INT AS rank FROM drift QUALIFY rank <= 10"""))
 def l8t(spark, sf):
     return mn.top_drifting(mn.feature_drift(drift_values(spark, sf))).select("symbol", "feature", r("psi").alias("psi"), "status", "rank")
 
@@ -259,7 +259,7 @@ def l12(spark, sf):
 
 
 @query("l12_top_drift_overall", fx.sql(DRIFT, f"""
-SELECT symbol, feature, {sr('psi')} AS psi, status FROM (SELECT * FROM drift QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY psi DESC, feature) <= 3) ORDER BY drift.psi DESC, symbol, feature LIMIT 5""".replace("drift.psi DESC", "psi DESC")))
+SELECT symbol, feature, {sr('psi')} AS psi, status FROM (SELECT * FROM drift QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(psi, 6) DESC, feature) <= 3) ORDER BY round(psi, 6) DESC, symbol, feature LIMIT 5"""))
 def l12t(spark, sf):
     return mn.top_drifting_overall(mn.feature_drift(drift_values(spark, sf))).withColumn("psi", r("psi"))
 

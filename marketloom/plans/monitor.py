@@ -203,9 +203,17 @@ def drift_summary(drift: DataFrame) -> DataFrame:
     return agg.withColumn("overall_status", overall).withColumn("retraining_recommended", F.col("overall_status") == "ALERT")
 
 
+#: Places to which PSI is rounded before it ranks: the last bits depend on the order of sums.
+RANK_DIGITS = 6
+
+
+def _by_psi():
+    return F.round("psi", RANK_DIGITS).desc()
+
+
 def top_drifting(drift: DataFrame, n: int = 10) -> DataFrame:
-    """The n features with the highest PSI of each symbol."""
-    w = Window.partitionBy("symbol").orderBy(F.desc("psi"), "feature")
+    """The n features with the highest PSI (to ``RANK_DIGITS`` places, then by name) of each symbol."""
+    w = Window.partitionBy("symbol").orderBy(_by_psi(), "feature")
     return drift.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
@@ -275,7 +283,7 @@ def drift_rollup(drift: DataFrame) -> DataFrame:
 def top_drifting_overall(drift: DataFrame, per_symbol_n: int = 3, n: int = 5) -> DataFrame:
     """Highest-PSI features among each symbol's top three (a top-n report)."""
     return top_drifting(drift, per_symbol_n).select("symbol", "feature", "psi", "status").orderBy(
-        F.desc("psi"), "symbol", "feature"
+        _by_psi(), "symbol", "feature"
     ).limit(n)
 
 
