@@ -16,7 +16,7 @@ only if each one's size is within the other's reach. So one of the two must reac
 band and, as a ``guest``, those of the next smaller one.
 
 *Links.* First each node meets the member of its lists with the fewest n-grams before the
-shared one, then the one with the greatest number; this joins most groups by one link a node.
+shared one; this joins most groups by one link a node.
 In each list that still holds two components, the members of different ones are met in
 blocks. Lists carry no sets: a pair that passes length and position is tried by the suffix
 filter (the n-grams after a prefix are counted in ranges of the hash; the smaller counts of
@@ -417,18 +417,15 @@ def similar_sets(
     wanted = context.broadcast(node_filter(nodes, filter_bits))
     sets = set_rows(docs, wanted, width, counts, similarity).join(nodes, "node", "left_semi")
     sets = cut_lineage(sets.dropDuplicates(["node"]))
-    left, found, roots = members, None, None
-    centres = (F.min(F.struct("place", "node", "n", "reach")), F.max(F.struct("node", "place", "n", "reach")))
-    for centre in centres:
-        ends = left.where("own").groupBy("gram", "band").agg(centre.alias("end"))
-        met = left.join(ends, ["gram", "band"]).where((F.col("node") != F.col("end.node")) & (F.col("n") <= F.col("end.reach")) & (F.col("end.n") <= F.col("reach")))
-        tried = met.groupBy("node").agg(F.min(F.struct("end.place", "end.node")).alias("end"))
-        links = cut_lineage(verified(tried.select(F.col("node").alias("a"), F.col("end.node").alias("b")), sets, similarity))
-        found = links if found is None else found.union(links)
-        roots = cut_lineage(components(found))
-        rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        ends = rooted.groupBy("gram", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram", "band")
-        left = cut_lineage(rooted.join(ends, ["gram", "band"]))
+    # the member with the fewest n-grams before the shared one lacks the others' rare ones
+    ends = members.where("own").groupBy("gram", "band").agg(F.min(F.struct("place", "node", "n", "reach")).alias("end"))
+    met = members.join(ends, ["gram", "band"])
+    met = met.where((F.col("node") != F.col("end.node")) & (F.col("n") <= F.col("end.reach")) & (F.col("end.n") <= F.col("reach")))
+    tried = met.groupBy("node").agg(F.min(F.struct("end.place", "end.node")).alias("end"))
+    found = cut_lineage(verified(tried.select(F.col("node").alias("a"), F.col("end.node").alias("b")), sets, similarity))
+    rooted = members.join(cut_lineage(components(found)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = rooted.groupBy("gram", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram", "band")
+    left = cut_lineage(rooted.join(ends, ["gram", "band"]))
     return components(found.union(verified(cut_lineage(met_in_lists(left, sets, similarity, block_rows)), sets, similarity)))
 
 
