@@ -2,9 +2,9 @@
 
 Documents are dealt by ranges of ``doc_id`` and encoded; a task cuts its documents into
 shards of about ``shard_ids`` ids. Each shard has a grammar of its own: again and again
-the most frequent pairs of neighbouring symbols become nonterminals. A round replaces
-``pairs_per_round`` pairs at once, counted exactly over the whole shard, from left to
-right without overlap. No pair reaches across the end of a document, so each document is
+the most frequent pairs of neighbouring symbols become nonterminals, until no pair occurs
+``least_count`` times. A round replaces up to ``pairs_per_round`` pairs at once, counted exactly over the
+whole shard, from left to right without overlap. No pair reaches across the end of a document, so each document is
 a whole number of symbols; with the expansion length of every symbol, a document is found
 by summing lengths and decoded without its neighbours.
 
@@ -16,6 +16,7 @@ left symbol, right symbol, expansion length; rule i is symbol ``first_rule + i``
 
 from __future__ import annotations
 
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,8 +30,7 @@ from marketloom.llm.tokens import END_ID, chunk_ids, encode_text
 from marketloom.session import shared_folder
 
 SHARD_IDS = 4_000_000
-ROUNDS = 3
-PAIRS_PER_ROUND = 2048
+PAIRS_PER_ROUND = 8192
 LEAST_COUNT = 8
 
 SHARDS = (
@@ -43,17 +43,20 @@ def repair(
     ids: np.ndarray,
     first_rule: int,
     end_id: int = END_ID,
-    rounds: int = ROUNDS,
+    rounds: int | None = None,
     pairs_per_round: int = PAIRS_PER_ROUND,
     least_count: int = LEAST_COUNT,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(rules as rows of left, right, length; symbols) of a Re-Pair grammar for the ids."""
+    """(rules as rows of left, right, length; symbols) of a Re-Pair grammar for the ids.
+
+    ``rounds`` is for tests: by default replacement goes on while a pair is frequent enough.
+    """
     seq = ids.astype(np.uint32)
     rules = np.zeros((0, 3), np.uint32)
     length = np.ones(first_rule, np.uint32)
     closes = np.zeros(first_rule, bool)
     closes[end_id] = True
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(seq) < 2:
             break
         if len(length) < 1 << 16:
