@@ -6,10 +6,11 @@ Driver loops run over folds, feature sets and model families only, never over sy
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -19,6 +20,7 @@ from marketloom.functions.calendar import Calendar
 from marketloom.plans import backtest as bt
 from marketloom.plans import evaluate as ev
 from marketloom.plans import registry as rg
+from marketloom.plans.boosting import Boosted, fit_boosted
 from marketloom.plans.features import INTERACTIONS
 from marketloom.plans.macro import MACRO_FEATURES
 from marketloom.plans.news import NEWS_FEATURES
@@ -40,7 +42,7 @@ class Params:
     rate: float = 0.03
     boost_depth: int = 4
     subsample: float = 0.8
-    columns: str = "0.8"
+    columns: float = 0.8
     validation: float = 0.10
     patience: int = 20
     seed: int = 42
@@ -69,7 +71,7 @@ def _mark_validation(train: DataFrame, share: float) -> DataFrame:
     return train.withColumn("_valid", F.coalesce(F.col("trade_date") >= first, F.lit(False)))
 
 
-def fit(kind: str, train: DataFrame, features: list[str], target: str = TARGET, params: Params = Params(), classes: int = 2) -> PipelineModel:
+def fit(kind: str, train: DataFrame, features: list[str], target: str = TARGET, params: Params = Params(), classes: int = 2) -> PipelineModel | Boosted:
     """Fit one family on clean training rows; labels are class codes from 0."""
     data = train.withColumn("_label", F.col(target) if classes == 2 else F.col(target) + 1.0)
     if kind == "logistic":
@@ -93,9 +95,7 @@ def fit(kind: str, train: DataFrame, features: list[str], target: str = TARGET,
             ),
         ]
     elif kind == "boosted":
-        if classes == 2:
-            return _boost(data, features, params)
-        return ClassBoost([_boost(data.withColumn("_label", (F.col("_label") == k).cast("double")), features, params) for k in range(classes)])
+        return _boost(data, features, params, classes)
     else:
         raise ValueError(f"unknown model family {kind}")
     data = _for_iterations(data.select(*features, "_label"))
@@ -105,17 +105,6 @@ def fit(kind: str, train: DataFrame, features: list[str], target: str = TARGET,
         data.unpersist()
 
 
-def best_round(losses: list[float], patience: int) -> int:
-    """Number of rounds with the least loss seen before ``patience`` rounds pass without a new least."""
-    best = 0
-    for k, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = k
-        elif k - best >= patience:
-            break
-    return best + 1
-
-
 def _for_iterations(rows: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
     """Cached rows in few enough tasks that a pass over them is not all start-up.
 
@@ -124,74 +113,45 @@ def _for_iterations(rows: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
     return rows.coalesce(max(1, -(-rows.count() // rows_per_task))).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _boost(data: DataFrame, features: list[str], params: Params) -> PipelineModel:
+def _boost(data: DataFrame, features: list[str], params: Params, classes: int) -> Boosted:
     """Boosted trees on the older days, cut at the round that the newest days find best."""
-    marked = _assembler(features).transform(cut_lineage(_mark_validation(data, params.validation))).select("_raw", "_label", "_valid")
-    train = _for_iterations(marked.filter(~F.col("_valid")))
-    held = marked.filter("_valid").persist(StorageLevel.MEMORY_AND_DISK)
-
-    def boosted(rounds: int) -> GBTClassifier:
-        gbt = GBTClassifier(
-            featuresCol="_raw", labelCol="_label", predictionCol="_code", maxIter=rounds, stepSize=params.rate,
-            maxDepth=params.boost_depth, subsamplingRate=params.subsample, featureSubsetStrategy=params.columns,
-            seed=params.seed, cacheNodeIds=True,
-        )
-        return gbt.setProbabilityCol("_prob").setRawPredictionCol("_margin")
+    return fit_boosted(
+        cut_lineage(_mark_validation(data, params.validation).select(*features, "_label", "_valid")), features, F.col("_label"), F.col("_valid"),
+        classes, params.rounds, params.rate, params.boost_depth, params.subsample, params.columns, params.patience, params.seed,
+    )
 
-    try:
-        rounds = params.rounds
-        if not held.isEmpty():
-            # the same seed grows the same first trees, so a short run that stops is the long run
-            tried = min(2 * params.patience, params.rounds)
-            while True:
-                model = boosted(tried).fit(train)
-                rounds = best_round(model.evaluateEachIteration(held), params.patience)
-                if tried == params.rounds or rounds + params.patience <= tried:
-                    break
-                tried = min(2 * tried, params.rounds)
-        if held.isEmpty() or rounds < tried:
-            model = boosted(rounds).fit(train)
-    finally:
-        train.unpersist()
-        held.unpersist()
-    return PipelineModel([_assembler(features), model])
 
+#: Fits that run beside each other; each is a chain of short jobs that leaves cores idle.
+PARALLEL_FITS = 4
 
-@dataclass
-class ClassBoost:
-    """One boosted model per class against the rest; their probabilities are scaled to one."""
 
-    models: list[PipelineModel]
-
-    def transform(self, rows: DataFrame) -> DataFrame:
-        out = rows
-        for k, model in enumerate(self.models):
-            out = model.transform(out).withColumn(f"_p{k}", F.get(vector_to_array("_prob"), F.lit(1))).drop("_raw", "_margin", "_prob", "_code")
-        parts = [F.col(f"_p{k}") for k in range(len(self.models))]
-        total = sum(parts[1:], parts[0])
-        probs = F.array(*[p / total for p in parts])
-        return out.withColumn("probs", probs).withColumn("_code", (F.array_position("probs", F.array_max("probs")) - 1).cast("double"))
+def fit_all(wanted: list[tuple]) -> list:
+    """``fit`` for each tuple of its arguments, several at a time."""
+    if not wanted:
+        return []
+    with ThreadPool(min(PARALLEL_FITS, len(wanted))) as pool:
+        spark = wanted[0][1].sparkSession
+        return pool.map(inheritable_thread_target(spark)(lambda args: fit(*args)), wanted)
 
 
-def score(model: PipelineModel, rows: DataFrame, classes: int = 2) -> DataFrame:
+def score(model: PipelineModel | Boosted, rows: DataFrame, classes: int = 2) -> DataFrame:
     """Adds pred (original class) and p = probability of the highest class; of more than two classes, probs."""
     out = model.transform(rows)
-    if "_prob" in out.columns and classes > 2:
+    if "_prob" in out.columns:
         out = out.withColumn("probs", vector_to_array("_prob"))
     pred = F.col("_code") if classes == 2 else F.col("_code") - 1.0
-    out = out.withColumn("pred", pred)
-    if classes > 2:
-        out = out.withColumn("p", F.get("probs", F.lit(classes - 1)))
-    else:
-        out = out.withColumn("p", F.get(vector_to_array("_prob"), F.lit(1)))
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+    out = out.withColumn("pred", pred).withColumn("p", F.get("probs", F.lit(classes - 1)))
+    return out.drop(*[c for c in out.columns if c.startswith("_")], *(["probs"] if classes == 2 else []))
 
 
-def importances(model: PipelineModel, features: list[str], spark, k: int | None = None) -> DataFrame:
+def importances(model: PipelineModel | Boosted, features: list[str], spark, k: int | None = None) -> DataFrame:
     """(rank, feature, weight): coefficients by magnitude, or tree importances."""
-    last = model.stages[-1]
-    vector = last.coefficients if hasattr(last, "coefficients") else last.featureImportances
-    weights = [(f, float(w)) for f, w in zip(features, vector.toArray(), strict=True)]
+    if isinstance(model, Boosted):
+        found = model.importances()
+    else:
+        last = model.stages[-1]
+        found = (last.coefficients if hasattr(last, "coefficients") else last.featureImportances).toArray()
+    weights = [(f, float(w)) for f, w in zip(features, found, strict=True)]
     table = spark.createDataFrame(weights, "feature string, weight double")
     w = Window.orderBy(F.desc(F.abs(F.col("weight"))), "feature")  # one row per feature
     ranked = table.withColumn("rank", F.row_number().over(w))
@@ -204,12 +164,15 @@ def drivers_json(top: DataFrame) -> str:
     return top.agg(F.to_json(packed).alias("j")).first()["j"]
 
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save(model: PipelineModel | Boosted, path: str) -> None:
+    if isinstance(model, Boosted):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load(path: str) -> PipelineModel | Boosted:
+    return Boosted.load(path) if Boosted.saved_at(path) else PipelineModel.load(path)
 
 
 # -- evaluation runs --------------------------------------------------------------
@@ -346,13 +309,13 @@ def out_of_fold(rows: DataFrame, specs: dict[str, tuple[str, list[str]]], folds:
     ``rows`` should be a written table (see ``split_by_date``): every fold reads it.
     """
     rows = rows.join(date_folds(rows).select("trade_date", "row_no"), "trade_date")
-    out = None
-    for f in _fold_list(folds):
-        i = F.col("row_no")
-        train = rows.filter((i >= f["train_start"]) & (i < f["train_end"]))
+    out, i, bounds = None, F.col("row_no"), _fold_list(folds)
+    trains = [rows.filter((i >= f["train_start"]) & (i < f["train_end"])) for f in bounds]
+    models = iter(fit_all([(kind, train, features, target, params) for train in trains for kind, features in specs.values()]))
+    for f in bounds:
         held = rows.filter((i >= f["test_start"]) & (i < f["test_end"])).withColumn("fold", F.lit(f["fold"]))
-        for name, (kind, features) in specs.items():
-            held = score(fit(kind, train, features, target, params), held).withColumnRenamed("p", f"p_{name}").drop("pred")
+        for name in specs:
+            held = score(next(models), held).withColumnRenamed("p", f"p_{name}").drop("pred")
         part = _xy(held, target).select("symbol", "trade_date", "fold", "y", *[f"p_{n}" for n in specs])
         out = part if out is None else out.unionByName(part)
     return out
@@ -363,7 +326,7 @@ class Stack:
     """Fitted base models with a logistic blend and grid weights over their probabilities."""
 
     specs: dict[str, tuple[str, list[str]]]
-    base: dict[str, PipelineModel]
+    base: dict[str, PipelineModel | Boosted]
     meta: PipelineModel
     weights: dict[str, float]
 
@@ -401,7 +364,7 @@ def fit_stack(train: DataFrame, specs: dict[str, tuple[str, list[str]]], target:
     names = [f"p_{n}" for n in specs]
     best = ev.ensemble_weights(oof, names).first()
     meta = fit("logistic", oof, names, "y", params)
-    base = {n: fit(kind, train, features, target, params) for n, (kind, features) in specs.items()}
+    base = dict(zip(specs, fit_all([(kind, train, features, target, params) for kind, features in specs.values()])))
     return Stack(specs, base, meta, {n: best[f"weight_p_{n}"] for n in specs})
 
 

@@ -1,10 +1,14 @@
-"""Early stop with patience and one-vs-rest probabilities of the boosted family."""
+"""Derivatives, splits, whole fits, early stop and probabilities of the boosted family."""
 
 import datetime as dt
+import math
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
+from marketloom.plans import boosting as bo
 from marketloom.plans import evaluate as ev
 from marketloom.plans import models as md
 
@@ -20,31 +24,93 @@ def rows(spark, classes):
     return spark.createDataFrame(out, "symbol string, trade_date date, a double, b double, y double").coalesce(1)
 
 
-def test_best_round_waits_for_patience():
-    def brute(losses, patience):
-        for stop in range(1, len(losses) + 1):
-            seen = losses[:stop]
-            if stop - 1 - seen.index(min(seen)) >= patience:
-                return seen.index(min(seen)) + 1
-        return losses.index(min(losses)) + 1
+def test_derivatives_match_the_loss():
+    rng = np.random.default_rng(0)
+    for outputs in (1, 3):
+        margins, codes = rng.normal(size=(40, outputs)), rng.integers(0, max(2, outputs), 40)
+        first, second = bo.derivatives(margins, codes)
+        for i in range(40):
+            for k in range(outputs):
+                def loss(x, i=i, k=k):
+                    moved = margins[i : i + 1].copy()
+                    moved[0, k] += x
+                    return bo.log_loss(moved, codes[i : i + 1])
+
+                e = 1e-4
+                assert abs((loss(e) - loss(-e)) / (2 * e) - first[i, k]) < 1e-6
+                slope = (loss(e) - 2 * loss(0.0) + loss(-e)) / e**2
+                # of more than two classes the bound used is twice the diagonal
+                assert abs(slope * (1 if outputs == 1 else 2) - second[i, k]) < 1e-4
+
+
+def test_best_split_against_all_cuts():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        g, h = rng.normal(size=(3, 6)), rng.uniform(0.2, 2, size=(3, 6))
+        g, h = g * (g[0].sum() / g.sum(axis=1))[:, None], h * (h[0].sum() / h.sum(axis=1))[:, None]
+        options = []
+        for f in range(3):
+            for b in range(5):
+                (a, x), (c, y) = (g[f, : b + 1].sum(), h[f, : b + 1].sum()), (g[f, b + 1 :].sum(), h[f, b + 1 :].sum())
+                if min(x, y) >= bo.LEAST_HESSIAN and f != 1:
+                    options.append(a * a / (x + 1) + c * c / (y + 1) - g[0].sum() ** 2 / (h[0].sum() + 1))
+        gain, f, _ = bo.best_split(g, h, np.array([True, False, True]))
+        assert f != 1 and abs(gain - max(options)) < 1e-9
+
+
+def grown_plainly(x, y, cuts, rounds, rate, depth, classes):
+    """The same trees without Spark: every node looks at all its rows."""
+    bins = np.stack([np.searchsorted(c, x[:, k], side="left") for k, c in enumerate(cuts)], axis=1)
+    margins = np.zeros((len(y), 1 if classes == 2 else classes))
+    for _ in range(rounds):
+        g, h = bo.derivatives(margins, y)
+        step = np.zeros_like(margins)
+        for k in range(margins.shape[1]):
+            def split(rows, level, k=k):
+                a, b = g[rows, k].sum(), h[rows, k].sum()
+                best = (1e-12, None)
+                if level < depth:
+                    for f in range(bins.shape[1]):
+                        for cut in range(bo.BINS - 1):
+                            left = bins[rows, f] <= cut
+                            la, lb = g[rows[left], k].sum(), h[rows[left], k].sum()
+                            if lb >= 1 and b - lb >= 1:
+                                gain = la**2 / (lb + 1) + (a - la) ** 2 / (b - lb + 1) - a * a / (b + 1)
+                                if gain > best[0] + 1e-9:
+                                    best = (gain, left)
+                if best[1] is None:
+                    step[rows, k] = -a / (b + 1)
+                else:
+                    split(rows[best[1]], level + 1)
+                    split(rows[~best[1]], level + 1)
+
+            split(np.arange(len(y)), 0)
+        margins += rate * step
+    return bo.probabilities(margins)
 
-    rng = random.Random(1)
-    for _ in range(300):
-        losses = [rng.randint(0, 9) for _ in range(rng.randint(1, 40))]
-        patience = rng.randint(1, 8)
-        assert md.best_round(losses, patience) == brute(losses, patience)
 
+def test_trees_match_a_plain_fit(spark):
+    for classes in (2, 3):
+        data = rows(spark, classes).withColumn("code", F.col("y") + (classes - 2))
+        model = bo.fit_boosted(data, ["a", "b"], F.col("code"), F.lit(False), classes, 3, 0.5, 2)
+        got = model.transform(data).orderBy("trade_date", "symbol").collect()
+        x = np.array([(r.a, r.b) for r in got])
+        want = grown_plainly(x, np.array([int(r.code) for r in got]), model.cuts, 3, 0.5, 2, classes)
+        assert len(model.rounds) == 3 and np.abs(np.array([r.probs for r in got]) - want).max() < 1e-9
 
-def test_boosting_is_cut_at_the_best_round(spark):
-    from pyspark.ml.classification import GBTClassifier
 
+def test_boosting_is_cut_at_the_best_round(spark, tmp_path):
     data = rows(spark, 2)
-    params = md.Params(rounds=8, patience=2, rate=0.5, boost_depth=2, subsample=1.0, columns="all")
-    kept = md.fit("boosted", data, ["a", "b"], "y", params).stages[-1].getNumTrees
-    marked = md._assembler(["a", "b"]).transform(md._mark_validation(data, params.validation))
-    whole = GBTClassifier(featuresCol="_raw", labelCol="y", maxIter=8, stepSize=0.5, maxDepth=2, seed=params.seed).fit(marked.filter("not _valid"))
-    losses = whole.evaluateEachIteration(marked.filter("_valid"))
-    assert kept == md.best_round(losses, 2)
+    params = md.Params(rounds=12, patience=2, rate=0.9, boost_depth=2, subsample=1.0, columns=1.0)
+    model = md.fit("boosted", data, ["a", "b"], "y", params)
+    least = int(np.argmin(model.losses))
+    assert len(model.rounds) == max(1, least) and (len(model.losses) == 13 or len(model.losses) - 1 - least == 2)
+    marked = md._mark_validation(data, params.validation)
+    held = model.transform(marked.filter("_valid")).select("y", "probs").collect()
+    assert abs(-sum(math.log(r.probs[int(r.y)]) for r in held) / len(held) - model.losses[len(model.rounds)]) < 1e-9
+    md.save(model, str(tmp_path / "m"))
+    left, right = (sorted(r.p for r in md.score(m, data).collect()) for m in (model, md.load(str(tmp_path / "m"))))
+    assert left == right and abs(sum(model.importances()) - 1) < 1e-9
 
 
 def test_three_classes_have_probabilities_and_an_auc(spark):
