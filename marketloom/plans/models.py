@@ -390,9 +390,9 @@ def forward_predictions(features_df: DataFrame, features: list[str], kind: str =
     features_df = cut_lineage(features_df)
     train = features_df.na.drop(subset=[*features, target])
     model = fit(kind, train, features, target, params)
-    last = features_df.groupBy("symbol").agg(
+    last = cut_lineage(features_df.groupBy("symbol").agg(
         F.max_by(F.struct("trade_date", *features), "trade_date").alias("_r")
-    ).select("symbol", "_r.*").na.drop(subset=features)
+    ).select("symbol", "_r.*")).na.drop(subset=features)
     calendar = Calendar().covering(last, F.col("trade_date")).select(F.col("day").alias("trade_date"), "next_trading")
     day = F.col("trade_date")
     skip = F.when(F.weekday(day) == 4, 3).when(F.weekday(day) == 5, 2).otherwise(1)
