@@ -104,14 +104,21 @@ def i11m(spark, sf):
 
 @query("i13_ensemble_weights", fx.sql(SCORED + """,
 oof AS (SELECT y, p AS a, CASE WHEN doc_id % 4 = 0 THEN 1 - y * 0.75 ELSE 0.25 + y * 0.5 END AS b, 0.5e0 AS c FROM scored),
-w AS (SELECT i / 20e0 AS wa, j / 20e0 AS wb, (20 - i - j) / 20e0 AS wc FROM range(0, 21) t1(i), range(0, 21) t2(j) WHERE i + j <= 20),
-loss AS (SELECT wa, wb, wc, avg(-CASE WHEN y = 1 THEN ln(q) ELSE ln(1 - q) END) AS l FROM (
-  SELECT y, wa, wb, wc, greatest(least(a * wa + b * wb + c * wc, 1 - 1e-6), 1e-6) AS q FROM oof, w) GROUP BY ALL)""", f"""
-SELECT wa AS weight_a, wb AS weight_b, wc AS weight_c, {sr('l')} AS log_loss FROM loss ORDER BY l, wa, wb LIMIT 1"""))
+lik AS (SELECT CASE WHEN y = 1 THEN a ELSE 1 - a END AS a, CASE WHEN y = 1 THEN b ELSE 1 - b END AS b, CASE WHEN y = 1 THEN c ELSE 1 - c END AS c, count(*) AS n
+        FROM (SELECT y, greatest(least(a, 1 - 1e-6), 1e-6) AS a, greatest(least(b, 1 - 1e-6), 1e-6) AS b, c FROM oof) GROUP BY ALL),
+em AS (SELECT 0 AS i, 1 / 3e0 AS wa, 1 / 3e0 AS wb, 1 / 3e0 AS wc
+       UNION ALL
+       SELECT any_value(i) + 1, sum(n * wa * a / (wa * a + wb * b + wc * c)) / sum(n), sum(n * wb * b / (wa * a + wb * b + wc * c)) / sum(n),
+              sum(n * wc * c / (wa * a + wb * b + wc * c)) / sum(n)
+       FROM em, lik WHERE i < 3000 HAVING count(*) > 0)""", f"""
+SELECT {sr('any_value(wa)', 3)} AS weight_a, {sr('any_value(wb)', 3)} AS weight_b, {sr('any_value(wc)', 3)} AS weight_c,
+       {sr('sum(-n * ln(wa * a + wb * b + wc * c)) / sum(n)')} AS log_loss
+FROM em, lik WHERE i = 3000""", recursive=True))
 def i13(spark, sf):
     oof = label_scores(spark, sf).select(
         "y", F.col("p").alias("a"), F.when(F.col("doc_id") % 4 == 0, 1 - F.col("y") * 0.75).otherwise(F.col("y") * 0.5 + 0.25).alias("b"), F.lit(0.5).alias("c"))
-    return ev.ensemble_weights(oof, ["a", "b", "c"]).withColumn("log_loss", r("log_loss"))
+    out = ev.ensemble_weights(oof, ["a", "b", "c"])
+    return out.select(*[r(f"weight_{m}", 3).alias(f"weight_{m}") for m in "abc"], r("log_loss").alias("log_loss"))
 
 
 def panel(spark, sf):

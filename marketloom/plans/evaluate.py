@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.targets import NOISE_BAND
+from marketloom.session import cut_lineage
 
 SMOOTH = 1e-4
 
@@ -141,29 +145,89 @@ def evaluate(scored: DataFrame, *by: str) -> DataFrame:
 # -- ensemble weights -------------------------------------------------------------
 
 
-def simplex(parts: int, steps: int) -> list[tuple[int, ...]]:
-    """All non-negative integer vectors of the given length that sum to ``steps``."""
-    if parts == 1:
-        return [(steps,)]
-    return [(i, *rest) for i in range(steps + 1) for rest in simplex(parts - 1, steps - i)]
+#: Probabilities are kept this far from 0 and 1 before they are blended.
+CLIP = 1e-6
 
 
-def ensemble_weights(oof: DataFrame, models: list[str], steps: int = 20) -> DataFrame:
-    """Weights on a simplex grid with the lowest log loss of the blended probability.
+def _mixture_sums(likelihoods: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """One pass of map-side sums: mean likelihood over the blend by model, its products by pairs of models, log loss.
 
-    Each row is scored under every candidate inside the map task and folded there by
-    partial aggregation, so the shuffle carries one row per candidate and task.
+    A mean times the model's weight is its mean responsibility.
     """
-    grid = simplex(len(models), steps)
-    options = F.array(*[F.array(*[F.lit(k / steps) for k in w]) for w in grid])
-    blended = oof.select("y", *models, F.explode(options).alias("weights"))
-    mix = sum((F.col(m) * F.get("weights", F.lit(i)) for i, m in enumerate(models)), F.lit(0.0))
-    p = F.greatest(F.least(mix, F.lit(1.0 - 1e-6)), F.lit(1e-6))
-    loss = -F.when(F.col("y") == 1, F.ln(p)).otherwise(F.ln(1.0 - p))
-    losses = blended.select("weights", loss.alias("_l")).groupBy("weights").agg(F.avg("_l").alias("log_loss"))
-    best = losses.agg(
-        F.min_by("weights", F.struct(F.round("log_loss", 12), "weights")).alias("weights"), F.min("log_loss").alias("log_loss")
-    )
-    equal = F.array(*[F.lit(1.0 / len(models))] * len(models))
-    chosen = F.coalesce("weights", equal)
-    return best.select(*[F.get(chosen, F.lit(i)).alias(f"weight_{m}") for i, m in enumerate(models)], "log_loss")
+    k = len(weights)
+    mix = reduce(lambda a, b: a + b, [F.col("_l")[i] * float(w) for i, w in enumerate(weights)])
+    share = likelihoods.select(mix.alias("_mix"), "_l").select(F.ln("_mix").alias("_ln"), *[(F.col("_l")[i] / F.col("_mix")).alias(f"_s{i}") for i in range(k)])
+    row = share.agg(
+        F.avg(-F.col("_ln")), *[F.avg(f"_s{i}") for i in range(k)],
+        *[F.avg(F.col(f"_s{i}") * F.col(f"_s{j}")) for i in range(k) for j in range(k)],
+    ).first()
+    return np.array(row[1 : k + 1], float), np.array(row[k + 1 :], float).reshape(k, k), row[0]
+
+
+def _leap(weights: np.ndarray, slope: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    """The point of the simplex that is best by slope and curvature, models with a negative weight left out in turn."""
+    k = len(weights)
+    ridged = curve + np.eye(k) * 1e-12 * np.trace(curve)
+    pull = slope + ridged @ weights
+    free = np.ones(k, bool)
+    best = weights
+    for _ in range(4 * k):
+        n = int(free.sum())
+        system = np.ones((n + 1, n + 1))
+        system[:n, :n] = ridged[np.ix_(free, free)]
+        system[n, n] = 0.0
+        solved = np.linalg.lstsq(system, np.append(pull[free], 1.0), rcond=None)[0]
+        best = np.zeros(k)
+        best[free] = solved[:n]
+        if best.min() < 0:
+            free &= best > best.min()
+            continue
+        gain = np.where(free, 0.0, pull - ridged @ best - solved[n])
+        if gain.max() <= 1e-12:
+            break
+        free[int(gain.argmax())] = True
+    return np.maximum(best, 0.0) / np.maximum(best, 0.0).sum()
+
+
+def mixture_weights(likelihoods: DataFrame, models: int, gap: float = 1e-9, rounds: int = 200) -> tuple[list[float], float | None]:
+    """Weights on the simplex with the least log loss, and that loss.
+
+    ``likelihoods`` holds one array ``_l`` a row: the probability each model gave to what came.
+    A round is one pass that sums responsibilities and their products; rows are neither
+    multiplied nor collected. The next weights are the best point by slope and curvature. Where
+    that does not lower the loss, the step of expectation-maximisation (weight times mean
+    ratio), which never raises it, is taken. The loss is convex in the weights and at most
+    max(mean ratio) - 1 above its optimum: rounds end when that falls to ``gap``, or when
+    neither step lowers the loss. Empty table: equal weights, no loss.
+    """
+    weights = np.full(models, 1.0 / models)
+    slope, curve, loss = _mixture_sums(likelihoods, weights)
+    if loss is None:
+        return weights.tolist(), None
+    spent = 1
+    while slope.max() - 1.0 > gap and spent < rounds:
+        # a hair of every model keeps weights of zero able to grow
+        alive = weights * (1 - 1e-6) + 1e-6 / models
+        for step in (_leap(weights, slope, curve), alive * slope / (alive @ slope)):
+            found = _mixture_sums(likelihoods, step)
+            spent += 1
+            if found[2] < loss:
+                weights, (slope, curve, loss) = step, found
+                break
+        else:
+            break
+    return weights.tolist(), loss
+
+
+def ensemble_weights(oof: DataFrame, models: list[str]) -> DataFrame:
+    """Weights of the blend of the models' probabilities with the lowest log loss (one row).
+
+    Rows without y or without the probability of a model are left out; probabilities are
+    clipped to [CLIP, 1 - CLIP]. The rows are written once, as arrays of likelihoods.
+    """
+    p = [F.greatest(F.least(F.col(m), F.lit(1.0 - CLIP)), F.lit(CLIP)) for m in models]
+    known = oof.select("y", *models).dropna()
+    likelihoods = cut_lineage(known.select(F.array(*[F.when(F.col("y") == 1, c).otherwise(1.0 - c) for c in p]).alias("_l")))
+    weights, loss = mixture_weights(likelihoods, len(models))
+    schema = ", ".join([*[f"`weight_{m}` double" for m in models], "log_loss double"])
+    return oof.sparkSession.createDataFrame([(*weights, loss)], schema)

@@ -5,7 +5,7 @@ import math
 import random
 
 import numpy as np
-
+import pytest
 from pyspark.sql import functions as F
 
 from marketloom.plans import boosting as bo
@@ -124,3 +124,30 @@ def test_three_classes_have_probabilities_and_an_auc(spark):
     assert sum(r.y == r.pred for r in got) / len(got) > 0.7
     auc = ev.auc_ovr(scored.withColumn("all", F.lit(1)), [-1.0, 0.0, 1.0], "all").first()["roc_auc"]
     assert auc > 0.8
+
+
+def test_ensemble_weights_reach_the_optimum_of_the_simplex(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(400):
+        y = float(rng.random() < 0.5)
+        rows.append((y, *(min(max(0.5 + (y - 0.5) * lean + rng.uniform(-wide, wide), 0.0), 1.0) for lean, wide in ((0.5, 0.4), (0.3, 0.2), (-0.4, 0.5)))))
+    got = ev.ensemble_weights(spark.createDataFrame([*rows, (None, 0.1, 0.1, 0.1), (1.0, None, 0.2, 0.2)], "y double, a double, b double, c double"), ["a", "b", "c"]).first()
+
+    def loss(w):
+        clip = lambda p: min(max(p, 1e-6), 1 - 1e-6)
+        return -sum(math.log(sum(k * (clip(p) if y == 1 else 1 - clip(p)) for k, p in zip(w, ps))) for y, *ps in rows) / len(rows)
+
+    w = [got.weight_a, got.weight_b, got.weight_c]
+    grid = min(loss((i / 100, j / 100, (100 - i - j) / 100)) for i in range(101) for j in range(101 - i))
+    assert sum(w) == pytest.approx(1.0) and min(w) >= 0 and got.log_loss == pytest.approx(loss(w), abs=1e-12)
+    assert got.log_loss <= grid + 1e-6 and got.weight_c < 0.01
+
+
+def test_ensemble_weights_of_odd_tables(spark):
+    empty = ev.ensemble_weights(spark.createDataFrame([], "y double, a double, b double"), ["a", "b"]).first()
+    assert (empty.weight_a, empty.weight_b, empty.log_loss) == (0.5, 0.5, None)
+    same = ev.ensemble_weights(spark.createDataFrame([(1.0, 0.7, 0.7), (0.0, 0.4, 0.4)], "y double, a double, b double"), ["a", "b"]).first()
+    assert same.weight_a == pytest.approx(0.5)
+    best = ev.ensemble_weights(spark.createDataFrame([(1.0, 1.0, 0.0), (0.0, 0.0, 1.0)], "y double, a double, b double"), ["a", "b"]).first()
+    assert best.weight_a > 0.999 and best.log_loss < 1e-5
