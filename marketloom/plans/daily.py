@@ -19,20 +19,53 @@ from marketloom.plans import registry as rg
 from marketloom.plans import signals as sg
 from marketloom.functions import calendar as cal
 from marketloom.schemas import PREDICTIONS, PRICES, SIGNALS
+from marketloom.session import cut_lineage
 from marketloom.sources import tables as tb
 
 STEPS = ("bars", "news", "macro", "features", "predictions", "audit")
 
 
-def run_steps(steps: dict[str, Callable[[], int]], keep_going: bool = False) -> list[tuple]:
-    """Run in order; after a failure the rest is SKIPPED unless told to go on."""
+LEDGER = "run_id string, step string, rows bigint"
+
+
+class Ledger:
+    """Finished steps by run id. A step counts once its row is committed, so a rerun of the id goes on after it.
+
+    Steps are idempotent (partitions and versions are replaced, known ids left out), so one
+    that ended without its row is run again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, run_id: str):
+        self.spark, self.folder, self.run_id = spark, f"{path}/run={run_id}", run_id
+
+    def finished(self) -> dict[str, int]:
+        steps = tb.committed(self.spark, self.folder)
+        if not steps:
+            return {}
+        rows = self.spark.read.schema(LEDGER).json([f"{self.folder}/{s}" for s in steps]).collect()  # one row a step
+        return {r.step: r.rows for r in rows}
+
+    def finish(self, step: str, rows: int) -> None:
+        row = self.spark.createDataFrame([(self.run_id, step, rows)], LEDGER)
+        row.coalesce(1).write.mode("overwrite").json(f"{self.folder}/{step}")
+
+
+def run_steps(steps: dict[str, Callable[[], int]], keep_going: bool = False, ledger: Ledger | None = None) -> list[tuple]:
+    """Run in order; after a failure the rest is SKIPPED unless told to go on. Steps in the ledger are REUSED."""
     report, failed = [], False
+    known = ledger.finished() if ledger else {}
     for name, step in steps.items():
+        if name in known:
+            report.append((name, "REUSED", known[name], None))
+            continue
         if failed and not keep_going:
             report.append((name, "SKIPPED", 0, "an earlier step failed"))
             continue
         try:
-            report.append((name, "SUCCESS", int(step()), None))
+            rows = int(step())
+            if ledger:
+                ledger.finish(name, rows)
+            report.append((name, "SUCCESS", rows, None))
         except Exception as exc:  # noqa: BLE001 - recorded in the run report
             failed = True
             report.append((name, "FAILED", 0, str(exc)))
@@ -68,7 +101,10 @@ def daily_steps(
     def features() -> int:
         signals = tb.read_table(spark, layout.news).withColumn(
             "published_utc", cal.parse_published(F.col("published_at"))
-        ).filter("published_utc IS NOT NULL")
+        )
+        timeless = signals.filter("published_utc IS NULL").drop("published_utc").withColumn("reason", F.lit("publication time unreadable"))
+        tb.keep_rejects(timeless, layout.rejects, "features", "signal_id")
+        signals = signals.filter("published_utc IS NOT NULL")
         dim = calendar.covering(signals, F.to_date(cal.local_clock(F.col("published_utc"))), after=60)
         aligned = cal.align_to_sessions(signals, dim, "published_utc")
         table = nw.news_features(aligned, prices().select("symbol"), nw.feature_sessions(aligned, dim), "published_utc")
@@ -83,7 +119,8 @@ def daily_steps(
             return spark.createDataFrame([], PREDICTIONS)
 
     def predictions() -> int:
-        made = md.forward_predictions(tb.read_table(spark, layout.features), model_columns, kind, params=params)
+        made = cut_lineage(md.forward_predictions(tb.read_table(spark, layout.features), model_columns, kind, params=params))
+        tb.keep_rejects(rg.refused(made), layout.rejects, "predictions", "symbol")
         tb.write_version(rg.append_predictions(registry(), made), layout.predictions)
         return registry().count()
 
@@ -94,9 +131,11 @@ def daily_steps(
     return dict(zip(STEPS, (bars, news, macro_table, features, predictions, audit), strict=True))
 
 
-def run_daily(spark: SparkSession, layout: tb.Layout, steps: dict[str, Callable[[], int]], keep_going: bool = False) -> list[tuple]:
-    """Run the steps and append one line to the run log."""
+def run_daily(spark: SparkSession, layout: tb.Layout, steps: dict[str, Callable[[], int]], keep_going: bool = False,
+              run_id: str | None = None) -> list[tuple]:
+    """Run the steps and append one line to the run log; with the id of an earlier run, go on where that ended."""
     started = dt.datetime.now(dt.timezone.utc)
-    report = run_steps(steps, keep_going)
-    tb.log_run(spark, layout.runs, [(uuid.uuid4().hex, started, dt.datetime.now(dt.timezone.utc), report)])
+    run_id = run_id or uuid.uuid4().hex
+    report = run_steps(steps, keep_going, Ledger(spark, layout.ledger, run_id))
+    tb.log_run(spark, layout.runs, [(run_id, started, dt.datetime.now(dt.timezone.utc), report)])
     return report

@@ -20,10 +20,24 @@ def confidence_of(p: Column) -> Column:
     return F.abs(p - 0.5) * 2.0
 
 
+def refusal() -> Column:
+    """Why a prediction is refused; null for one that is kept."""
+    p, c = F.col("up_probability"), F.col("confidence")
+    outside = lambda x: F.isnan(x) | ~x.between(0, 1)
+    return (
+        F.when(p.isNull(), "probability missing").when(outside(p), "probability out of range")
+        .when(c.isNull(), "confidence missing").when(outside(c), "confidence out of range")
+    )
+
+
 def checked(predictions: DataFrame) -> DataFrame:
     """Rows with probability and confidence in [0, 1]; a missing id is drawn once here."""
-    ok = F.col("up_probability").between(0, 1) & F.col("confidence").between(0, 1)
-    return predictions.filter(ok).withColumn("prediction_id", F.coalesce("prediction_id", F.uuid()))
+    return predictions.filter(refusal().isNull()).withColumn("prediction_id", F.coalesce("prediction_id", F.uuid()))
+
+
+def refused(predictions: DataFrame) -> DataFrame:
+    """The rows that ``checked`` leaves out, with their ``reason``."""
+    return predictions.drop("reason").withColumn("reason", refusal()).filter("reason IS NOT NULL")
 
 
 def merge_rows(stored: DataFrame, incoming: DataFrame) -> DataFrame:

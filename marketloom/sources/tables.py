@@ -56,20 +56,19 @@ def append_rows(df: DataFrame, path: str, *by: str) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-def _complete_versions(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the version folders whose job committed (it leaves a _SUCCESS file)."""
+def committed(spark: SparkSession, root: str) -> list[str]:
+    """Names of the folders under ``root`` whose job committed (it leaves a _SUCCESS file)."""
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(base):
         return []
-    found = []
-    for status in fs.listStatus(base):
-        name = status.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("v") and name[1:].isdigit() and fs.exists(done):
-            found.append(int(name[1:]))
-    return sorted(found)
+    folders = [status.getPath() for status in fs.listStatus(base)]
+    return sorted(f.getName() for f in folders if fs.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
+
+
+def _complete_versions(spark: SparkSession, root: str) -> list[int]:
+    return sorted(int(n[1:]) for n in committed(spark, root) if n.startswith("v") and n[1:].isdigit())
 
 
 def write_version(df: DataFrame, root: str) -> str:
@@ -87,6 +86,10 @@ def read_version(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/v{versions[-1]:06d}")
 
 
+#: Layers that are written as whole versions.
+VERSIONED = ("macro", "predictions")
+
+
 @dataclass(frozen=True)
 class Layout:
     """One partitioned table per layer under a common root."""
@@ -125,6 +128,14 @@ class Layout:
     def runs(self) -> str:
         return f"{self.root}/reports/runs"
 
+    @property
+    def ledger(self) -> str:
+        return f"{self.root}/reports/ledger"
+
+    @property
+    def rejects(self) -> str:
+        return f"{self.root}/rejects"
+
     def views(self) -> dict[str, str]:
         return {
             "prices": self.prices, "news_signals": self.news, "macro": self.macro,
@@ -137,27 +148,51 @@ def register_view(spark: SparkSession, name: str, glob: str) -> None:
 
 
 def register_views(spark: SparkSession, layout: Layout) -> list[str]:
-    """Views for the layers that exist."""
+    """Views for the layers that exist; of a versioned layer, its latest committed version."""
     made = []
     for name, path in layout.views().items():
         try:
-            register_view(spark, name, path)
-            made.append(name)
+            table = read_version(spark, path) if name in VERSIONED else read_table(spark, path)
         except DatasetNotFoundError:
             continue
+        table.createOrReplaceTempView(name)
+        made.append(name)
     return made
 
 
+REJECTS = "step string, reason string, row_key string, record string"
+
+
+def keep_rejects(rejected: DataFrame, root: str, step: str, key: str) -> None:
+    """Add rows that a step refused (with their ``reason``) to the side table, each once.
+
+    A row is kept whole as JSON, so tables of any shape share the side table. Rows of an
+    earlier run stay; a rerun that refuses the same rows adds nothing.
+    """
+    spark = rejected.sparkSession
+    record = F.to_json(F.struct(*[c for c in rejected.columns if c != "reason"]))
+    rows = rejected.select(F.lit(step).alias("step"), "reason", F.col(key).cast("string").alias("row_key"), record.alias("record"))
+    try:
+        rows = read_version(spark, root).unionByName(rows)
+    except DatasetNotFoundError:
+        pass
+    write_version(rows.distinct(), root)
+
+
+def reject_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Refused rows per step and reason; empty where nothing was ever refused."""
+    try:
+        rows = read_version(spark, root)
+    except DatasetNotFoundError:
+        rows = spark.createDataFrame([], REJECTS)
+    return rows.groupBy("step", "reason").agg(F.count(F.lit(1)).alias("rejected"))
+
+
 def sql(spark: SparkSession, text: str, **params) -> DataFrame:
     """Parameterised SQL over registered views; values are bound, never pasted."""
     return spark.sql(text, args=params)
 
 
-def land_raw(payloads: DataFrame, path: str) -> None:
-    """Immutable raw landing: append payloads under source and ingest date."""
-    payloads.write.mode("append").partitionBy("source", "ingest_date").json(path)
-
-
 def universe_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Configured instruments; symbols must be alphanumeric, upper case is enforced."""
     clean = []
@@ -188,11 +223,11 @@ def log_run(spark: SparkSession, path: str, run: list) -> None:
 
 
 def recent_runs(runs: DataFrame, n: int = 5) -> DataFrame:
-    """Last n runs with their success counts."""
+    """Last n runs with the counts of tasks that ended well, in them or in the run that they go on with."""
     return (
         runs.select(
             "run_id", "started_at", F.size("tasks").alias("total_tasks"),
-            F.size(F.filter("tasks", lambda t: t["status"] == "SUCCESS")).alias("succeeded"),
+            F.size(F.filter("tasks", lambda t: t["status"].isin("SUCCESS", "REUSED"))).alias("succeeded"),
         )
         .orderBy(F.desc("started_at"), F.desc("run_id"))
         .limit(n)

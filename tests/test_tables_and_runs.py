@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from marketloom.plans import daily as dl
 from marketloom.plans import models as md
+from marketloom.plans import registry as rg
 from marketloom.schemas import PRICES
+from marketloom.sources import commits as cm
 from marketloom.sources import tables as tb
 from marketloom.streaming import streams as st
 
@@ -58,11 +60,70 @@ def test_universe(spark):
         tb.universe_table(spark, [{"symbol": "A-B"}])
 
 
-def test_raw_landing_and_inventory(spark, tmp_path):
-    path = str(tmp_path / "raw")
-    tb.land_raw(spark.createDataFrame([("AAA", "{}", "dps", "2024-01-01")], "symbol string, payload string, source string, ingest_date string"), path)
-    tb.land_raw(spark.createDataFrame([("BBB", "{}", "dps", "2024-01-02")], "symbol string, payload string, source string, ingest_date string"), path)
-    assert spark.read.json(path).count() == 2
+PAYLOADS = "source string, ingest_date string, symbol string, payload string"
+
+
+def test_raw_landing_counts_committed_batches_only(spark, tmp_path):
+    root = str(tmp_path / "raw")
+    assert cm.landed(spark, root).count() == 0 and cm.verify(spark, root).count() == 0
+    first = spark.createDataFrame([("dps", "2024-01-01", "AAA", "{}"), ("dps", "2024-01-01", "AAA", "{}"), (None, None, None, None)], PAYLOADS)
+    assert cm.land(first, root, "b1") and not cm.land(first.limit(1), root, "b1")
+    first.write.parquet(f"{root}/data/b2")  # a batch that broke off before its manifest
+    assert cm.landed(spark, root).count() == 3
+    got = {r.source: (r.payloads, r.bytes, r.intact) for r in cm.verify(spark, root).collect()}
+    assert got == {"dps": (2, 4, True), None: (1, 0, True)}
+    assert cm.land(first, root, "b2") and cm.read_verified(spark, root).count() == 6
+    assert cm.land(first.limit(0), root, "b3") and cm.read_verified(spark, root).count() == 6
+
+
+def test_damaged_batches_are_found(spark, tmp_path):
+    root = str(tmp_path / "raw")
+    rows = spark.createDataFrame([("dps", "2024-01-01", "AAA", "{1}"), ("dps", "2024-01-01", "AAA", "{2}")], PAYLOADS)
+    cm.land(rows, root, "good")
+    cm.land(rows, root, "bad")
+    stored = spark.read.schema(cm.DATA).parquet(f"{root}/data/bad").withColumn("payload", F.regexp_replace("payload", "2", "3"))
+    spark.createDataFrame(stored.collect(), cm.DATA).write.mode("overwrite").parquet(f"{root}/data/bad")
+    assert {r.batch: r.intact for r in cm.verify(spark, root).collect()} == {"good": True, "bad": False}
+    with pytest.raises(cm.ContentMismatchError, match="bad"):
+        cm.read_verified(spark, root)
+
+
+def test_views_of_versioned_layers_show_the_latest_version(spark, tmp_path):
+    layout = tb.Layout(str(tmp_path))
+    for n in (2, 5):
+        tb.write_version(spark.range(n), layout.macro)
+    assert tb.register_views(spark, layout) == ["macro"]
+    assert spark.sql("SELECT count(*) AS n FROM macro").first().n == 5
+
+
+def test_refused_predictions_are_kept_aside_once(spark, tmp_path):
+    root = str(tmp_path / "rejects")
+    assert tb.reject_counts(spark, root).count() == 0
+    rows = [("a", 0.5, 0.1), ("b", 1.5, 0.1), ("c", None, 0.1), ("d", 0.5, None), ("e", float("nan"), 0.1), ("f", 0.0, -0.1), ("g", 1.0, 1.0)]
+    sent = spark.createDataFrame(rows, "prediction_id string, up_probability double, confidence double")
+    for _ in range(2):
+        tb.keep_rejects(rg.refused(sent), root, "predictions", "prediction_id")
+    got = {r.reason: r.rejected for r in tb.reject_counts(spark, root).collect()}
+    assert got == {"probability out of range": 2, "probability missing": 1, "confidence missing": 1, "confidence out of range": 1}
+    assert sorted(r.prediction_id for r in rg.checked(sent).collect()) == ["a", "g"]
+
+
+def test_a_run_goes_on_after_its_finished_steps(spark, tmp_path):
+    calls = []
+
+    def step(name, fail=False):
+        def run():
+            calls.append(name)
+            if fail:
+                raise RuntimeError("no feed")
+            return len(calls)
+        return run
+
+    ledger = lambda run_id: dl.Ledger(spark, str(tmp_path), run_id)
+    dl.run_steps({"a": step("a"), "b": step("b", True), "c": step("c")}, ledger=ledger("r1"))
+    again = dl.run_steps({"a": step("a"), "b": step("b"), "c": step("c")}, ledger=ledger("r1"))
+    assert calls == ["a", "b", "b", "c"] and [(s, n) for _, s, n, _ in again] == [("REUSED", 1), ("SUCCESS", 3), ("SUCCESS", 4)]
+    assert ledger("r2").finished() == {} and ledger("r1").finished() == {"a": 1, "b": 3, "c": 4}
 
 
 def test_steps_stop_after_failure():
@@ -78,7 +139,8 @@ def test_daily_run_end_to_end(spark, tmp_path):
     layout = tb.Layout(str(tmp_path / "lake"))
     feed = spark.createDataFrame(walk(140, ("AAA", "BBB")), BAR_DDL).withColumn("seq", F.lit(1))
     arts = spark.createDataFrame(
-        [("a1", "S", "2024-03-01T10:00:00+05:00", "Net profit jumps", "strong"), ("a2", "S", "2024-03-04 08:00:00", "Loss", "")],
+        [("a1", "S", "2024-03-01T10:00:00+05:00", "Net profit jumps", "strong"), ("a2", "S", "2024-03-04 08:00:00", "Loss", ""),
+         ("a3", "S", "soon", "Dividend", "")],
         "article_id string, source string, published_at string, headline string, summary string",
     )
     macro = spark.createDataFrame(
@@ -92,9 +154,10 @@ def test_daily_run_end_to_end(spark, tmp_path):
     first = dl.run_daily(spark, layout, steps())
     assert [s for _, s, _, _ in first] == ["SUCCESS"] * 6, first
     counts = {n: k for n, _, k, _ in first}
-    assert counts["bars"] == 280 and counts["news"] == 2 and counts["features"] == 280 and counts["predictions"] == 2
+    assert counts["bars"] == 280 and counts["news"] == 3 and counts["features"] == 280 and counts["predictions"] == 2
     second = {n: k for n, _, k, _ in dl.run_daily(spark, layout, steps())}
     assert second["bars"] == 0 and second["news"] == 0
+    assert [(r.reason, r.rejected) for r in tb.reject_counts(spark, layout.rejects).collect()] == [("publication time unreadable", 1)]
     runs = tb.recent_runs(spark.read.schema(tb.RUNS).json(layout.runs)).collect()
     assert len(runs) == 2 and all(r.succeeded == 6 for r in runs)
 
