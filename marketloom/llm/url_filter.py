@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ENTRY = ["list", "verdict", "kind", "key"]
+#: Tasks over which the captures of one key are spread before they meet the list.
+SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -76,8 +78,11 @@ def filter_urls(captures: DataFrame, changes: DataFrame) -> DataFrame:
     intervals = validity_intervals(changes)
     depth = intervals.where("kind = 'prefix'").agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
     distinct = captures.select("url", "fetched_at").dropna().distinct()
-    keys = distinct.select("url", "fetched_at", F.inline(keys_of(F.col("url"), depth)))
-    listed = keys.join(intervals.select(*ENTRY).distinct(), ["kind", "key"])
+    # a key with a third of all captures meets its entries in several tasks, each with a copy of them
+    salt = F.pmod(F.xxhash64("url", "fetched_at"), F.lit(SALTS)).cast("int").alias("salt")
+    keys = distinct.select("url", "fetched_at", salt, F.inline(keys_of(F.col("url"), depth)))
+    entries = intervals.select(*ENTRY).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    listed = keys.join(entries, ["kind", "key", "salt"])
     hour = lambda c: F.date_trunc("hour", c).alias("hour")
     probes = listed.select(*ENTRY, hour("fetched_at"), F.col("fetched_at").alias("at"), F.lit(2).alias("o"), F.lit(None).cast("struct<added:boolean,valid_from:timestamp>").alias("state"), "url", "weight")
     state = F.struct("added", F.col("valid_from")).alias("state")
@@ -91,9 +96,11 @@ def filter_urls(captures: DataFrame, changes: DataFrame) -> DataFrame:
     active = probes.unionByName(moves).unionByName(carried).withColumn("state", F.last("state", True).over(asof)).where("o = 2 and state.added")
     rank = F.struct("weight", (F.col("verdict") == "allow").alias("allow"), "list", "key", "kind", F.col("state.valid_from").alias("since"))
     verdicts = active.groupBy("url", F.col("at").alias("fetched_at")).agg(F.max(rank).alias("d"), F.count("*").alias("active"))
-    joined = captures.join(verdicts.withColumnsRenamed({"url": "_url", "fetched_at": "_at"}), (F.col("url") == F.col("_url")) & (F.col("fetched_at") == F.col("_at")), "left")
+    # the capture's own columns stay inside one struct, so that none of their names can meet another
+    packed = captures.select(F.struct(*[F.col(f"`{c}`") for c in captures.columns]).alias("capture"), "url", "fetched_at")
+    joined = packed.join(verdicts, ["url", "fetched_at"], "left")
     return joined.select(
-        *captures.columns,
+        *[F.col("capture").getField(c).alias(c) for c in captures.columns],
         host_of(F.col("url")).alias("host"),
         F.coalesce(~F.col("d.allow"), F.lit(False)).alias("blocked"),
         F.coalesce("active", F.lit(0)).cast("long").alias("n_active"),

@@ -56,6 +56,8 @@ def test_urls_against_the_entries_of_their_time(spark):
     captures = [(i, f"http://{rng.choice(hosts)}/{rng.choice(['', 'x', 'x/y', 'x/y/z?q=1', 'z'])}", at(rng.randint(0, 70) / 2)) for i in range(300)]
     captures += [(300, None, at(3)), (301, "not a url", at(3)), (302, "http://spam.org/x", None), (303, "", at(1)), (5, *captures[5][1:]), (304, "HTTP://me@SPAM.org:80/x", at(9))]
     rows = spark.createDataFrame(captures, "page_id long, url string, fetched_at timestamp").withColumn("since", F.lit("clash")).withColumn("key", F.lit("k"))
+    for name in ("active", "d", "_url", "_at", "at", "salt", "capture", "list", "a.b"):
+        rows = rows.withColumn(name, F.lit("own"))
     got = url_filter.filter_urls(rows, spark.createDataFrame(changes, CHANGES)).collect()
     assert len(got) == len(captures) and all(r.key == "k" for r in got)
     for r in got:
