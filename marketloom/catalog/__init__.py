@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ("sources", "cleaning", "indicators", "sessions", "text", "macro", "backtests", "monitoring", "models", "stores", "streaming")
+PARTS = ("sources", "cleaning", "indicators", "sessions", "text", "macro", "backtests", "monitoring", "drift", "models", "stores", "streaming")
 
 
 def load():
