@@ -11,6 +11,7 @@ from marketloom.catalog.registry import query
 from marketloom.functions import lexicon as lx
 from marketloom.functions import text as tx
 from marketloom.plans import signals as sg
+from marketloom.session import spread_groups
 
 HEADLINES = (
     "OGDCL reports quarterly results: net profit growth and cash dividend announced",
@@ -30,9 +31,13 @@ HEADLINES = (
 
 
 def storied(spark, sf):
-    """Documents with a market headline put before the whole text."""
+    """Documents with a market headline put before the whole text.
+
+    The texts are dealt out by id first: the table comes as one file with one row group, which
+    one task would read and score alone.
+    """
     head = F.element_at(F.array(*[F.lit(h) for h in HEADLINES]), (F.col("doc_id") % len(HEADLINES) + 1).cast("int"))
-    return fx.table(spark, sf, "documents").select("doc_id", "source", "text").select(
+    return spread_groups(fx.table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id").select(
         "doc_id", "source", head.alias("headline"), F.col("text").alias("summary"),
         F.concat(head, F.lit(". "), F.col("text")).alias("body"),
         F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit("T08:30:00+05:00")).alias("published_at"),
@@ -163,8 +168,8 @@ def articles(spark, sf):
 
 
 def notices(spark, sf):
-    """Announcements from the conversation turns: the text as title, the conversation's brand as symbol."""
-    c = fx.table(spark, sf, "conversations")
+    """Announcements from the conversation turns: the text as title, the conversation's brand as symbol; dealt out as ``storied``."""
+    c = spread_groups(fx.table(spark, sf, "conversations"), "conv_id", "turn", "role")
     head = F.element_at(F.array(*[F.lit(h) for h in HEADLINES]), (F.col("turn") % len(HEADLINES) + 1).cast("int"))
     return c.select(
         F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn", F.lit("-"), "role").alias("announcement_id"),
