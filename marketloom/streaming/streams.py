@@ -71,19 +71,24 @@ def upsert_bars(table: str, order: list[str]) -> Callable[[DataFrame, int], None
     return handle
 
 
-def new_keys(folder: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """Batch handler: keep keys that no earlier batch held, for all time."""
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.select(*keys).distinct()
-        spark = batch.sparkSession
-        if batch_id:
-            earlier = read_partials(spark, folder).where(F.col("batch") < batch_id).select(*keys)
-            same = [fresh[k].eqNullSafe(earlier[k]) for k in keys]
-            fresh = fresh.join(earlier, same, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
-    return handle
+def keep_first_seen(stream: DataFrame, keys: list[str], folder: str, checkpoint: str) -> None:
+    """Append to ``folder`` one row for each key that no earlier batch held, for all time.
+
+    Known keys are keyed state of the stream (nulls are equal), on the disks of the executors
+    and in the checkpoint by increments: a batch looks up its own keys and reads no history.
+    The file sink lists what each batch wrote, so a replayed batch counts once.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, ROCKSDB)
+    try:
+        writer = stream.dropDuplicates(keys).writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start(folder).awaitTermination()
+    finally:
+        conf.set(name, before)
 
 
 def news_windows(keys: list[str], time: str, hours: int, score: Column) -> Callable[[DataFrame], DataFrame]:

@@ -49,7 +49,6 @@ CASES = {
         lambda folder: st.keep_partials(folder, st.news_windows(["symbol"], "ts", 72, F.col("price"))),
         lambda p: st.merge_windows(p, ["symbol"]),
     ),
-    "keys": (lambda folder: st.new_keys(folder, ["symbol", "price"]), lambda p: p.select("symbol", "price")),
 }
 
 
@@ -61,8 +60,6 @@ def test_batches_do_not_change_the_result(spark, tmp_path, name):
     whole = run(spark, tmp_path, name, rows, 1, False, make, read)
     assert run(spark, tmp_path, name, rows, 2, False, make, read) == whole
     assert run(spark, tmp_path, name, rows, 2, True, make, read) == whole
-    if name == "keys":
-        assert whole == sorted({(r[1], r[3]) for r in rows})
     if name == "bars":
         days = {}
         for i, s, ts, p in rows:
@@ -76,3 +73,23 @@ def test_monthly_means_divide_the_sums_of_all_batches(spark):
     orders = spark.createDataFrame(rows, "o_orderpriority string, o_orderdate date, o_totalprice double")
     parts = fx.monthly_sums(orders.where("o_totalprice < 5")).union(fx.monthly_sums(orders.where("o_totalprice >= 5")))
     assert fx.monthly_means(parts).collect() == fx.monthly_macro(orders).collect()
+
+
+def test_keys_are_first_seen_once_over_runs_and_batches(spark, tmp_path):
+    inbox, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    schema = "symbol string, price bigint, note string"
+    empty = spark.createDataFrame([], schema)
+    days = [
+        [("AAA", 1, "a"), ("AAA", 1, "b"), ("BBB", 2, "a"), (None, 1, "a")],
+        [("AAA", 1, "c"), ("AAA", 2, "a"), (None, 1, "b")],
+        [("AAA", None, "a"), ("AAA", 2, "b"), ("AAA", None, "b")],
+    ]
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    seen = set()
+    for rows in [*days, []]:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        st.keep_first_seen(st.read_files(spark, inbox, empty.schema, files_per_batch=1), ["symbol", "price"], out, ckpt)
+        seen |= {r[:2] for r in rows}
+        got = [(r.symbol, r.price) for r in spark.read.schema(schema).parquet(out).collect()]
+        assert len(got) == len(seen) and set(got) == seen
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
