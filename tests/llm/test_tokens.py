@@ -181,3 +181,28 @@ def test_counts_of_odd_rows(odd_docs, byte_tokenizer, chunk):
         for r in odd_docs.select("doc_id", "text").collect()
     )
     assert got == want
+
+
+def test_packed_pieces_match_the_library(spark, word_tokenizer):
+    texts = [*fuzz(60, 400, seed=8), "", None, "word " * 5000]
+    docs = spark.createDataFrame([(i * 3, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = defaultdict(list)
+    places = defaultdict(list)
+    for r in packing.pack_documents(docs, WORDS).collect():
+        got[r.doc_id].append(r)
+        places[r.sequence_id].append((r.offset, r.length))
+    assert sorted(got) == [i * 3 for i in range(len(texts))]
+    for i, text in enumerate(texts):
+        ids = np.array([*word_tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in sorted(got[i * 3], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(ids)) and r.length > 0
+            assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    for pieces in places.values():
+        end = 0
+        for offset, length in sorted(pieces):
+            assert offset == end
+            end += length
+        assert end <= 2048
