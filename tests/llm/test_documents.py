@@ -411,3 +411,19 @@ def test_shards_of_odd_rows(odd_docs, no_docs):
     got = sharding.interleave(odd_docs, 40).collect()
     assert len(got) == 13 and {r.slot for r in got} == {0} and len({r.shard for r in got}) == 13
     assert sharding.interleave(no_docs, 40).count() == 0
+
+
+def test_shards_equal_a_plain_sort(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["hot"] * 6 + ["a", "b", None, ""]), "x" * rng.randint(0, 9)) for i in range(1003)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    hashed = docs.select("doc_id", "source", F.xxhash64(F.lit(sharding.SEED), "doc_id").alias("h")).collect()
+    strata = {}
+    for r in hashed:
+        strata.setdefault("" if r.source is None else "=" + r.source, []).append((r.h % 2**64, r.doc_id))
+    parts = [((k + 0.5) / len(held), name, doc) for name, held in strata.items() for k, (_, doc) in enumerate(sorted(held))]
+    places = {doc: place for place, (_, _, doc) in enumerate(sorted(parts))}
+    for cell_rows in (7, 1000):
+        for r in sharding.interleave(docs, 40, cell_rows=cell_rows).collect():
+            shard = places[r.doc_id] * 40 // 1003
+            assert (r.shard, r.slot) == (shard, places[r.doc_id] - -(-shard * 1003 // 40)), r
