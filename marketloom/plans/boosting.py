@@ -5,9 +5,10 @@ blocks: bins of a few thousand rows as one array, with their codes. A round grow
 regression tree per class (one in all for two classes), level by level and all classes at once: every task
 sums first and second derivatives by (class, node, feature, bin), Spark adds the sums, and the
 driver, which sees one row a bin however many rows there are, picks the splits and the Newton
-leaf values. The margins of the block are carried from round to round in a written table
-every few rounds, so a fit goes on where it stood instead of starting anew; it stops once
-``patience`` rounds have not lowered the loss of the held rows.
+leaf values. A pass is one short job over blocks held in memory, which go from round to round
+with their margins; every few rounds a written table carries them, so a fit goes on where it
+stood instead of starting anew. It stops once ``patience`` rounds have not lowered the loss of
+the held rows.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from marketloom.session import cut_lineage, spread_groups
+from marketloom.session import cut_lineage
 
 BINS = 64
 BLOCK_ROWS = 1024
@@ -33,8 +34,11 @@ BLOCK_ROWS = 1024
 PENALTY = 1.0
 LEAST_HESSIAN = 1.0
 #: Rounds between tables of margins.
-CARRY = 10
-_SUMS = "slot int, sums binary"
+CARRY = 25
+#: Blocks that are worth a task of their own beyond one a core.
+BLOCKS_A_TASK = 16
+#: Tasks whose sums the driver adds itself; those of more tasks are added in a shuffle first.
+DIRECT = 16
 _STATE = "block long, codes binary, bins binary, held binary, margins binary"
 
 
@@ -219,59 +223,49 @@ def _opened(codes: bytes, bins: bytes, held: bytes, margins: bytes, model: Boost
     )
 
 
-def _sums(state: DataFrame, model: Boosted, carried: int, growing: list[Tree], level: int, subsample: float, seed: int) -> tuple[np.ndarray, float, int]:
+def _sums(blocks: RDD, model: Boosted, growing: list[Tree], level: int, subsample: float, seed: int) -> tuple[np.ndarray, float, int]:
     """Sums of derivatives by (class, node of the level, feature, bin) over all rows, loss and rows of the held ones.
 
     Which rows a round leaves out follows from the seed, the round and the block alone.
     """
-    width, turn, model = BINS, len(model.rounds), model.since(carried)
+    width, many, outputs, turn = BINS, len(model.features), model.outputs, len(model.rounds)
     first, count = (1 << level) - 1, 1 << level
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = len(model.features)
-        total = np.zeros((model.outputs, count, many * width, 2))
+    def summed(opened: Iterator[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+        total = np.zeros((outputs, count, many * width, 2))
         loss = rows = 0
-        for batch in batches:
-            for block, *arrays in zip(*(c.to_pylist() for c in batch.columns)):
-                codes, bins, held, margins = _opened(*arrays, model)
-                margins = model.raised(margins, bins)
-                if not level:
-                    loss, rows = loss + log_loss(margins[held], codes[held]), rows + int(held.sum())
-                draw = np.random.default_rng((seed, turn, block & 0xFFFFFFFF, block >> 32)).random(len(codes))
-                use = ~held & (draw < subsample)
-                used, (g, h) = bins[use], derivatives(margins[use], codes[use])
-                cells = used + np.arange(many) * width
-                for k in range(model.outputs):
-                    at = growing[k].nodes(used) - first
-                    here = at >= 0
-                    index = (at[here, None] * (many * width) + cells[here]).ravel()
-                    for j, x in enumerate((g, h)):
-                        sums = np.bincount(index, np.repeat(x[here, k], many), count * many * width)
-                        total[k, :, :, j] += sums.reshape(count, -1)
-        flat = total.reshape(model.outputs * count, -1)
-        slots = np.flatnonzero(flat.any(axis=1))
-        rows_of = [flat[k].tobytes() for k in slots] + [np.array([loss, float(rows)]).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([*slots.tolist(), -1], pa.int32()), pa.array(rows_of, pa.binary())], names=["slot", "sums"])
-
-    sums = state.mapInArrow(summed, _SUMS).repartition("slot").mapInArrow(_added, _SUMS).toArrow()  # one row a node and class
-    total = np.zeros((model.outputs * count, len(model.features) * width * 2))
+        for block, codes, bins, held, margins in opened:
+            if not level:
+                loss, rows = loss + log_loss(margins[held], codes[held]), rows + int(held.sum())
+            draw = np.random.default_rng((seed, turn, block & 0xFFFFFFFF, block >> 32)).random(len(codes))
+            use = ~held & (draw < subsample)
+            used, (g, h) = bins[use], derivatives(margins[use], codes[use])
+            cells = used + np.arange(many) * width
+            for k in range(outputs):
+                at = growing[k].nodes(used) - first
+                here = at >= 0
+                index = (at[here, None] * (many * width) + cells[here]).ravel()
+                for j, x in enumerate((g, h)):
+                    sums = np.bincount(index, np.repeat(x[here, k], many), count * many * width)
+                    total[k, :, :, j] += sums.reshape(count, -1)
+        flat = total.reshape(outputs * count, -1)
+        for slot in np.flatnonzero(flat.any(axis=1)):
+            yield int(slot), flat[slot]
+        if rows:
+            yield -1, np.array([loss, float(rows)])
+
+    slots = outputs * count + (not level)
+    total = np.zeros((outputs * count, many * width * 2))
     loss = rows = 0.0
-    for slot, one in zip(*(c.to_pylist() for c in sums.columns)):
-        one = np.frombuffer(one)
+    sums = blocks.mapPartitions(summed)
+    if blocks.getNumPartitions() > DIRECT:
+        sums = sums.reduceByKey(np.add, min(DIRECT, slots))  # one row a node and class
+    for slot, one in sums.collect():
         if slot < 0:
-            loss, rows = one
+            loss, rows = loss + one[0], rows + one[1]
         else:
-            total[slot] = one
-    return total.reshape(model.outputs, count, len(model.features), width, 2), float(loss), int(rows)
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sum of all arrays of each slot."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for slot, one in zip(*(c.to_pylist() for c in batch.columns)):
-            sums[slot] = sums.get(slot, 0.0) + np.frombuffer(one)
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slot", "sums"])
+            total[slot] += one
+    return total.reshape(outputs, count, many, width, 2), float(loss), int(rows)
 
 
 def _grow(trees: list[Tree], sums: np.ndarray, allowed: list[np.ndarray], level: int, depth: int) -> bool:
@@ -316,36 +310,59 @@ def fit_boosted(
     rows the model has no trees. Null features go with the greatest bin.
     """
     model = Boosted(features, quantile_cuts(rows.where(~held), features), classes, rate)
-    state, carried = _kept(cut_lineage(_blocks(rows, model, label, held))), 0
+    table, carried = cut_lineage(_blocks(rows, model, label, held)), 0
+    tasks = _tasks(table)
     size, draws = (2 << depth) - 1, np.random.default_rng(seed)
     some = max(1, int(columns * len(features)))
-    while True:
-        trees = [Tree(np.full(size, -1), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)) for _ in range(model.outputs)]
-        sums, loss, many = _sums(state, model, carried, trees, 0, subsample, seed)
-        if many:
-            model.losses.append(loss / many)
-        if len(model.rounds) == rounds or _stale(model.losses, patience):
-            break
-        allowed = [np.isin(np.arange(len(features)), draws.choice(len(features), some, replace=False)) for _ in trees]
-        level = 0
-        while _grow(trees, sums, allowed, level, depth) and level + 1 < depth:
-            level += 1
-            sums = _sums(state, model, carried, trees, level, subsample, seed)[0]
-        model.rounds.append(trees)
-        if len(model.rounds) - carried == CARRY:
-            before, state = state, _kept(_carried(state, model, carried))
-            before.unpersist()
-            carried = len(model.rounds)
-    state.unpersist()
+    before, blocks = None, _held(table, model, tasks)
+    try:
+        while True:
+            trees = [Tree(np.full(size, -1), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)) for _ in range(model.outputs)]
+            sums, loss, many = _sums(blocks, model, trees, 0, subsample, seed)
+            if before is not None:
+                before.unpersist()
+            if many:
+                model.losses.append(loss / many)
+            if len(model.rounds) == rounds or _stale(model.losses, patience):
+                break
+            allowed = [np.isin(np.arange(len(features)), draws.choice(len(features), some, replace=False)) for _ in trees]
+            level = 0
+            while _grow(trees, sums, allowed, level, depth) and level + 1 < depth:
+                level += 1
+                sums = _sums(blocks, model, trees, level, subsample, seed)[0]
+            model.rounds.append(trees)
+            before = blocks
+            if len(model.rounds) - carried == CARRY:
+                table = _carried(table, model, carried)
+                carried, blocks = len(model.rounds), _held(table, model, tasks)
+            else:
+                blocks = _next(blocks, model)
+    finally:
+        blocks.unpersist()
     if model.losses:
         # the loss at place k is that of k rounds
         model.rounds = model.rounds[: max(1, int(np.argmin(model.losses)))]
     return model
 
 
-def _kept(state: DataFrame) -> DataFrame:
-    """A written table that is also held in memory, as a fit passes over it many times."""
-    return spread_groups(state, "block").persist(StorageLevel.MEMORY_AND_DISK)
+def _tasks(table: DataFrame) -> int:
+    """One a core, or more where there are many blocks, up to those of any other shuffle."""
+    spark = table.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, max(spark.sparkContext.defaultParallelism, table.count() // BLOCKS_A_TASK)))
+
+
+def _held(table: DataFrame, model: Boosted, tasks: int) -> RDD:
+    """Opened blocks of a written table, held in memory, as a round passes over them once a level."""
+    model = model.since(len(model.rounds))
+    opened = table.repartition(tasks, "block").rdd.map(lambda r: (r[0], *_opened(*r[1:], model)))
+    return opened.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _next(blocks: RDD, model: Boosted) -> RDD:
+    """The blocks with the margins of the last round's trees added, held in memory."""
+    last = model.since(len(model.rounds) - 1)
+    return blocks.map(lambda r: (*r[:4], last.raised(r[4], r[2]))).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _stale(losses: list[float], patience: int) -> bool:

@@ -122,16 +122,18 @@ def _boost(data: DataFrame, features: list[str], params: Params, classes: int) -
 
 
 #: Fits that run beside each other; each is a chain of short jobs that leaves cores idle.
-PARALLEL_FITS = 4
+PARALLEL_FITS = 6
 
 
 def fit_all(wanted: list[tuple]) -> list:
-    """``fit`` for each tuple of its arguments, several at a time."""
+    """``fit`` for each tuple of its arguments, several at a time, boosted ones first, as they last longest."""
     if not wanted:
         return []
+    order = sorted(range(len(wanted)), key=lambda k: wanted[k][0] != "boosted")
     with ThreadPool(min(PARALLEL_FITS, len(wanted))) as pool:
         spark = wanted[0][1].sparkSession
-        return pool.map(inheritable_thread_target(spark)(lambda args: fit(*args)), wanted)
+        found = pool.map(inheritable_thread_target(spark)(lambda args: fit(*args)), [wanted[k] for k in order], 1)
+    return [model for _, model in sorted(zip(order, found), key=lambda pair: pair[0])]
 
 
 def score(model: PipelineModel | Boosted, rows: DataFrame, classes: int = 2) -> DataFrame:
@@ -186,8 +188,8 @@ def train_and_evaluate(rows: DataFrame, features: list[str], kinds: list[str], t
     """Metric rows keyed by (symbol, model); ``rows`` carry role train/test."""
     train, test = rows.filter("role = 'train'"), rows.filter("role = 'test'")
     scored = None
-    for kind in kinds:
-        part = score(fit(kind, train, features, target, params), test).withColumn("model", F.lit(kind))
+    for kind, model in zip(kinds, fit_all([(kind, train, features, target, params) for kind in kinds])):
+        part = score(model, test).withColumn("model", F.lit(kind))
         part = _xy(part, target).select("symbol", "model", "trade_date", "y", "pred", "p")
         scored = part if scored is None else scored.unionByName(part)
     return ev.evaluate(cut_lineage(scored), "symbol", "model").withColumn("target", F.lit(target))
@@ -223,9 +225,8 @@ def trading_view(scored: DataFrame) -> DataFrame:
     )
 
 
-def _model_scores(rows: DataFrame, features: list[str], kind: str, name: str, target: str, params: Params) -> DataFrame:
-    train, test = rows.filter("role = 'train'"), rows.filter("role = 'test'")
-    part = _xy(score(fit(kind, train, features, target, params), test), target)
+def _model_scores(rows: DataFrame, model: PipelineModel | Boosted, name: str, target: str) -> DataFrame:
+    part = _xy(score(model, rows.filter("role = 'test'")), target)
     locks = [F.col(c) if c in part.columns else F.lit(False).alias(c) for c in ("is_upper_lock", "is_lower_lock")]
     return part.select("symbol", "trade_date", "close", *locks, "y", F.lit(name).alias("model"), "pred", "p")
 
@@ -233,9 +234,9 @@ def _model_scores(rows: DataFrame, features: list[str], kind: str, name: str, ta
 def compare_models(rows: DataFrame, features: list[str], target: str = TARGET, params: Params = Params(),
                    kinds: tuple[str, ...] = ("logistic", "random_forest", "boosted")) -> DataFrame:
     """Baselines and fitted families on the same test rows: classification and trading figures."""
-    scored = baseline_scores(rows, target)
-    for kind in kinds:
-        scored = scored.unionByName(_model_scores(rows, features, kind, kind, target, params))
+    scored, train = baseline_scores(rows, target), rows.filter("role = 'train'")
+    for kind, model in zip(kinds, fit_all([(kind, train, features, target, params) for kind in kinds])):
+        scored = scored.unionByName(_model_scores(rows, model, kind, target))
     scored = cut_lineage(scored)
     money = bt.metrics(trading_view(scored)).withColumnRenamed("strategy", "model").drop("sessions")
     return ev.evaluate(scored, "symbol", "model").join(money, ["symbol", "model"], "left")
@@ -268,9 +269,9 @@ def ablation(merged: DataFrame, technical: list[str], kind: str = "logistic", ta
     usable = usable_columns(merged, [c for c in every if c in merged.columns])
     sets = ablation_sets(usable, technical)
     rows = split_by_date(merged, sorted({c for s in sets.values() for c in s}), target, ratio)
-    scored = None
-    for name, features in sets.items():
-        part = _model_scores(rows, features, kind, name, target, params)
+    scored, train = None, rows.filter("role = 'train'")
+    for name, model in zip(sets, fit_all([(kind, train, features, target, params) for features in sets.values()])):
+        part = _model_scores(rows, model, name, target)
         scored = part if scored is None else scored.unionByName(part)
     scored = cut_lineage(scored)
     money = bt.metrics(trading_view(scored)).withColumnRenamed("strategy", "model").groupBy("model").agg(
@@ -308,17 +309,24 @@ def out_of_fold(rows: DataFrame, specs: dict[str, tuple[str, list[str]]], folds:
 
     ``rows`` should be a written table (see ``split_by_date``): every fold reads it.
     """
+    return _out_of_fold(rows, specs, folds, target, params, [])[0]
+
+
+def _out_of_fold(rows: DataFrame, specs: dict[str, tuple[str, list[str]]], folds: DataFrame, target: str, params: Params,
+                 beside: list[tuple]) -> tuple[DataFrame, list]:
+    """The out-of-fold table and the models of further arguments of ``fit``, fitted beside those of the folds."""
     rows = rows.join(date_folds(rows).select("trade_date", "row_no"), "trade_date")
     out, i, bounds = None, F.col("row_no"), _fold_list(folds)
     trains = [rows.filter((i >= f["train_start"]) & (i < f["train_end"])) for f in bounds]
-    models = iter(fit_all([(kind, train, features, target, params) for train in trains for kind, features in specs.values()]))
+    found = fit_all([*beside, *((kind, train, features, target, params) for train in trains for kind, features in specs.values())])
+    models = iter(found[len(beside):])
     for f in bounds:
         held = rows.filter((i >= f["test_start"]) & (i < f["test_end"])).withColumn("fold", F.lit(f["fold"]))
         for name in specs:
             held = score(next(models), held).withColumnRenamed("p", f"p_{name}").drop("pred")
         part = _xy(held, target).select("symbol", "trade_date", "fold", "y", *[f"p_{n}" for n in specs])
         out = part if out is None else out.unionByName(part)
-    return out
+    return out, found[: len(beside)]
 
 
 @dataclass
@@ -356,16 +364,17 @@ def stack_specs(available: list[str], technical: list[str], price_kind: str = "b
 
 def fit_stack(train: DataFrame, specs: dict[str, tuple[str, list[str]]], target: str = TARGET, splits: int = 4,
               params: Params = Params()) -> Stack:
-    """Out-of-fold probabilities train the blend; the base models are then refitted on all rows."""
+    """Out-of-fold probabilities train the blend; the base models are fitted on all rows beside those of the folds."""
     from marketloom.plans.split import expanding_oof_folds, row_counts
 
     folds = expanding_oof_folds(row_counts(date_folds(train)), splits)
-    oof = cut_lineage(out_of_fold(train, specs, folds, target, params))
+    every = [(kind, train, features, target, params) for kind, features in specs.values()]
+    oof, base = _out_of_fold(train, specs, folds, target, params, every)
+    oof = cut_lineage(oof)
     names = [f"p_{n}" for n in specs]
     best = ev.ensemble_weights(oof, names).first()
     meta = fit("logistic", oof, names, "y", params)
-    base = dict(zip(specs, fit_all([(kind, train, features, target, params) for kind, features in specs.values()])))
-    return Stack(specs, base, meta, {n: best[f"weight_p_{n}"] for n in specs})
+    return Stack(specs, dict(zip(specs, base)), meta, {n: best[f"weight_p_{n}"] for n in specs})
 
 
 def walk_forward_signals(rows: DataFrame, features: list[str], folds: DataFrame, kind: str = "logistic",

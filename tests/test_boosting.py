@@ -151,3 +151,28 @@ def test_ensemble_weights_of_odd_tables(spark):
     assert same.weight_a == pytest.approx(0.5)
     best = ev.ensemble_weights(spark.createDataFrame([(1.0, 1.0, 0.0), (0.0, 0.0, 1.0)], "y double, a double, b double"), ["a", "b"]).first()
     assert best.weight_a > 0.999 and best.log_loss < 1e-5
+
+
+def test_a_pass_is_one_job(spark):
+    data, sc = rows(spark, 3).withColumn("code", F.col("y") + 1), spark.sparkContext
+
+    def jobs(rounds):
+        group = f"boosted {rounds}"
+        sc.setJobGroup(group, group)
+        try:
+            model = bo.fit_boosted(data, ["a", "b"], F.col("code"), F.lit(False), 3, rounds, 0.5, 2)
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        assert len(model.rounds) == rounds
+        return len(sc.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(6) - jobs(2) <= 4 * 2
+
+
+def test_fits_beside_each_other_come_back_in_order(spark):
+    data = rows(spark, 2)
+    kinds = ["logistic", "boosted", "logistic", "boosted"]
+    params = md.Params(rounds=2, boost_depth=2)
+    got = md.fit_all([(kind, data, names, "y", params) for kind, names in zip(kinds, (["a"], ["a"], ["a", "b"], ["a", "b"]))])
+    assert [isinstance(m, bo.Boosted) for m in got] == [k == "boosted" for k in kinds]
+    assert got[1].features == ["a"] and got[3].features == ["a", "b"] and got[2].stages[-1].numFeatures == 2
