@@ -346,10 +346,10 @@ def fit_boosted(
 
 
 def _tasks(table: DataFrame) -> int:
-    """One a core, or more where there are many blocks, up to those of any other shuffle."""
-    spark = table.sparkSession
+    """One a block up to the cores, or more where there are many blocks, up to those of any other shuffle."""
+    spark, blocks = table.sparkSession, table.count()
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(most, max(spark.sparkContext.defaultParallelism, table.count() // BLOCKS_A_TASK)))
+    return max(1, min(most, max(min(blocks, spark.sparkContext.defaultParallelism), blocks // BLOCKS_A_TASK)))
 
 
 def _held(table: DataFrame, model: Boosted, tasks: int) -> RDD:
