@@ -18,7 +18,9 @@ def strip(c: Column) -> Column:
 
 
 def content_hash(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws(":", *parts), 256)
+    """Never null, and stated so: a join by the hash would else test it for null below the shuffle,
+    with the lower-cased text computed again for every word that the class is looked up by."""
+    return F.coalesce(F.sha2(F.concat_ws(":", *parts), 256), F.lit(""))
 
 
 def article_key(source: Column, headline: Column, published: Column) -> Column:
@@ -139,14 +141,16 @@ def tokens(text: Column) -> Column:
 
 
 def token_roles(toks: Column) -> Column:
-    """Per token a bit set of its roles; list lookups compile to hash sets."""
+    """Per token a bit set of its roles; list lookups compile to hash sets.
+
+    One lookup settles the tokens of no list, which most are.
+    """
+    lists = {IS_POS: lx.POSITIVE, IS_NEG: lx.NEGATIVE, IS_NOT: lx.NEGATION, IS_STRONG: lx.INTENSIFIER}
+    listed = sorted(set().union(*lists.values()))
 
     def role(t: Column) -> Column:
-        flag = lambda words, bit: F.when(t.isin(words), bit).otherwise(0)
-        return (
-            flag(lx.POSITIVE, IS_POS) + flag(lx.NEGATIVE, IS_NEG) + flag(lx.NEGATION, IS_NOT)
-            + flag(lx.INTENSIFIER, IS_STRONG)
-        )
+        found = sum((F.when(t.isin(words), bit).otherwise(0) for bit, words in lists.items()), F.lit(0))
+        return F.when(t.isin(listed), found).otherwise(0)
 
     return F.transform(toks, role)
 
