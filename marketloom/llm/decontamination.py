@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.llm.caches import remembered
+
 WIDTH = 5
 SIMILARITY = 0.8
 #: Items that one pass over the documents searches for; more items take more passes.
 BLOCK_ITEMS = 50_000
 #: Words one Python worker remembers the hashes of.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 WORD = re.compile(r"\w+")
 
 _FACTOR = 0x9E3779B97F4A7C15
@@ -45,7 +47,8 @@ class WordHashes(dict):
         return h
 
 
-_WORDS = WordHashes()
+def word_hashes() -> WordHashes:
+    return remembered(("words",), WordHashes)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -91,7 +94,7 @@ def sketch_items(items: list[tuple[int, str]], similarity: float = SIMILARITY, w
             continue
         w = min(width, len(words))
         own = shingles(words, w)
-        h = np.unique(shingle_hashes(np.array([_WORDS[x] for x in words], np.uint64), w))
+        h = np.unique(shingle_hashes(np.array([word_hashes()[x] for x in words], np.uint64), w))
         upper = 1 << (len(own) - 1).bit_length()  # the partition's largest number of shingles
         k = min(len(h), math.floor((1 - similarity) * upper + 1e-9) + 1)
         for value in h[:k].tolist():
@@ -110,7 +113,7 @@ def matches(text: str | None, sketches: Sketches) -> list[tuple[int, float]]:
     words = words_of(text)
     if not words:
         return []
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
     candidates: set[int] = set()
     for w, sketch in sketches.hashes.items():
         h = shingle_hashes(hashes, w)

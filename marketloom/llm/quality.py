@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.llm.caches import forget
+
 #: The fit takes at most so many labelled rows of each class, half of them for the
 #: dictionaries, the other half for calibration, and none longer than the second bound.
 SAMPLE_ROWS = 6000
@@ -156,6 +158,7 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: tuple[str, ...], n
     at = read.index("text")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             score = model.score(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score, pa.float64())], names=[*keep, name])

@@ -7,10 +7,11 @@ joined, are the ids of the text. Each task keeps a bounded table of chunks it ha
 
 from __future__ import annotations
 
-import functools
 import re
 from array import array
 
+from marketloom.llm.caches import remembered
+
 END_ID = 1
 END = END_ID.to_bytes(4, "little")
 #: Chunks one Python worker remembers; further ones are encoded each time they occur.
@@ -54,9 +55,8 @@ class ChunkIds(dict):
         return ids
 
 
-@functools.lru_cache(maxsize=2)
 def chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
+    return remembered(("chunks", path), lambda: ChunkIds(path))
 
 
 def chunks_of(text: str) -> list[str]:

@@ -192,6 +192,17 @@ def test_near_copies_are_decided_by_exact_similarity(spark):
     assert below <= got and len(got & above) <= 1
 
 
+def test_a_worker_remembers_one_kind_of_task_only():
+    from marketloom.llm import caches
+
+    words = decontamination.word_hashes()
+    words["w"]
+    assert decontamination.word_hashes() is words and len(caches._held) == 1
+    assert caches.remembered(("other",), dict) == {} and decontamination.word_hashes() is not words
+    caches.forget()
+    assert not caches._held and decontamination.word_hashes() == {}
+
+
 @pytest.mark.parametrize("rows", [8, 1024])
 def test_long_chains_of_near_copies_stay_whole(spark, rows):
     rng = random.Random(9)
