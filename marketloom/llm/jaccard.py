@@ -1,8 +1,7 @@
 """Links between texts whose sets of word shingles have a given Jaccard similarity, verified.
 
-*Candidates.* Tables of MinHash bands: a band is ``BAND`` minima, and two sets of similarity
-s agree on one with probability s ** BAND; as many tables as the wanted recall takes for a
-pair at the threshold itself. Nothing else decides which pairs are looked at.
+*Candidates* come from SimHash fingerprints of the sets (``simhash.alike_members``). Nothing
+else decides which pairs are looked at.
 
 *Verification.* A link is a pair whose shingle sets (64-bit hashes) were compared whole.
 First each set meets the least and then the greatest set of its buckets, which joins most
@@ -13,7 +12,6 @@ of their own, so tasks are bounded and no member is left out.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
@@ -22,43 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.caches import forget
 from marketloom.llm.graph import components
 from marketloom.session import cut_lineage
 
-BAND = 6
 #: A task compares two blocks of about so many sets and hashes each.
 BLOCK_ROWS = 1024
 BLOCK_HASHES = 1_000_000
 _RARE = 32
 
 
-def band_tables(similarity: float, recall: float, band: int = BAND) -> int:
-    """Tables that let a pair at the threshold meet with this probability."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**band))
-
-
-def band_keys(sets: list[np.ndarray], tables: int, band: int = BAND, seed: int = 9) -> list[np.ndarray]:
-    """One bucket number for each table and set; an empty set is in no bucket."""
-    rng = np.random.default_rng(seed)
-    times = rng.integers(0, 1 << 63, (tables, band), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    plus = rng.integers(0, 1 << 63, (tables, band), dtype=np.uint64)
-    full = [s for s in sets if len(s)]
-    if not full:
-        return [np.zeros(0, np.int64) for _ in sets]
-    h = np.concatenate(full)
-    starts = np.cumsum([0, *(len(s) for s in full[:-1])])
-    keys = np.zeros((len(full), tables), np.uint64)
-    for t in range(tables):
-        key = np.full(len(full), t + 1, np.uint64)
-        for k in range(band):
-            low = np.minimum.reduceat(h * times[t, k] + plus[t, k], starts)
-            key = (key ^ low) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        keys[:, t] = key
-    rows = iter(keys.view(np.int64))
-    return [next(rows) if len(s) else np.zeros(0, np.int64) for s in sets]
-
-
 def _set_of(text: str | None, width: int) -> np.ndarray:
     from marketloom.llm.simhash import shingle_hashes
 
@@ -72,27 +43,36 @@ def _number(s: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def signatures(docs: DataFrame, width: int, tables: int, keep: tuple[str, ...]) -> DataFrame:
-    """The columns ``keep``, ``node`` (a hash of the whole shingle set) and ``keys`` of each row's ``text``."""
+def signatures(docs: DataFrame, width: int, words: int, keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep``, ``node`` (a hash of the whole shingle set), ``hashes`` (their number) and fingerprint ``f0`` .. of each row's ``text``."""
+    names = ["node", "hashes", *(f"f{k}" for k in range(words))]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from marketloom.llm.simhash import majority, mixed
+
+        forget()
+
+        def prints(sets: list[np.ndarray]) -> np.ndarray:
+            h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            return np.stack([majority(mixed(h, k), owner, len(sets)) for k in range(words)], axis=1).view(np.int64)
+
         for batch in batches:
-            nodes, keys, sets, held = [], [], [], 0
+            nodes, sizes, table, sets = [], [], [], []
             for text in batch.column(len(keep)):
                 sets.append(_set_of(text.as_py(), width))
                 nodes.append(_number(sets[-1]))
-                held += len(sets[-1])
-                if held > 200_000:
-                    keys += band_keys(sets, tables)
-                    sets, held = [], 0
-            keys += band_keys(sets, tables)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=[*keep, "node", "keys"],
-            )
+                sizes.append(len(sets[-1]))
+                if sum(sizes[-len(sets) :]) > 200_000 or len(sets) >= 512:
+                    table.append(prints(sets))
+                    sets = []
+            if sets:
+                table.append(prints(sets))
+            table = np.concatenate(table) if table else np.zeros((0, words), np.int64)
+            arrays = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(table[:, k]) for k in range(words))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *arrays], names=[*keep, *names])
 
     columns = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return docs.select(*keep, "text").mapInArrow(hashed, ", ".join([*columns, "node long", "keys array<long>"]))
+    return docs.select(*keep, "text").mapInArrow(hashed, ", ".join([*columns, *(f"{c} long" for c in names)]))
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -211,20 +191,17 @@ def _compared(members: DataFrame, sets: DataFrame, similarity: float, block_rows
 
 
 def similar_components(
-    nodes: DataFrame,
+    members: DataFrame,
     texts: Callable[[DataFrame], DataFrame],
     width: int,
     similarity: float,
     block_rows: int = BLOCK_ROWS,
     block_hashes: int = BLOCK_HASHES,
 ) -> DataFrame:
-    """(node, root) of every node (columns node, keys) that has a verified link.
+    """(node, root) of every node that has a verified link to another of its bucket.
 
-    ``texts`` gives (node, text) for a table of nodes; it is asked for those that share a bucket.
+    ``members`` is a written table of (bucket, node); ``texts`` gives (node, text) for a table of nodes.
     """
-    rows = nodes.select("node", F.explode("keys").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
-    members = cut_lineage(rows.join(shared, "bucket").select("bucket", "node"))
     sets = cut_lineage(shingle_sets(texts(members.select("node").distinct()), width))
     left, found, roots = members, None, None
     for end in (F.min, F.max):

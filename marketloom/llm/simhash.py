@@ -13,15 +13,17 @@ fingerprint with the least one of its local component), never its pairs.
 *Buckets.* ``linked`` finds every pair within a small radius r: the 64 bits fall into r + 2
 blocks, and fingerprints within r agree on two blocks at least. A bucket with over
 ``hot_bucket`` members is split again by two of the blocks that remain, so that it is bounded
-by the bits that are left. ``linked_wide`` is for larger radii on longer fingerprints: tables
-of sampled bits, as many as the wanted recall takes.
+by the bits that are left. ``linked_wide`` and ``alike_members`` are for larger radii on longer
+fingerprints: tables of sampled bits, as many as the wanted recall takes.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,10 @@ from marketloom.session import cut_lineage
 SEED = 42
 RADIUS = 2
 HOT_BUCKET = 4096
+#: Words of the fingerprints of near copies.
+WORDS = 3
+#: Sets of so many shingles or fewer differ in more bits than larger ones that are as similar.
+FEW = 5
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -218,15 +224,12 @@ def bucket_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.
     return np.concatenate(found_a or [starts[:0]]), np.concatenate(found_b or [starts[:0]])
 
 
-def _links_of_buckets(rows: DataFrame, words: int, radius: int, batch_rows: int = 200_000) -> DataFrame:
-    """Links (a, b) between ``node``s of rows (bucket, node, f0 ..), which are dealt by bucket here."""
-    names = ["bucket", "node", *(f"f{k}" for k in range(words))]
-
-    def as_links(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+def _by_bucket(rows: DataFrame, words: int, found: Callable, names: tuple[str, str], batch_rows: int) -> DataFrame:
+    """What ``found`` (of keys, nodes and prints; two columns) gives for rows (bucket, node, f0 ..), which are dealt by bucket here."""
+    read = ["bucket", "node", *(f"f{k}" for k in range(words))]
 
-    def prints_of(table: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(table[:, 2:]).view(np.uint64)
+    def sent(table: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in found(table[:, 0], table[:, 1], np.ascontiguousarray(table[:, 2:]).view(np.uint64))], names=[*names])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 2 + words), np.int64)
@@ -236,14 +239,24 @@ def _links_of_buckets(rows: DataFrame, words: int, radius: int, batch_rows: int
                 continue
             last = np.flatnonzero(held[:, 0] == held[-1, 0])[0]  # all but the last bucket, which may go on
             if last:
-                yield as_links(held[:last, 1], *bucket_links(held[:last, 0], prints_of(held[:last]), radius))
+                yield sent(held[:last])
                 held = held[last:]
         if len(held):
-            yield as_links(held[:, 1], *bucket_links(held[:, 0], prints_of(held), radius))
+            yield sent(held)
 
     # by node too: a group of near copies then has much the same least member in all its buckets
-    dealt = rows.select(*names).repartition("bucket").sortWithinPartitions("bucket", "node")
-    return dealt.mapInArrow(compared, "a long, b long")
+    dealt = rows.select(*read).repartition("bucket").sortWithinPartitions("bucket", "node")
+    return dealt.mapInArrow(compared, ", ".join(f"{c} long" for c in names))
+
+
+def _links_of_buckets(rows: DataFrame, words: int, radius: int, batch_rows: int = 200_000) -> DataFrame:
+    """Links (a, b) between ``node``s of rows (bucket, node, f0 ..)."""
+
+    def links(keys: np.ndarray, node: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = bucket_links(keys, prints, radius)
+        return node[a], node[b]
+
+    return _by_bucket(rows, words, links, ("a", "b"), batch_rows)
 
 
 def linked(prints: DataFrame, radius: int = RADIUS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
@@ -338,20 +351,116 @@ def linked_wide(prints: DataFrame, words: int, similarity: float, recall: float
     return _links_of_buckets(rows, words, math.floor((apart + slack) * 64 * words), batch_rows=min(200_000, fold))
 
 
+def differing(n: int, m: int, both: int) -> float:
+    """Probability that a bit differs for sets of n and m random hashes, so many of them in both."""
+
+    def more(k: int, least: int) -> float:
+        return sum(math.comb(k, x) for x in range(max(0, least), k + 1)) / 2**k
+
+    total = 0.0
+    for k in range(both + 1):
+        x, y = more(n - both, n // 2 + 1 - k), more(m - both, m // 2 + 1 - k)
+        total += math.comb(both, k) / 2**both * (x * (1 - y) + y * (1 - x))
+    return total
+
+
+@functools.lru_cache
+def worst_share(similarity: float, lo: int, hi: int) -> float:
+    """The greatest of ``flip_share`` and of the shares of two sets as similar, the smaller of ``lo`` to ``hi`` hashes."""
+    s, worst = Fraction(similarity).limit_denominator(10_000), flip_share(similarity)
+    for n in range(lo, hi + 1):
+        for m in range(n, int(n / s) + 1):
+            both = math.ceil(s * (n + m) / (1 + s))
+            if both <= n:
+                worst = max(worst, differing(n, m, both))
+    return worst
+
+
+def radius_of(total: int, share: float, lost: float) -> int:
+    """The least number of bits that is exceeded with no greater probability than ``lost``, each of ``total`` differing with this share."""
+    seen = 0.0
+    for d in range(total + 1):
+        seen += math.comb(total, d) * share**d * (1 - share) ** (total - d)
+        if seen >= 1 - lost:
+            return d
+    return total
+
+
+def tables_for(total: int, bits: int, share: float, radius: int, recall: float) -> int:
+    """Tables of so many sampled bits that let a pair within the radius meet with this probability, over all numbers of differing bits."""
+    cases = [
+        (math.comb(total, d) * share**d * (1 - share) ** (total - d), 1 - math.comb(total - d, bits) / math.comb(total, bits))
+        for d in range(radius + 1)
+    ]
+
+    def met(tables: int) -> float:
+        return sum(p * (1 - apart**tables) for p, apart in cases)
+
+    hi = 1
+    while met(hi) < recall:
+        hi *= 2
+    lo = hi // 2 + 1
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if met(mid) >= recall else (mid + 1, hi)
+    return hi
+
+
+def alike_members(prints: DataFrame, words: int, similarity: float, recall: float, fold: int = HOT_BUCKET, seed: int = 9) -> DataFrame:
+    """(bucket, node): any two ``node``s of sets as similar share a bucket with probability ``recall``.
+
+    ``prints`` holds distinct nodes with ``hashes`` (the size of the set) and the fingerprint f0 ...
+    Fingerprints meet in tables of sampled bits: about the logarithm of the rows less nine, so
+    that chance fills a bucket with some hundred rows. Within a bucket of a table those that
+    links within the radius reach make a bucket of the result; equal ones come out once.
+    A bucket of over ``fold`` rows is dealt into blocks, each two of which meet.
+    """
+    total, bits = 64 * words, max(6, prints.count().bit_length() - 9)
+    few, other = worst_share(similarity, 1, FEW), worst_share(similarity, FEW + 1, 4 * FEW)
+    radius = radius_of(total, max(few, other), (1 - recall) / 4)
+    usual, most = (tables_for(total, bits, share, radius, recall) for share in (other, max(few, other)))
+    rng, keys = np.random.default_rng(seed), []
+    for t in range(most):
+        masks = [0] * words
+        for bit in rng.choice(total, bits, replace=False).tolist():
+            masks[bit // 64] |= 1 << (bit % 64)
+        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+        keys.append(F.xxhash64(F.lit(t), *(F.col(f"f{k}").bitwiseAND(F.lit(m)) for k, m in enumerate(signed) if m)))
+    small = F.col("hashes") <= math.floor(FEW / similarity)
+    buckets = F.when(small, F.array(*keys)).otherwise(F.array(*keys[:usual]))
+    rows = prints.select("node", *(f"f{k}" for k in range(words)), F.explode(buckets).alias("bucket"))
+    hot = cut_lineage(rows.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > fold))
+    rows = rows.join(hot, "bucket", "left")
+    rows = jaccard.block_cells(rows, F.ceil(F.coalesce("members", F.lit(1)) / fold), "node")
+
+    def groups(keys: np.ndarray, node: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        label = merged(np.arange(len(node)), *bucket_links(keys, prints, radius))
+        order = np.argsort(label, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(label[order]) != 0)))
+        sizes = np.diff(np.append(starts, len(order)))
+        content = np.add.reduceat(mixed(node[order].view(np.uint64), 1), starts).view(np.int64)  # the same for the same members
+        kept = np.repeat(sizes > 1, sizes)
+        return np.repeat(content, sizes)[kept], node[order][kept]
+
+    rows = rows.withColumn("bucket", F.xxhash64("bucket", "cell"))
+    return _by_bucket(rows, words, groups, ("bucket", "node"), 100_000).distinct()
+
+
 def near_copy_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.999, **blocks: int) -> DataFrame:
     """doc_id, text_hash, copies and ``keeper`` for each distinct (doc_id, text) of ``docs``.
 
     Groups are what links of near copies reach: a link is a pair of sets of five-word shingles
     whose Jaccard similarity was found to be ``similarity`` or more; ``recall`` is the least
-    probability that such a pair is looked at. The keeper of a group is the row with the least
+    probability that the SimHash fingerprints of such a pair bring it there. The keeper of a group is the row with the least
     ``doc_id`` (nulls last), then the least hash of the text; ``copies`` says how often that
     row occurs. Texts without words are copies of each other. Other columns are not read.
     Empty in, empty out.
     """
     hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    rows = cut_lineage(jaccard.signatures(hashed, width, jaccard.band_tables(similarity, recall), ("doc_id", "text_hash")))
+    rows = cut_lineage(jaccard.signatures(hashed, width, WORDS, ("doc_id", "text_hash")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    nodes = cut_lineage(rows.groupBy("node").agg(first.alias("first"), F.first("keys").alias("keys")))
+    # one set has one number and one fingerprint
+    nodes = cut_lineage(rows.groupBy("node").agg(first.alias("first"), *(F.max(c).alias(c) for c in ("hashes", *(f"f{k}" for k in range(WORDS))))))
 
     def texts(wanted: DataFrame) -> DataFrame:
         """(node, text) of each wanted node, from the row that is its first."""
@@ -359,7 +468,8 @@ def near_copy_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, r
         same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
         return hashed.join(reps, same).select("node", "text").dropDuplicates(["node"])
 
-    found = jaccard.similar_components(nodes.select("node", "keys"), texts, width, similarity, **blocks)
+    members = cut_lineage(alike_members(nodes.where("hashes > 0").drop("first"), WORDS, similarity, recall))
+    found = jaccard.similar_components(members, texts, width, similarity, **blocks)
     roots = nodes.select("node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keepers = roots.groupBy("root").agg(F.min("first").alias("best")).select("best.doc_id", "best.text_hash", F.lit(True).alias("keeper"))
     distinct = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))

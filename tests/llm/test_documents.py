@@ -192,6 +192,35 @@ def test_near_copies_are_decided_by_exact_similarity(spark):
     assert below <= got and len(got & above) <= 1
 
 
+def test_candidates_are_found_by_fingerprints(spark):
+    # none of 300 pairs differ by as much as the radius: each shares a bucket, and nothing else does
+    rng = np.random.default_rng(3)
+    radius = simhash.radius_of(192, simhash.worst_share(0.8, 1, 5), 0.001 / 4)
+    one = rng.integers(0, 1 << 63, (300, 3), dtype=np.uint64)
+    other = one.copy()
+    for row in other:
+        for bit in rng.choice(192, 20, replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    table = [(k, 40, *map(int, r.view(np.int64))) for k, r in enumerate(np.concatenate((one, other)))]
+    prints = spark.createDataFrame(table, "node long, hashes long, f0 long, f1 long, f2 long")
+    for fold in (4096, 3):
+        got = defaultdict(set)
+        for r in simhash.alike_members(prints, 3, 0.8, 0.999, fold=fold).collect():
+            got[r.bucket].add(r.node)
+        assert set(map(frozenset, got.values())) == {frozenset((k, k + 300)) for k in range(300)}
+    assert radius > 20 and simhash.worst_share(0.8, 1, 5) == simhash.differing(4, 5, 4) == 0.1875
+    few = simhash.tables_for(192, 6, 0.16, radius, 0.999)
+    assert simhash.tables_for(192, 9, 0.16, radius, 0.999) > few
+
+
+def test_short_near_copies_are_found(spark):
+    texts = []
+    for g in range(200):
+        words = [f"{g}_{k}" for k in range(9)]
+        texts += [" ".join(words), " ".join(words[:8])]  # five shingles, four of them shared
+    assert len(keepers_of(spark, texts) - set(range(0, 400, 2))) <= 2
+
+
 def test_a_worker_remembers_one_kind_of_task_only():
     from marketloom.llm import caches
 
