@@ -35,8 +35,8 @@ PENALTY = 1.0
 LEAST_HESSIAN = 1.0
 #: Rounds between tables of margins.
 CARRY = 25
-#: Blocks that are worth a task of their own beyond one a core.
-BLOCKS_A_TASK = 16
+#: Blocks that are worth a task of their own: over as many rows a pass computes as long as a task takes to start.
+BLOCKS_A_TASK = 12
 #: Tasks whose sums the driver adds itself; those of more tasks are added in a shuffle first.
 DIRECT = 16
 _STATE = "block long, codes binary, bins binary, held binary, margins binary"
@@ -346,10 +346,9 @@ def fit_boosted(
 
 
 def _tasks(table: DataFrame) -> int:
-    """One a block up to the cores, or more where there are many blocks, up to those of any other shuffle."""
-    spark, blocks = table.sparkSession, table.count()
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(most, max(min(blocks, spark.sparkContext.defaultParallelism), blocks // BLOCKS_A_TASK)))
+    """As many as the blocks are worth, up to those of any other shuffle; fits beside each other share the cores."""
+    most = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, -(-table.count() // BLOCKS_A_TASK)))
 
 
 def _held(table: DataFrame, model: Boosted, tasks: int) -> RDD:

@@ -176,3 +176,10 @@ def test_fits_beside_each_other_come_back_in_order(spark):
     got = md.fit_all([(kind, data, names, "y", params) for kind, names in zip(kinds, (["a"], ["a"], ["a", "b"], ["a", "b"]))])
     assert [isinstance(m, bo.Boosted) for m in got] == [k == "boosted" for k in kinds]
     assert got[1].features == ["a"] and got[3].features == ["a", "b"] and got[2].stages[-1].numFeatures == 2
+
+
+def test_tasks_follow_the_rows(spark):
+    # a pass over few blocks is all start-up: fits beside each other would take each other's cores
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for blocks, tasks in ((1, 1), (12, 1), (45, 4), (10_000, 834)):
+        assert bo._tasks(spark.range(blocks)) == min(tasks, most)
