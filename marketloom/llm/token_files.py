@@ -50,58 +50,78 @@ def repair(
     """(rules as rows of left, right, length; symbols) of a Re-Pair grammar for the ids.
 
     ``rounds`` is for tests: by default replacement goes on while a pair is frequent enough.
+
+    A pair that is too rare stays so, since every pair that a replacement makes holds its new symbol.
+    A round therefore counts only pairs with symbols of the last one and those that were frequent in it.
     """
-    seq = ids.astype(np.uint32)
-    rules = np.zeros((0, 3), np.uint32)
-    length = np.ones(first_rule, np.uint32)
-    closes = np.zeros(first_rule, bool)
-    closes[end_id] = True
+    used = np.zeros(first_rule, bool)
+    used[ids] = True
+    names = np.flatnonzero(used).astype(np.uint32)
+    # symbols are numbered without gaps, in the order of their ids, so that a pair fits 32 bits for longer
+    seq = (np.cumsum(used, dtype=np.uint32) - np.uint32(1))[ids]
+    closes = names == end_id
+    length = np.ones(len(names), np.uint32)
+    rules = [np.zeros((0, 3), np.uint32)]
+    live = np.flatnonzero(~closes[seq[:-1]])  # no pair starts with the end of a document
     for _ in itertools.count() if rounds is None else range(rounds):
-        if len(seq) < 2:
+        if not len(live):
             break
-        if len(length) < 1 << 16:
-            key = (seq[:-1] << np.uint32(16)) | seq[1:]
-            split = lambda k: (k >> np.uint32(16), k & np.uint32(0xFFFF))
-        else:
-            key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-            split = lambda k: (k >> np.uint64(32), k & np.uint64(0xFFFFFFFF))
-        barred = ~key.dtype.type(0)  # no pair starts with the end of a document
-        key[closes[seq[:-1]]] = barred
+        kind, half = (np.uint32, 16) if len(length) <= 1 << 16 else (np.uint64, 32)
+        key = (seq[live].astype(kind, copy=False) << kind(half)) | seq[live + 1]
         ordered = np.sort(key)
-        ordered = ordered[: np.searchsorted(ordered, barred)]
-        starts = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
-        starts = np.concatenate((starts[:0] if not len(ordered) else [0], starts)).astype(np.int64)
+        starts = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
         counts = np.diff(np.append(starts, len(ordered)))
         often = np.flatnonzero(counts >= least_count)
         if not len(often):
             break
+        found = ordered[starts[often]]
+        rank = _places(key, found)
+        near = np.flatnonzero(rank >= 0)
+        live, rank = live[near], rank[near]
+        del ordered, key, near
+        at = live
         if len(often) > pairs_per_round:
-            order = np.lexsort((ordered[starts[often]], -counts[often]))
-            often = often[order[:pairs_per_round]]
-        chosen = np.sort(ordered[starts[often]])
-        del ordered
-        left, right = (x.astype(np.int64) for x in split(chosen))
-        heads, tails = np.zeros(len(length), bool), np.zeros(len(length), bool)
-        heads[left], tails[right] = True, True
-        near = np.flatnonzero(heads[seq[:-1]] & tails[seq[1:]])
-        near_key = key[near]
-        rank = np.searchsorted(chosen, near_key)
-        rank[rank == len(chosen)] = 0
-        hit = chosen[rank] == near_key
-        at, rank = near[hit], rank[hit]
+            chosen = np.sort(np.lexsort((found, -counts[often]))[:pairs_per_round])
+            number = np.full(len(found), -1)
+            number[chosen] = np.arange(len(chosen))
+            found, rank = found[chosen], number[rank]
+            hit = rank >= 0
+            at, rank = at[hit], rank[hit]
         # of overlapping occurrences, every second one from the left
         fresh = np.concatenate(([True], np.diff(at) != 1))
         run_start = at[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
         take = (at - run_start) % 2 == 0
         at, rank = at[take], rank[take]
         seq[at] = (len(length) + rank).astype(np.uint32)
+        changed = np.zeros(len(seq), bool)
+        changed[live], changed[at], changed[np.maximum(at, 1) - 1] = True, True, True
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        seq = seq[stay]
+        seq, changed = seq[stay], changed[stay]
+        left, right = ((found >> kind(half)).astype(np.int64), (found & kind((1 << half) - 1)).astype(np.int64))
         total = length[left] + length[right]
-        rules = np.vstack((rules, np.stack((left, right, total), axis=1).astype(np.uint32)))
+        rules.append(np.stack((left, right, total), axis=1).astype(np.uint32))
         length, closes = np.concatenate((length, total)), np.concatenate((closes, closes[right]))
-    return rules, seq
+        live = np.flatnonzero(changed[:-1])
+        live = live[~closes[seq[live]]]
+    names = np.concatenate((names, np.arange(first_rule, first_rule + len(length) - len(names), dtype=np.uint32)))
+    rules = np.concatenate(rules)
+    rules[:, :2] = names[rules[:, :2]]
+    return rules, names[seq]
+
+
+def _places(keys: np.ndarray, among: np.ndarray, bits: int = 20) -> np.ndarray:
+    """The place of each key in the ascending ``among``, -1 where it is not there."""
+    kind = keys.dtype.type
+    slot = lambda x: (x * kind(0x9E3779B1 if kind is np.uint32 else 0x9E3779B97F4A7C15)) >> kind(8 * x.itemsize - bits)
+    table = np.full(1 << bits, -1, np.int32)
+    table[slot(among)] = np.arange(len(among))
+    places = table[slot(keys)]
+    # those of one slot are told apart by search
+    other = np.flatnonzero((places >= 0) & (among[places] != keys))
+    found = np.minimum(np.searchsorted(among, keys[other]), len(among) - 1)
+    places[other] = np.where(among[found] == keys[other], found, -1)
+    return places
 
 
 def expansions(rules: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -68,6 +68,32 @@ def test_grammar_replaces_runs_without_overlap():
     assert rules.tolist() == [[5, 5, 2]] and symbols.tolist() == [10, 10, 10, 10, 5]
 
 
+def test_a_round_counts_only_pairs_that_may_be_frequent(monkeypatch):
+    rng, sizes, plain = np.random.default_rng(1), [], np.sort
+    phrases = [rng.integers(2, 2000, rng.integers(2, 12)) for _ in range(300)]
+    ids = np.concatenate([phrases[int(k)] if k < 300 else rng.integers(2, 2000, 4) for k in rng.exponential(200, 12_000)]).astype(np.uint32)
+    monkeypatch.setattr(np, "sort", lambda keys, *args: sizes.append(len(keys)) or plain(keys, *args))
+    rules, symbols = token_files.repair(ids, 2000, pairs_per_round=100)
+    monkeypatch.undo()
+    assert (token_files.expand(symbols, token_files.expansions(rules, 2000)) == ids).all()
+    counts = {}
+    for pair in zip(symbols[:-1].tolist(), symbols[1:].tolist()):
+        counts[pair] = counts.get(pair, 0) + 1
+    assert max(n for (a, b), n in counts.items() if a != b) < token_files.LEAST_COUNT
+    counted = [n for n in sizes if n > 300]
+    # counting every pair takes at least the final length a round
+    assert len(counted) > 5 and sum(counted[1:]) < len(counted[1:]) * len(symbols)
+
+
+@pytest.mark.parametrize("kind", [np.uint32, np.uint64])
+def test_places_against_a_table(kind):
+    rng = np.random.default_rng(2)
+    among = np.unique(rng.integers(0, 5000, 900)).astype(kind)
+    keys, at = rng.integers(0, 6000, 20_000).astype(kind), {k: i for i, k in enumerate(among.tolist())}
+    for bits in (4, 9, 20):  # few slots: most keys share one
+        assert token_files._places(keys, among, bits).tolist() == [at.get(k, -1) for k in keys.tolist()]
+
+
 def test_files_round_trip(spark, odd_docs, word_tokenizer, tmp_path):
     folder = str(tmp_path / "files")
     token_files.write_token_files(odd_docs, folder, WORDS, shard_ids=500)
