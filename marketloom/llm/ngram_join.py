@@ -21,7 +21,8 @@ In each list that still holds two components, the members of different ones are
 blocks. Lists carry no sets: a pair that passes length and position is tried by the suffix
 filter (the n-grams after a prefix are counted in ranges of the hash; the smaller counts of
 each range bound what is shared there), and the pairs left, each once, are verified on the
-whole sets.
+whole sets. Only sets of such pairs are kept and shuffled, cut from the texts anew; all other
+members are known by their range counts.
 """
 
 from __future__ import annotations
@@ -295,31 +296,74 @@ def range_counts(s: np.ndarray) -> np.ndarray:
     return np.bincount(_cell(s, RANGES), minlength=RANGES).astype(np.int32)
 
 
-def set_rows(docs: DataFrame, wanted, width: int, counts, similarity: Fraction) -> DataFrame:
-    """node, set (ascending hashes), whole and tail of each distinct set that passes the filter.
+def _chosen_sets(batches: Iterator[pa.RecordBatch], wanted, width: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(node, set) of the distinct sets of each batch that pass the filter."""
+    bits, seen = wanted.value, set()
+    for batch in batches:
+        rows = []
+        for s in sets_of(_texts(batch.column(0)), width):
+            node = number_of(s)
+            at = node % (64 * len(bits))
+            if node in seen or not int(bits[at >> 6]) >> (at & 63) & 1:
+                continue
+            if len(seen) < _HELD:
+                seen.add(node)
+            rows.append((node, s))
+        yield rows
 
-    ``whole`` counts its n-grams in ranges, ``tail`` those after its prefix.
-    """
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = wanted.value, set()
+def _rows_of(nodes: DataFrame, docs: DataFrame, rows, names: list[str], filter_bits: int) -> DataFrame:
+    """A written table of node and binary columns that ``rows`` makes of each distinct set in ``nodes``."""
+    context = docs.sparkSession.sparkContext
+    nodes = cut_lineage(nodes.distinct())
+    wanted = context.broadcast(node_filter(nodes, filter_bits))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in rows(batches, wanted):
+            columns = columns or [()] * (len(names) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["node", *names])
+
+    found = docs.select(F.col("text").cast("binary")).mapInArrow(made, ", ".join(["node long", *(f"{c} binary" for c in names)]))
+    return cut_lineage(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+
+
+def count_rows(nodes: DataFrame, docs: DataFrame, width: int, counts, similarity: Fraction, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """node, whole and tail of each set: its n-grams counted in ranges, and those after its prefix."""
+
+    def counted(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[list]:
+        for rows in _chosen_sets(batches, wanted, width):
+            tails = [rare_first(s, counts.value)[len(s) - least_shared(len(s), similarity) + 1 :] for _, s in rows]
+            yield list(zip(*((node, range_counts(s).tobytes(), range_counts(tail).tobytes()) for (node, s), tail in zip(rows, tails))))
+
+    return _rows_of(nodes, docs, counted, ["whole", "tail"], filter_bits)
+
+
+def set_rows(nodes: DataFrame, docs: DataFrame, width: int, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """node and set (ascending hashes) of each set."""
+
+    def kept(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[list]:
+        for rows in _chosen_sets(batches, wanted, width):
+            yield list(zip(*((node, s.tobytes()) for node, s in rows)))
+
+    return _rows_of(nodes, docs, kept, ["set"], filter_bits)
+
+
+def may_be_similar(pairs: DataFrame, counts: DataFrame, similarity: Fraction) -> DataFrame:
+    """Those pairs (a, n, place, b, m, spot) that pass the suffix filter, as (a, b); they share the n-gram at these places."""
+    p, q = similarity.numerator, similarity.denominator
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for s in sets_of(_texts(batch.column(0)), width):
-                node = number_of(s)
-                at = node % (64 * len(bits))
-                if node in seen or not int(bits[at >> 6]) >> (at & 63) & 1:
-                    continue
-                if len(seen) < _HELD:
-                    seen.add(node)
-                tail = rare_first(s, counts.value)[len(s) - least_shared(len(s), similarity) + 1 :]
-                rows.append((node, s.tobytes(), range_counts(s).tobytes(), range_counts(tail).tobytes()))
-            columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["node", "set", "whole", "tail"]
-            )
+            n, place, m, spot = (batch.column(k).to_numpy().astype(np.int64) for k in range(2, 6))
+            whole, tail, whole_b, tail_b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.int32).reshape(-1, RANGES) for k in range(6, 10))
+            most = n - (-(-p * n // q)) + 1 - place + np.minimum(whole_b, tail).sum(axis=1, dtype=np.int64)
+            most = np.minimum(most, m - (-(-p * m // q)) + 1 - spot + np.minimum(tail_b, whole).sum(axis=1, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(most * (p + q) >= p * (n + m))).columns[:2], names=["a", "b"])
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(hashed, "node long, set binary, whole binary, tail binary")
+    columns = ["a", "b", "n", "place", "m", "spot"]
+    rows = pairs.join(counts.withColumnRenamed("node", "a"), "a").select(*columns, "whole", "tail")
+    other = counts.select(F.col("node").alias("b"), F.col("whole").alias("whole_b"), F.col("tail").alias("tail_b"))
+    return rows.join(other, "b").select(*columns, "whole", "tail", "whole_b", "tail_b").mapInArrow(passed, "a long, b long")
 
 
 def enough_shared(x: np.ndarray, y: np.ndarray, similarity: Fraction) -> bool:
@@ -413,20 +457,24 @@ def similar_sets(
     context = docs.sparkSession.sparkContext
     counts = context.broadcast(cell_counts(docs, width, cells))
     members = cut_lineage(listed_members(postings(docs, counts, width, similarity), similarity))
-    nodes = members.select("node").distinct()
-    wanted = context.broadcast(node_filter(nodes, filter_bits))
-    sets = set_rows(docs, wanted, width, counts, similarity).join(nodes, "node", "left_semi")
-    sets = cut_lineage(sets.dropDuplicates(["node"]))
+    tallies = count_rows(members.select("node"), docs, width, counts, similarity, filter_bits)
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        # the sets of pairs left are cut once more, as those of all members would fill the disk
+        pairs = cut_lineage(pairs)
+        return verified(pairs, set_rows(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, width, filter_bits), similarity)
+
     # the member with the fewest n-grams before the shared one lacks the others' rare ones
     ends = members.where("own").groupBy("gram", "band").agg(F.min(F.struct("place", "node", "n", "reach")).alias("end"))
     met = members.join(ends, ["gram", "band"])
     met = met.where((F.col("node") != F.col("end.node")) & (F.col("n") <= F.col("end.reach")) & (F.col("end.n") <= F.col("reach")))
-    tried = met.groupBy("node").agg(F.min(F.struct("end.place", "end.node")).alias("end"))
-    found = cut_lineage(verified(tried.select(F.col("node").alias("a"), F.col("end.node").alias("b")), sets, similarity))
+    tried = met.groupBy("node").agg(F.min(F.struct("end.place", "end.node", F.col("end.n").alias("m"), F.col("n"), F.col("place").alias("own_place"))).alias("end"))
+    tried = tried.select(F.col("node").alias("a"), "end.n", F.col("end.own_place").alias("place"), F.col("end.node").alias("b"), "end.m", F.col("end.place").alias("spot"))
+    found = cut_lineage(similar(may_be_similar(tried, tallies, similarity)))
     rooted = members.join(cut_lineage(components(found)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     ends = rooted.groupBy("gram", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram", "band")
     left = cut_lineage(rooted.join(ends, ["gram", "band"]))
-    return components(found.union(verified(cut_lineage(met_in_lists(left, sets, similarity, block_rows)), sets, similarity)))
+    return components(found.union(similar(met_in_lists(left, tallies, similarity, block_rows))))
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, similarity: Fraction = SIMILARITY, **bounds: int) -> DataFrame:
