@@ -5,17 +5,20 @@ blocks: bins of a few thousand rows as one array, with their codes. A round grow
 regression tree per class (one in all for two classes), level by level and all classes at once: every task
 sums first and second derivatives by (class, node, feature, bin), Spark adds the sums, and the
 driver, which sees one row a bin however many rows there are, picks the splits and the Newton
-leaf values. A pass is one short job over blocks held in memory, which go from round to round
-with their margins; every few rounds a written table carries them, so a fit goes on where it
-stood instead of starting anew. It stops once ``patience`` rounds have not lowered the loss of
-the held rows.
+leaf values. It stops once ``patience`` rounds have not lowered the loss of the held rows.
+
+Up to ``ALONE_ROWS`` rows a pass computes no longer than a job takes to start: there, one task
+takes the blocks and all rounds are one job. Of more rows, a pass is one short job over blocks
+held in memory, which go from round to round with their margins; every few rounds a written
+table carries them, so a fit goes on where it stood instead of starting anew.
 """
 
 from __future__ import annotations
 
 import itertools
 import json
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -37,6 +40,8 @@ LEAST_HESSIAN = 1.0
 CARRY = 25
 #: Blocks that are worth a task of their own: over as many rows a pass computes as long as a task takes to start.
 BLOCKS_A_TASK = 12
+#: Rows of which one task grows all rounds: their bins take 5 MB at 38 features, and a pass about a tenth of a second.
+ALONE_ROWS = 1 << 17
 #: Tasks whose sums the driver adds itself; those of more tasks are added in a shuffle first.
 DIRECT = 16
 _STATE = "block long, codes binary, bins binary, held binary, margins binary"
@@ -223,49 +228,60 @@ def _opened(codes: bytes, bins: bytes, held: bytes, margins: bytes, model: Boost
     )
 
 
-def _sums(blocks: RDD, model: Boosted, growing: list[Tree], level: int, subsample: float, seed: int) -> tuple[np.ndarray, float, int]:
-    """Sums of derivatives by (class, node of the level, feature, bin) over all rows, loss and rows of the held ones.
+def _drawn(block: int, codes: np.ndarray, bins: np.ndarray, held: np.ndarray, margins: np.ndarray, turn: int, subsample: float, seed: int) -> tuple:
+    """Bins by feature and derivatives of the rows of a block that a round uses; loss and number of the held ones.
 
     Which rows a round leaves out follows from the seed, the round and the block alone.
     """
-    width, many, outputs, turn = BINS, len(model.features), model.outputs, len(model.rounds)
+    use = ~held & (np.random.default_rng((seed, turn, block & 0xFFFFFFFF, block >> 32)).random(len(codes)) < subsample)
+    return np.ascontiguousarray(bins[use].T), *derivatives(margins[use], codes[use]), log_loss(margins[held], codes[held]), int(held.sum())
+
+
+def _added(drawn: Iterable[tuple], many: int, outputs: int, growing: list[Tree], level: int) -> tuple[np.ndarray, float, int]:
+    """Sums of derivatives by (class and node of the level, feature and bin) over drawn blocks, loss and rows of the held ones."""
     first, count = (1 << level) - 1, 1 << level
+    total = np.zeros((outputs, many, count, BINS, 2))
+    loss = rows = 0
+    for columns, first_d, second_d, block_loss, block_rows in drawn:
+        loss, rows = loss + block_loss, rows + block_rows
+        for k in range(outputs):
+            at = growing[k].nodes(columns.T) - first
+            here, sides = at >= 0, (first_d[:, k], second_d[:, k])
+            own = columns
+            if not here.all():
+                at, own, sides = at[here], columns[:, here], [x[here] for x in sides]
+            sides = [np.ascontiguousarray(x) for x in sides]
+            cells = at * BINS
+            for f in range(many):
+                index = cells + own[f]
+                for j, x in enumerate(sides):
+                    total[k, f, :, :, j] += np.bincount(index, x, count * BINS).reshape(count, BINS)
+    return np.moveaxis(total, 2, 1).reshape(outputs * count, -1), loss, rows
+
+
+def _sums(blocks: RDD, model: Boosted, growing: list[Tree], level: int, subsample: float, seed: int) -> tuple[np.ndarray, float, int]:
+    """Sums of derivatives by (class, node of the level, feature, bin) over all rows, loss and rows of the held ones."""
+    many, outputs, turn = len(model.features), model.outputs, len(model.rounds)
 
     def summed(opened: Iterator[tuple]) -> Iterator[tuple[int, np.ndarray]]:
-        total = np.zeros((outputs, count, many * width, 2))
-        loss = rows = 0
-        for block, codes, bins, held, margins in opened:
-            if not level:
-                loss, rows = loss + log_loss(margins[held], codes[held]), rows + int(held.sum())
-            draw = np.random.default_rng((seed, turn, block & 0xFFFFFFFF, block >> 32)).random(len(codes))
-            use = ~held & (draw < subsample)
-            used, (g, h) = bins[use], derivatives(margins[use], codes[use])
-            cells = used + np.arange(many) * width
-            for k in range(outputs):
-                at = growing[k].nodes(used) - first
-                here = at >= 0
-                index = (at[here, None] * (many * width) + cells[here]).ravel()
-                for j, x in enumerate((g, h)):
-                    sums = np.bincount(index, np.repeat(x[here, k], many), count * many * width)
-                    total[k, :, :, j] += sums.reshape(count, -1)
-        flat = total.reshape(outputs * count, -1)
+        flat, loss, rows = _added((_drawn(*block, turn, subsample, seed) for block in opened), many, outputs, growing, level)
         for slot in np.flatnonzero(flat.any(axis=1)):
             yield int(slot), flat[slot]
         if rows:
             yield -1, np.array([loss, float(rows)])
 
-    slots = outputs * count + (not level)
-    total = np.zeros((outputs * count, many * width * 2))
+    nodes = outputs << level
+    total = np.zeros((nodes, many * BINS * 2))
     loss = rows = 0.0
     sums = blocks.mapPartitions(summed)
     if blocks.getNumPartitions() > DIRECT:
-        sums = sums.reduceByKey(np.add, min(DIRECT, slots))  # one row a node and class
+        sums = sums.reduceByKey(np.add, min(DIRECT, nodes + 1))  # one row a node and class
     for slot, one in sums.collect():
         if slot < 0:
             loss, rows = loss + one[0], rows + one[1]
         else:
             total[slot] += one
-    return total.reshape(outputs, count, many, width, 2), float(loss), int(rows)
+    return total.reshape(outputs, 1 << level, many, BINS, 2), float(loss), int(rows)
 
 
 def _grow(trees: list[Tree], sums: np.ndarray, allowed: list[np.ndarray], level: int, depth: int) -> bool:
@@ -310,41 +326,113 @@ def fit_boosted(
     rows the model has no trees. Null features go with the greatest bin.
     """
     model = Boosted(features, quantile_cuts(rows.where(~held), features), classes, rate)
-    table, carried = cut_lineage(_blocks(rows, model, label, held)), 0
-    tasks = _tasks(table)
-    size, draws = (2 << depth) - 1, np.random.default_rng(seed)
-    some = max(1, int(columns * len(features)))
-    before, blocks = None, _held(table, model, tasks)
-    try:
-        while True:
-            trees = [Tree(np.full(size, -1), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)) for _ in range(model.outputs)]
-            sums, loss, many = _sums(blocks, model, trees, 0, subsample, seed)
-            if before is not None:
-                before.unpersist()
-            if many:
-                model.losses.append(loss / many)
-            if len(model.rounds) == rounds or _stale(model.losses, patience):
-                break
-            allowed = [np.isin(np.arange(len(features)), draws.choice(len(features), some, replace=False)) for _ in trees]
-            level = 0
-            while _grow(trees, sums, allowed, level, depth) and level + 1 < depth:
-                level += 1
-                sums = _sums(blocks, model, trees, level, subsample, seed)[0]
-            model.rounds.append(trees)
-            before = blocks
-            if len(model.rounds) - carried == CARRY:
-                table = _carried(table, model, carried)
-                carried, blocks = len(model.rounds), _held(table, model, tasks)
-            else:
-                blocks = _next(blocks, model)
-    finally:
-        blocks.unpersist()
+    table = cut_lineage(_blocks(rows, model, label, held))
+    plan = _Plan(rounds, depth, subsample, columns, patience, seed)
+    if _rows(table) <= ALONE_ROWS:
+        _fit_in_one_job(table, model, plan)
+    else:
+        _fit_by_passes(table, model, plan, _tasks(table))
     if model.losses:
         # the loss at place k is that of k rounds
         model.rounds = model.rounds[: max(1, int(np.argmin(model.losses)))]
     return model
 
 
+@dataclass(frozen=True)
+class _Plan:
+    """How a model is grown; see ``fit_boosted``."""
+
+    rounds: int
+    depth: int
+    subsample: float
+    columns: float
+    patience: int
+    seed: int
+
+
+def _add_rounds(model: Boosted, plan: _Plan, sums: Callable[[list[Tree], int], tuple], raise_margins: Callable[[], None]) -> None:
+    """Add rounds until there are enough or the loss is stale.
+
+    ``sums`` gives those of the growing trees' level, loss and rows of the held ones;
+    ``raise_margins`` is called after each round. The same sums give the same trees.
+    """
+    size, draws, many = (2 << plan.depth) - 1, np.random.default_rng(plan.seed), len(model.features)
+    some = max(1, int(plan.columns * many))
+    while True:
+        trees = [Tree(np.full(size, -1), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)) for _ in range(model.outputs)]
+        found, loss, rows = sums(trees, 0)
+        if rows:
+            model.losses.append(loss / rows)
+        if len(model.rounds) == plan.rounds or _stale(model.losses, plan.patience):
+            return
+        allowed = [np.isin(np.arange(many), draws.choice(many, some, replace=False)) for _ in trees]
+        level = 0
+        while _grow(trees, found, allowed, level, plan.depth) and level + 1 < plan.depth:
+            level += 1
+            found = sums(trees, level)[0]
+        model.rounds.append(trees)
+        raise_margins()
+
+
+def _rows(table: DataFrame) -> int:
+    """Rows in all blocks."""
+    return table.agg(F.sum(F.octet_length("codes"))).first()[0] or 0
+
+
+def _fit_in_one_job(table: DataFrame, model: Boosted, plan: _Plan) -> None:
+    """Add the rounds in one task, which returns them."""
+    many, outputs = len(model.features), model.outputs
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [[block, *_opened(*arrays, model)] for batch in batches for block, *arrays in zip(*(c.to_pylist() for c in batch.columns))]
+        blocks.sort(key=lambda b: b[0])
+        drawn = []
+
+        def sums(trees: list[Tree], level: int) -> tuple[np.ndarray, float, int]:
+            if not level:
+                drawn[:] = [_drawn(*b, len(model.rounds), plan.subsample, plan.seed) for b in blocks]
+            found, loss, rows = _added(drawn, many, outputs, trees, level)
+            return found.reshape(outputs, 1 << level, many, BINS, 2), loss, rows
+
+        def raise_margins() -> None:
+            last = model.since(len(model.rounds) - 1)
+            for b in blocks:
+                b[4] = last.raised(b[4], b[2])
+
+        _add_rounds(model, plan, sums, raise_margins)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.rounds, model.losses))], pa.binary())], names=["grown"])
+
+    found = table.coalesce(1).mapInArrow(grown, "grown binary").first()
+    model.rounds, model.losses = pickle.loads(found["grown"])
+
+
+def _fit_by_passes(table: DataFrame, model: Boosted, plan: _Plan, tasks: int) -> None:
+    """Add the rounds by a job for each pass."""
+    carried, before, blocks = 0, None, _held(table, model, tasks)
+
+    def sums(trees: list[Tree], level: int) -> tuple[np.ndarray, float, int]:
+        nonlocal before
+        found = _sums(blocks, model, trees, level, plan.subsample, plan.seed)
+        if before is not None:
+            before.unpersist()
+            before = None
+        return found
+
+    def raise_margins() -> None:
+        nonlocal table, carried, before, blocks
+        before = blocks
+        if len(model.rounds) - carried == CARRY:
+            table = _carried(table, model, carried)
+            carried, blocks = len(model.rounds), _held(table, model, tasks)
+        else:
+            blocks = _next(blocks, model)
+
+    try:
+        _add_rounds(model, plan, sums, raise_margins)
+    finally:
+        blocks.unpersist()
+
+
 def _tasks(table: DataFrame) -> int:
     """As many as the blocks are worth, up to those of any other shuffle; fits beside each other share the cores."""
     most = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -183,3 +183,47 @@ def test_tasks_follow_the_rows(spark):
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for blocks, tasks in ((1, 1), (12, 1), (45, 4), (10_000, 834)):
         assert bo._tasks(spark.range(blocks)) == min(tasks, most)
+
+
+def test_rounds_are_one_job(spark):
+    data, sc = rows(spark, 3).withColumn("code", F.col("y") + 1), spark.sparkContext
+
+    def jobs(rounds):
+        group = f"one job {rounds}"
+        sc.setJobGroup(group, group)
+        try:
+            bo.fit_boosted(data, ["a", "b"], F.col("code"), F.lit(False), 3, rounds, 0.5, 2)
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        return len(sc.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(6) == jobs(2)
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_both_ways_grow_the_same_trees(spark, monkeypatch, classes):
+    data = rows(spark, classes).withColumn("code", F.col("y") + (classes - 2))
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(bo, "_tasks", lambda table: 3)
+    # small batches, so that there are blocks for several tasks
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        def fit():
+            held = F.col("trade_date") >= dt.date(2024, 2, 20)
+            return bo.fit_boosted(data, ["a", "b"], F.col("code"), held, classes, 30, 0.5, 3, 0.8, 0.6, 3)
+
+        in_one_job = fit()
+        monkeypatch.setattr(bo, "ALONE_ROWS", 0)
+        by_passes = fit()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(in_one_job.rounds) == len(by_passes.rounds) > 2 and np.allclose(in_one_job.losses, by_passes.losses, rtol=0, atol=1e-12)
+    for one, other in zip(in_one_job.rounds, by_passes.rounds):
+        for x, y in zip(one, other):
+            assert (x.feature == y.feature).all() and (x.bin == y.bin).all() and np.allclose(x.value, y.value, rtol=0, atol=1e-12)
+
+
+def test_a_fit_without_rows_has_no_opinion(spark):
+    data = rows(spark, 2).withColumn("code", F.col("y"))
+    model = bo.fit_boosted(data.where("y > 5"), ["a", "b"], F.col("code"), F.lit(False), 2, 3, 0.5, 2)
+    assert {tuple(r.probs) for r in model.transform(data).collect()} == {(0.5, 0.5)}
