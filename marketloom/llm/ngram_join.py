@@ -34,7 +34,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -247,7 +247,7 @@ def reach(similarity: Fraction) -> Column:
 
 
 def postings(docs: DataFrame, counts, width: int, similarity: Fraction) -> DataFrame:
-    """(gram, node, n, place) of each prefix n-gram of each distinct set."""
+    """(gram, node, n, place) of each prefix n-gram of each distinct set, dealt out by gram."""
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -272,15 +272,17 @@ def postings(docs: DataFrame, counts, width: int, similarity: Fraction) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "node", "n", "place"])
 
     rows = docs.select(F.col("text").cast("binary")).mapInArrow(posted, "gram long, node long, n int, place int")
-    return rows.groupBy("gram", "node").agg(*(F.first(c).alias(c) for c in ("n", "place")))
+    return rows.repartition("gram").groupBy("gram", "node").agg(*(F.first(c).alias(c) for c in ("n", "place")))
 
 
 def listed_members(rows: DataFrame, similarity: Fraction) -> DataFrame:
     """(gram, band, own, node, n, place, reach): the members of lists and bands in which a pair may be similar."""
-    rows = cut_lineage(rows).withColumn("reach", reach(similarity))
-    early = F.max((F.col("reach") >= F.col("n")).cast("int"))
-    shared = rows.groupBy("gram").agg(F.count("*").alias("members"), early.alias("early")).where("members > 1 and early = 1").select("gram")
-    rows = rows.join(shared, "gram")
+    rows = rows.withColumn("reach", reach(similarity))
+    # most n-grams have one member, so that lists are chosen where the postings lie, before any is written
+    lists = Window.partitionBy("gram")
+    early = F.max((F.col("reach") >= F.col("n")).cast("int")).over(lists)
+    rows = rows.withColumns({"members": F.count("*").over(lists), "early": early}).where("members > 1 and early = 1")
+    rows = cut_lineage(rows.drop("members", "early"))
     # a thousandth wider than the similarity allows sizes to differ, so that they differ by one band at most
     own = F.floor(F.log("n") / F.lit(-1.001 * math.log(similarity)))
     rows = rows.withColumn("band", F.explode(F.array(own, own - 1))).withColumn("own", F.col("band") == own)

@@ -150,6 +150,18 @@ def test_sets_do_not_depend_on_pieces():
         assert all(np.array_equal(a, b) for a, b in zip(whole, ngram_join.sets_of(texts, piece=piece), strict=True))
 
 
+def test_only_postings_of_shared_ngrams_are_written(spark, monkeypatch):
+    docs = table(spark, [(i, f"a{i} b{i} c{i} d{i}") for i in range(50)] + [(100, "x y z w"), (101, "x y z w v")])
+    written, cut = [], ngram_join.cut_lineage
+    monkeypatch.setattr(ngram_join, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    counts = spark.sparkContext.broadcast(ngram_join.cell_counts(docs))
+    half = Fraction(1, 2)
+    ngram_join.listed_members(ngram_join.postings(docs, counts, 3, half), half).collect()
+    lists = Counter(r.gram for r in written[0].collect())
+    assert lists and min(lists.values()) > 1
+
+
+
 # spelling variants
 
 
